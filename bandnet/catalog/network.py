@@ -35,7 +35,6 @@ from bandnet.operators import (
     loss_frame,
     minmax_fit,
     minmax_scale,
-    stack_blocks,
 )
 
 CLASSIFIER = [64, 16, 10]
@@ -171,7 +170,7 @@ def _reconstruct(spark, folder):
 )
 def _xent_loss(spark, folder):
     topology = Topology.classifier(CLASSIFIER)
-    found = loss_frame(stack_blocks(vectors(spark, folder), 64), topology, weights_of(topology))
+    found = loss_frame(vectors(spark, folder), topology, weights_of(topology))
     return found.select(rounded("loss", 9).alias("loss"), "units")
 
 
@@ -202,8 +201,7 @@ _SSE = "sum((a.v - x.v) * (a.v - x.v))"
 )
 def _sse_loss(spark, folder):
     topology = Topology.autoencoder(AUTOENCODER)
-    blocks = stack_blocks(vectors(spark, folder), 64, label=None)
-    return loss_frame(blocks, topology, weights_of(topology)).select(rounded("loss", 9).alias("loss"), "units")
+    return loss_frame(vectors(spark, folder), topology, weights_of(topology)).select(rounded("loss", 9).alias("loss"), "units")
 
 
 _SIGMOID = [
@@ -221,12 +219,12 @@ _SIGMOID = [
 )
 def _sigmoid_sse_loss(spark, folder):
     topology = sigmoid_network()
-    found = loss_frame(stack_blocks(vectors(spark, folder), 64), topology, weights_of(topology))
+    found = loss_frame(vectors(spark, folder), topology, weights_of(topology))
     return found.select(rounded("loss", 9).alias("loss"), "units")
 
 
-def _gradient(blocks, topology, averaging="rows"):
-    found = gradient_frame(blocks, topology, weights_of(topology), averaging)
+def _gradient(spark, folder, topology):
+    found = gradient_frame(vectors(spark, folder), topology, weights_of(topology))
     return found.select("layer", "input", "output", rounded("gradient", 9).alias("gradient"))
 
 
@@ -238,7 +236,7 @@ def _gradient(blocks, topology, averaging="rows"):
     ),
 )
 def _classifier_gradient(spark, folder):
-    return _gradient(stack_blocks(vectors(spark, folder), 64), Topology.classifier(CLASSIFIER))
+    return _gradient(spark, folder, Topology.classifier(CLASSIFIER))
 
 
 @query(
@@ -249,8 +247,7 @@ def _classifier_gradient(spark, folder):
     ),
 )
 def _autoencoder_gradient(spark, folder):
-    blocks = stack_blocks(vectors(spark, folder), 64, label=None)
-    return _gradient(blocks, Topology.autoencoder(AUTOENCODER))
+    return _gradient(spark, folder, Topology.autoencoder(AUTOENCODER))
 
 
 @query(
@@ -261,7 +258,7 @@ def _autoencoder_gradient(spark, folder):
     ),
 )
 def _sigmoid_net_gradient(spark, folder):
-    return _gradient(stack_blocks(vectors(spark, folder), 64), sigmoid_network())
+    return _gradient(spark, folder, sigmoid_network())
 
 
 _SCALED_CLASSIFY = [S.SCALED_ROWS, S.LABEL_ROWS, *S.weight_ctes(CLASSIFIER), *S.forward_ctes(CLASSIFIER), _PREDICTED]

@@ -49,12 +49,21 @@ def matrix_literal(rows: Sequence[Sequence[float]]) -> Column:
     return F.expr("array(" + ",".join(_row_text(r) for r in rows) + ")")
 
 
-def feature_array(df: DataFrame, name: str) -> Column:
+def feature_array(df: DataFrame, name: str, width: int | None = None) -> Column:
     """The feature column as an array of floats or doubles.
 
     ML vectors become ``array<double>``. Float and double arrays pass through untouched:
-    widening a float array in the JVM would double what is later sent to Python.
+    widening a float array in the JVM would double what is later sent to Python. With ``width``
+    a row that is null or of another length is an error.
     """
+    values = _feature_array(df, name)
+    if width is None:
+        return values
+    problem = F.concat(F.lit(f"column {name} needs {width} values, found "), F.coalesce(F.size(values).cast("string"), F.lit("null")))
+    return F.when(F.size(values) == width, values).otherwise(F.raise_error(problem))
+
+
+def _feature_array(df: DataFrame, name: str) -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, VectorUDT):
         return vector_to_array(F.col(name))

@@ -11,7 +11,7 @@ from bandnet.operators.evaluation import (
 )
 from bandnet.operators.losses import HingeLoss, LeastSquaresLoss, LinearLoss, LogisticLoss, MultinomialLoss, NetworkLoss
 from bandnet.operators.nnls import gram_matrix, nnls_by_group, nnls_fit, solve_nonnegative, unmix
-from bandnet.operators.objective import BlockObjective, ColumnObjective, Evaluation, gradient_frame, linear_sums, loss_frame
+from bandnet.operators.objective import BlockObjective, ColumnObjective, Evaluation, gradient_frame, linear_sums, loss_frame, partial_sums
 from bandnet.operators.optimizers import Fit, minimize_gd, minimize_lbfgs
 from bandnet.operators.scaling import Bounds, minmax_columns, minmax_fit, minmax_scale, minmax_stats
 from bandnet.operators.scoring import encode, forward, forward_all, network_column

@@ -1,9 +1,14 @@
-"""Helpers that view Arrow list columns as numpy matrices without copying."""
+"""Helpers between Arrow columns and numpy arrays, and the size of Arrow batches."""
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 
 def matrix_from_lists(column: pa.Array, width: int) -> np.ndarray:
@@ -25,14 +30,55 @@ def matrix_from_lists(column: pa.Array, width: int) -> np.ndarray:
 def lists_from_matrix(matrix: np.ndarray) -> pa.ListArray:
     """An (n, width) matrix as a list column."""
     rows, width = matrix.shape
-    offsets = np.arange(rows + 1, dtype=np.int64) * width
-    return ragged_lists(np.ascontiguousarray(matrix).reshape(-1), offsets)
+    if rows * width > np.iinfo(np.int32).max:
+        raise ValueError("an Arrow batch holds too many values; lower arrow.maxRecordsPerBatch")
+    offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(width)
+    flat = np.ascontiguousarray(matrix, dtype=np.float64).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def ragged_lists(flat: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    """A list column over ``flat`` cut at ``offsets``."""
-    if len(offsets) and offsets[-1] > np.iinfo(np.int32).max:
+def packed_binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Doubles as a binary column, one item for every stretch between two cuts; not a copy."""
+    flat = np.ascontiguousarray(values, dtype="<f8").reshape(-1)
+    if flat.nbytes > np.iinfo(np.int32).max:
         raise ValueError("an Arrow batch holds too many values; lower arrow.maxRecordsPerBatch")
-    return pa.ListArray.from_arrays(
-        pa.array(offsets.astype(np.int32)), pa.array(np.asarray(flat, dtype=np.float64))
-    )
+    offsets = (np.asarray(cuts, dtype=np.int64) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def doubles_from_binary(column: pa.Array) -> np.ndarray:
+    """All doubles of a packed binary column, end to end; not a copy."""
+    if len(column) == 0:
+        return np.empty(0)
+    _, offset_buffer, data = column.buffers()
+    offsets = np.frombuffer(offset_buffer, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    if data is None or offsets[-1] == offsets[0]:
+        return np.empty(0)
+    return np.frombuffer(data, dtype="<f8", offset=int(offsets[0]), count=int(offsets[-1] - offsets[0]) // 8)
+
+
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_limit_lock = threading.Lock()
+_limit_users: list[int] = []
+_limit_before: list[str] = []
+
+
+@contextmanager
+def batch_limit(spark: SparkSession, records: int) -> Iterator[None]:
+    """Cap the records per Arrow batch while a job is planned and run.
+
+    Rows of a training table are large: the default of 10,000 would build batches of gigabytes.
+    The session's own value comes back when the last job using a cap is done.
+    """
+    with _limit_lock:
+        if not _limit_users:
+            _limit_before[:] = [spark.conf.get(_BATCH_LIMIT)]
+        _limit_users.append(records)
+        spark.conf.set(_BATCH_LIMIT, str(min(_limit_users)))
+    try:
+        yield
+    finally:
+        with _limit_lock:
+            _limit_users.remove(records)
+            value = str(min(_limit_users)) if _limit_users else _limit_before[0]
+            spark.conf.set(_BATCH_LIMIT, value)

@@ -2,7 +2,8 @@
 
 A block is one row ``(n, x, y)``: the row count, ``n * width`` feature values row by row, and
 ``n`` labels (empty when the network's target is its own input, so nothing is stored twice).
-Rows are packed within their partition, without a shuffle.
+The values are packed as little-endian doubles in binary columns, which cross to Python about
+twice as fast as arrays. Rows are packed within their partition, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandnet.functions import feature_array
-from bandnet.operators.arrow import matrix_from_lists, ragged_lists
+from bandnet.operators.arrow import doubles_from_binary, lists_from_matrix, matrix_from_lists, packed_binary
 
-BLOCK_SCHEMA = "n int, x array<double>, y array<double>"
+BLOCK_SCHEMA = "n int, x binary, y binary"
 
 
-def labeled_rows(df: DataFrame, features: str = "features", label: str | None = "label") -> DataFrame:
+def labeled_rows(
+    df: DataFrame, features: str = "features", label: str | None = "label", width: int | None = None
+) -> DataFrame:
     """Only what training needs: the features and, if there is one, the label as a double."""
-    cols = [feature_array(df, features).alias("features")]
+    cols = [feature_array(df, features, width).alias("features")]
     if label is not None:
         cols.append(F.col(label).cast("double").alias("label"))
     return df.select(*cols)
@@ -44,28 +47,27 @@ def check_labels(df: DataFrame, label: str, classes: int) -> None:
         )
 
 
-def _pack(width: int, block_size: int, with_label: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_x = np.empty((0, width))
-        held_y = np.empty(0)
-
-        def emit(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            cuts = np.append(np.arange(0, len(x), block_size), len(x))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.diff(cuts).astype(np.int32)),
-                    ragged_lists(x.reshape(-1), cuts * width),
-                    ragged_lists(y, cuts if with_label else np.zeros_like(cuts)),
-                ],
-                names=["n", "x", "y"],
-            )
+def pack_rows(width: int, block_size: int, with_label: bool):
+    """Batches of ``(features, label)`` rows to batches of blocks, for one partition."""
+
+    def emit(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        cuts = np.append(np.arange(0, len(x), block_size), len(x))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.diff(cuts).astype(np.int32)),
+                packed_binary(x, cuts * width),
+                packed_binary(y, cuts if with_label else np.zeros_like(cuts)),
+            ],
+            names=["n", "x", "y"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_x, held_y = np.empty((0, width)), np.empty(0)
         for batch in batches:
             x = matrix_from_lists(batch.column(0), width)
             y = batch.column(1).to_numpy(zero_copy_only=False) if with_label else np.empty(0)
             if len(held_x):
-                x = np.concatenate([held_x, x])
-                y = np.concatenate([held_y, y])
+                x, y = np.concatenate([held_x, x]), np.concatenate([held_y, y])
             whole = len(x) - len(x) % block_size
             if whole:
                 yield emit(x[:whole], y[:whole])
@@ -86,24 +88,26 @@ def stack_blocks(
     """Pack rows into blocks of at most ``block_size``; the last block of a partition may be short."""
     if block_size <= 0:
         raise ValueError("block_size must be positive")
-    rows = labeled_rows(df, features, label)
-    return rows.mapInArrow(_pack(width, block_size, label is not None), BLOCK_SCHEMA)
+    rows = labeled_rows(df, features, label, width)
+    return rows.mapInArrow(pack_rows(width, block_size, label is not None), BLOCK_SCHEMA)
+
+
+def block_arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch of blocks as one matrix of rows, their labels, and the rows per block."""
+    x = doubles_from_binary(batch.column(1)).reshape(-1, width)
+    return x, doubles_from_binary(batch.column(2)), np.asarray(batch.column(0))
 
 
 def unstack_blocks(blocks: DataFrame, width: int) -> DataFrame:
     """Blocks back to rows ``(features, label)``; the label is null where blocks hold none."""
-    index = F.sequence(F.lit(0), F.col("n") - 1)
-    return blocks.where("n > 0").select(
-        F.explode(
-            F.transform(
-                index,
-                lambda i: F.struct(
-                    F.slice(F.col("x"), i * width + 1, F.lit(width)).alias("features"),
-                    F.get(F.col("y"), i).alias("label"),
-                ),
-            )
-        ).alias("row")
-    ).select("row.features", "row.label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, _ = block_arrays(batch, width)
+            labels = pa.array(y) if len(y) else pa.nulls(len(x), pa.float64())
+            yield pa.RecordBatch.from_arrays([lists_from_matrix(x), labels], names=["features", "label"])
+
+    return blocks.mapInArrow(run, "features array<double>, label double")
 
 
 @contextmanager

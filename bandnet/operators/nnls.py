@@ -132,4 +132,4 @@ def unmix(df: DataFrame, endmembers: np.ndarray, features: str = "features", out
             pixels = matrix_from_lists(batch, members.shape[1])
             yield lists_from_matrix(solve_nonnegative(gram, pixels @ members.T))
 
-    return df.withColumn(output, solve(feature_array(df, features)))
+    return df.withColumn(output, solve(feature_array(df, features, members.shape[1])))

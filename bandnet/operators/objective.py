@@ -16,7 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandnet.operators.arrow import lists_from_matrix, matrix_from_lists
+from bandnet.operators.arrow import batch_limit, lists_from_matrix, matrix_from_lists
+from bandnet.operators.blocks import block_arrays, labeled_rows, pack_rows
 from bandnet.operators.losses import LinearLoss, Loss, NetworkLoss
 from bandnet.operators.topology import Topology
 
@@ -47,20 +48,12 @@ def _partial_batch(part: int, rows: int, blocks: int, loss: float, gradient: np.
     )
 
 
-def _block_batches(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A batch of blocks as one matrix of rows, their labels, and the rows per block."""
-    counts = np.asarray(batch.column(0))
-    x = np.asarray(batch.column(1).flatten()).reshape(-1, width)
-    y = np.asarray(batch.column(2).flatten())
-    return x, y, counts
-
-
 def _partition_sum(loss: Loss, width: int, by_block: bool, weights: Callable[[], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights()
         total, gradient, rows, blocks = 0.0, np.zeros_like(w), 0, 0
         for batch in batches:
-            x, y, counts = _block_batches(batch, width)
+            x, y, counts = block_arrays(batch, width)
             # chunks follow the blocks when a block counts as one unit; otherwise any cut does
             cuts = np.append(0, np.cumsum(counts)) if by_block else np.append(np.arange(0, len(x), CHUNK_ROWS), len(x))
             for start, stop in zip(cuts[:-1], cuts[1:]):
@@ -105,7 +98,9 @@ def merge_partials(partials: DataFrame, parts: int) -> DataFrame:
 class BlockObjective:
     """Loss and gradient over a table of blocks."""
 
-    def __init__(self, blocks: DataFrame, loss: Loss, width: int, averaging: str = "rows") -> None:
+    def __init__(
+        self, blocks: DataFrame, loss: Loss, width: int, averaging: str = "rows", block_size: int = 128
+    ) -> None:
         if averaging not in ("rows", "blocks"):
             raise ValueError("averaging must be 'rows' or 'blocks'")
         self.blocks = blocks
@@ -115,15 +110,18 @@ class BlockObjective:
         self.report_scale = loss.report_scale
         self.weight_count = loss.weight_count(width)
         self._parts = blocks.rdd.getNumPartitions()
+        self._batch_blocks = max(1, CHUNK_ROWS // block_size)
 
     def evaluate(self, w: np.ndarray, fraction: float = 1.0, seed: int | None = None) -> Evaluation:
         """One job: broadcast the weights, sum by partition, merge, and take the mean."""
-        shared = self.blocks.sparkSession.sparkContext.broadcast(np.ascontiguousarray(w, dtype=np.float64))
+        spark = self.blocks.sparkSession
+        shared = spark.sparkContext.broadcast(np.ascontiguousarray(w, dtype=np.float64))
         by_block = self.averaging == "blocks"
         try:
             blocks = self.blocks if fraction >= 1.0 else self.blocks.sample(False, fraction, seed)
             kernel = _partition_sum(self.loss, self.width, by_block, lambda: shared.value)
-            found = merge_partials(blocks.mapInArrow(kernel, PARTIAL_SCHEMA), self._parts).toArrow().sort_by("part")
+            with batch_limit(spark, self._batch_blocks):
+                found = merge_partials(blocks.mapInArrow(kernel, PARTIAL_SCHEMA), self._parts).toArrow().sort_by("part")
         finally:
             shared.destroy()
         if found.num_rows == 0:
@@ -185,30 +183,47 @@ def linear_sums(rows: DataFrame, width: int, loss: LinearLoss, w: Sequence[float
     )
 
 
-def gradient_frame(blocks: DataFrame, topology: Topology, weights: Sequence[float], averaging: str = "rows") -> DataFrame:
+def partial_sums(
+    df: DataFrame,
+    topology: Topology,
+    weights: Sequence[float],
+    features: str = "features",
+    label: str = "label",
+    averaging: str = "rows",
+    block_size: int = 128,
+) -> DataFrame:
+    """Partial losses and gradients of a network straight from rows, one per partition; lazy.
+
+    Rows are packed and summed in one pass through Python, for a single evaluation that needs no
+    blocks kept.
+    """
+    w = topology.check(weights)
+    label_col = label if topology.target == "label" else None
+    rows = labeled_rows(df, features, label_col, topology.inputs)
+    pack = pack_rows(topology.inputs, block_size, label_col is not None)
+    total = _partition_sum(NetworkLoss(topology), topology.inputs, averaging == "blocks", lambda: w)
+    return rows.mapInArrow(lambda batches: total(pack(batches)), PARTIAL_SCHEMA)
+
+
+def gradient_frame(df: DataFrame, topology: Topology, weights: Sequence[float], averaging: str = "rows", **options) -> DataFrame:
     """The mean gradient of a network as a lazy table ``(layer, input, output, gradient)``.
 
     The bias of an output has input -1. Partial gradients are added by weight position in a
     shuffle, so the table never passes through the driver.
     """
-    w = topology.check(weights)
-    by_block = averaging == "blocks"
-    partials = blocks.mapInArrow(_partition_sum(NetworkLoss(topology), topology.inputs, by_block, lambda: w), PARTIAL_SCHEMA)
-    unit = "blocks" if by_block else "rows"
+    partials = partial_sums(df, topology, weights, averaging=averaging, **options)
     summed = (
-        partials.select(F.col(unit).alias("units"), F.posexplode("gradient").alias("position", "value"))
+        partials.select(F.col(averaging).alias("units"), F.posexplode("gradient").alias("position", "value"))
         .groupBy("position")
         .agg((F.sum("value") / F.sum("units")).alias("gradient"))
     )
     return with_weight_coordinates(summed, topology, "position").select("layer", "input", "output", "gradient")
 
 
-def loss_frame(blocks: DataFrame, topology: Topology, weights: Sequence[float], averaging: str = "rows") -> DataFrame:
-    """The reported mean loss of a network as a one-row table ``(loss, units)``."""
-    w = topology.check(weights)
-    by_block = averaging == "blocks"
-    partials = blocks.mapInArrow(_partition_sum(NetworkLoss(topology), topology.inputs, by_block, lambda: w), PARTIAL_SCHEMA)
-    units = F.sum("blocks" if by_block else "rows")
+def loss_frame(df: DataFrame, topology: Topology, weights: Sequence[float], averaging: str = "rows", **options) -> DataFrame:
+    """The reported mean loss of a network as a one-row table ``(loss, units)``; lazy."""
+    partials = partial_sums(df, topology, weights, averaging=averaging, **options)
+    units = F.sum(averaging)
     return partials.agg((F.sum("loss") / units * topology.report_scale).alias("loss"), units.alias("units"))
 
 

@@ -44,7 +44,7 @@ def network_column(
             values = np.concatenate(outputs) if outputs else np.empty((0, topology.outputs))
             yield pa.array(values.argmax(axis=1).astype(np.float64)) if decode else lists_from_matrix(values)
 
-    return score(feature_array(df, features))
+    return score(feature_array(df, features, width))
 
 
 def forward(
@@ -73,7 +73,7 @@ def forward_all(
             outer = np.arange(len(x) + 1) * len(outputs)
             yield pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), lists)
 
-    return df.withColumn(output, score(feature_array(df, features)))
+    return df.withColumn(output, score(feature_array(df, features, width)))
 
 
 def encode(

@@ -64,7 +64,7 @@ def fit_network(
         rows = rows.repartition(partitions)
     blocks = stack_blocks(rows, topology.inputs, block_size, features, label_col)
     with staged_blocks(blocks, durable) as held:
-        objective = BlockObjective(held, loss, topology.inputs, averaging)
+        objective = BlockObjective(held, loss, topology.inputs, averaging, block_size)
         if solver == "gd":
             return minimize_gd(objective, start, updater, step_size, max_iter, reg, fraction, min(tol, 1.0))
         return minimize_lbfgs(objective, start, updater, corrections, tol, max_iter, reg)
