@@ -23,7 +23,6 @@ from bandnet.operators import (
     minimize_lbfgs,
     simple_step,
     stack_blocks,
-    staged_blocks,
 )
 
 # Points at which the gradients are checked
@@ -113,8 +112,8 @@ def _kernel_gradient(loss, label, point):
     def run(spark, folder):
         rows = line_rows(spark, folder).select(F.array(*LINEAR_FEATURES).alias("features"), label)
         blocks = stack_blocks(rows, 4, block_size=256, label=label)
-        with staged_blocks(blocks) as held:
-            found = BlockObjective(held, loss, 4, block_size=256).evaluate(np.array(point))
+        # one evaluation reads the blocks once, so they are not kept
+        found = BlockObjective(blocks, loss, 4, block_size=256).evaluate(np.array(point))
         # one row of nine numbers at most
         values = [round(v, 9) + 0.0 for v in (found.loss, *map(float, found.gradient))]
         names = ["loss", *[f"g{i}" for i in range(len(point))]]
@@ -218,7 +217,7 @@ def _lbfgs(updater, reg):
     def run(spark, folder):
         objective, rows = _held_objective(spark, folder)
         try:
-            fit = minimize_lbfgs(objective, np.zeros(4), updater, tol=1e-15, iterations=50, reg=reg)
+            fit = minimize_lbfgs(objective, np.zeros(4), updater, tol=1e-12, iterations=50, reg=reg)
         finally:
             rows.unpersist()
         return named_values(spark, fit.weights, digits=5)
@@ -230,14 +229,28 @@ query("lbfgs_least_squares", _normal_sql(0.0))(_lbfgs(constant_step, 0.0))
 query("lbfgs_ridge", _normal_sql(REG))(_lbfgs(l2_step, REG))
 
 
-@query("lbfgs_logistic_flat")
-def _lbfgs_logistic_flat(spark, folder):
-    """At the optimum of a smooth loss the gradient vanishes: one row per weight."""
+def _newton_sql(rounds: int = 6) -> str:
+    """The logistic optimum by unrolled Newton steps."""
+    ctes = [LINE_ROWS_SQL, "solved_0 AS (SELECT " + ", ".join(f"0::double AS w{i}" for i in range(4)) + ")"]
+    for t in range(1, rounds + 1):
+        margin = " + ".join(f"w.w{i} * x{i}" for i in range(4))
+        ctes.append(
+            f"p{t} AS MATERIALIZED (SELECT x0, x1, x2, x3, flag, {margin} AS m, 1 / (1 + exp(-({margin}))) AS p FROM rows, solved_{t - 1} w)"
+        )
+        # curvature times new weights = curvature times old weights minus slope
+        cells = [f"sum(p * (1 - p) * x{i} * x{j}) / count(*) AS a{i}{j}" for i in range(4) for j in range(4)]
+        cells += [f"sum((p * (1 - p) * m - p + flag) * x{i}) / count(*) AS b{i}" for i in range(4)]
+        ctes.append(f"newton{t} AS MATERIALIZED (SELECT {', '.join(cells)} FROM p{t})")
+        ctes += S.eliminate_ctes(f"newton{t}", 4, f"_{t}")
+    last = f"solved_{rounds}"
+    return S.with_(ctes, "\nUNION ALL ".join(f"SELECT 'w{i}' AS name, {S.r(f'w{i}', 5)} AS value FROM {last}" for i in range(4)))
+
+
+@query("lbfgs_logistic", _newton_sql())
+def _lbfgs_logistic(spark, folder):
     objective, rows = _held_objective(spark, folder, "flag", LogisticLoss())
     try:
-        fit = minimize_lbfgs(objective, np.zeros(4), tol=1e-15, iterations=60)
-        slope = objective.evaluate(fit.weights).gradient
+        fit = minimize_lbfgs(objective, np.zeros(4), tol=1e-12, iterations=60)
     finally:
         rows.unpersist()
-    values = [(i, float(w), float(g)) for i, (w, g) in enumerate(zip(fit.weights, slope))]
-    return spark.createDataFrame(values, "position int, weight double, slope double")
+    return named_values(spark, fit.weights, digits=5)

@@ -149,10 +149,10 @@ def layered_select(sizes: Sequence[int], matrix: str, bias: str, value: str, dig
     return "\nUNION ALL ".join(parts)
 
 
-def eliminate_ctes(source: str, size: int) -> list[str]:
+def eliminate_ctes(source: str, size: int, tag: str = "") -> list[str]:
     """Solve the positive definite system ``a<i><j>, b<i>`` of one row by elimination.
 
-    The last table, ``solved``, holds the unknowns as ``w0, w1, …``.
+    The last table, ``solved<tag>``, holds the unknowns as ``w0, w1, …``.
     """
     out, previous = [], source
     for k in range(size):
@@ -165,7 +165,7 @@ def eliminate_ctes(source: str, size: int) -> list[str]:
                     cells.append(f"{pivot_row} / a{k}{k} AS {name}")
                 else:
                     cells.append(f"{name} - a{i}{k} * {pivot_row} / a{k}{k} AS {name}")
-        out.append(f"step{k} AS MATERIALIZED (SELECT {', '.join(cells)} FROM {previous})")
-        previous = f"step{k}"
-    out.append(f"solved AS (SELECT {', '.join(f'b{i} AS w{i}' for i in range(size))} FROM {previous})")
+        out.append(f"step{k}{tag} AS MATERIALIZED (SELECT {', '.join(cells)} FROM {previous})")
+        previous = f"step{k}{tag}"
+    out.append(f"solved{tag} AS (SELECT {', '.join(f'b{i} AS w{i}' for i in range(size))} FROM {previous})")
     return out

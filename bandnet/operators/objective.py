@@ -87,10 +87,15 @@ def _merge(table: pa.Table) -> pa.Table:
     )
 
 
+def merge_level(partials: DataFrame) -> DataFrame:
+    """Merge the partial rows of ``FAN_IN`` neighbouring partitions into one."""
+    return partials.groupBy(F.expr(f"part div {FAN_IN}").alias("bucket")).applyInArrow(_merge, PARTIAL_SCHEMA)
+
+
 def merge_partials(partials: DataFrame, parts: int) -> DataFrame:
     """Merge partial rows level by level until at most ``FAN_IN`` are left."""
     while parts > FAN_IN:
-        partials = partials.groupBy(F.expr(f"part div {FAN_IN}").alias("bucket")).applyInArrow(_merge, PARTIAL_SCHEMA)
+        partials = merge_level(partials)
         parts = -(-parts // FAN_IN)
     return partials
 
@@ -208,10 +213,10 @@ def partial_sums(
 def gradient_frame(df: DataFrame, topology: Topology, weights: Sequence[float], averaging: str = "rows", **options) -> DataFrame:
     """The mean gradient of a network as a lazy table ``(layer, input, output, gradient)``.
 
-    The bias of an output has input -1. Partial gradients are added by weight position in a
-    shuffle, so the table never passes through the driver.
+    The bias of an output has input -1. Partial gradients are merged ``FAN_IN`` at a time and then
+    added by weight position in a shuffle, so the table never passes through the driver.
     """
-    partials = partial_sums(df, topology, weights, averaging=averaging, **options)
+    partials = merge_level(partial_sums(df, topology, weights, averaging=averaging, **options))
     summed = (
         partials.select(F.col(averaging).alias("units"), F.posexplode("gradient").alias("position", "value"))
         .groupBy("position")
