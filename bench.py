@@ -102,7 +102,7 @@ def wide_timings(spark: SparkSession) -> tuple[dict[str, float], dict[str, float
     weights = formula_weights(topology.weight_count)
     with staged_blocks(stack_blocks(wide, WIDTH, 256)) as blocks:
         seconds["wide_stack"] = timed(blocks.count)
-        objective = BlockObjective(blocks, NetworkLoss(topology), WIDTH, block_size=256)
+        objective = BlockObjective(blocks, NetworkLoss(topology), WIDTH)
         objective.evaluate(weights)
         seconds["wide_evaluation"] = min(timed(lambda: objective.evaluate(weights)) for _ in range(3))
     column = network_column(wide, topology, weights, "features", decode=True)

@@ -114,7 +114,7 @@ def test_no_blocks_stay_cached(spark, clouds):
     before = len(spark.sparkContext._jsc.getPersistentRDDs())
     DenseClassifier(layers=[4, 3], maxIter=2).fit(clouds)
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
-    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").startswith("67108864")
 
 
 def test_parameters():

@@ -108,7 +108,7 @@ def test_table_gradient_equals_numpy(name, rows, make_rows):
     label = "label" if topology.target == "label" else None
     for partitions, size in ((1, 4), (5, 7), (30, 128)):
         blocks = stack_blocks(make_rows(x, y, partitions), 4, size, label=label)
-        found = BlockObjective(blocks, NetworkLoss(topology), 4, block_size=size).evaluate(w)
+        found = BlockObjective(blocks, NetworkLoss(topology), 4).evaluate(w)
         np.testing.assert_allclose(found.gradient, gradient / 23, atol=1e-12)
         assert found.count == 23 and abs(found.loss - loss / 23) < 1e-12
 
@@ -137,7 +137,7 @@ def test_block_average_weighs_blocks_alike(rows, make_rows):
     ox, oy = np.array([r.features for r in ordered]), np.array([r.label for r in ordered])
     cuts = [(s, min(s + 5, 23)) for s in range(0, 23, 5)]
     means = [np.array(NetworkLoss(topology).partial(ox[a:b], oy[a:b], w)[1]) / (b - a) for a, b in cuts]
-    found = BlockObjective(stack_blocks(df, 4, 5), NetworkLoss(topology), 4, "blocks", 5).evaluate(w)
+    found = BlockObjective(stack_blocks(df, 4, 5), NetworkLoss(topology), 4, "blocks").evaluate(w)
     np.testing.assert_allclose(found.gradient, np.mean(means, axis=0), atol=1e-12)
     assert found.count == 5
     frame = gradient_frame(df, topology, w, "blocks", block_size=5).collect()
