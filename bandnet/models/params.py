@@ -20,7 +20,7 @@ from pyspark.ml.param.shared import (
     HasStepSize,
     HasTol,
 )
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 
 from bandnet.operators.optimizers import SMALLEST_TOL, Fit
@@ -204,7 +204,7 @@ class NetworkSetters:
         return self._set(predictionCol=value)
 
 
-class NetworkModel(HasFeaturesCol, HasLabelCol, HasPredictionCol):
+class NetworkModel(HasFeaturesCol, HasLabelCol, HasPredictionCol, MLWritable, MLReadable):
     """State and persistence shared by the fitted models: layer sizes and flat weights."""
 
     def _init_network(self, layers: Sequence[int], weights: Any, history: Sequence[float] | None) -> None:
@@ -252,17 +252,10 @@ class NetworkModel(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     def write(self) -> MLWriter:
         return NetworkModelWriter(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
     def read(cls) -> "NetworkModelReader":
         return NetworkModelReader(cls)
 
-    @classmethod
-    def load(cls, path: str):
-        return cls.read().load(path)
-
 
 class NetworkModelWriter(MLWriter):
     """Metadata as JSON, and one parquet row with layer sizes and weights."""

@@ -30,4 +30,67 @@ from bandnet.operators.topology import (
 from bandnet.operators.training import fit_network, formula_weights, history_frame, weight_frame
 from bandnet.operators.updaters import constant_step, l1_step, l2_step, penalty, simple_step
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "Activation",
+    "Affine",
+    "BlockObjective",
+    "Bounds",
+    "ColumnObjective",
+    "Elementwise",
+    "Evaluation",
+    "Fit",
+    "HingeLoss",
+    "LeastSquaresLoss",
+    "LinearLoss",
+    "LogisticLoss",
+    "MultinomialLoss",
+    "NetworkLoss",
+    "RELU",
+    "ReconstructionEvaluator",
+    "SIGMOID",
+    "SigmoidSquaredError",
+    "SoftmaxCrossEntropy",
+    "SquaredError",
+    "Topology",
+    "accuracy",
+    "accuracy_by_label",
+    "check_labels",
+    "constant_step",
+    "encode",
+    "fit_network",
+    "fold_mse",
+    "formula_weights",
+    "forward",
+    "forward_all",
+    "gradient_frame",
+    "gram_matrix",
+    "history_frame",
+    "k_folds",
+    "l1_step",
+    "l2_step",
+    "labeled_rows",
+    "linear_sums",
+    "loss_frame",
+    "mean_fold_mse",
+    "minimize_gd",
+    "minimize_lbfgs",
+    "minmax_columns",
+    "minmax_fit",
+    "minmax_scale",
+    "minmax_stats",
+    "network_column",
+    "nnls_by_group",
+    "nnls_fit",
+    "partial_sums",
+    "penalty",
+    "random_split",
+    "reconstruction_mse",
+    "simple_step",
+    "solve_nonnegative",
+    "split_by_key",
+    "stack_blocks",
+    "staged_blocks",
+    "unmix",
+    "unstack_blocks",
+    "weight_frame",
+]

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIXEL = ("row", "col")
 
 
+def _whole(col: Column, size: int) -> Column:
+    """Whole-number division; a quotient of doubles would lose the last digits of large positions."""
+    return F.call_function("div", col, F.lit(size))
+
+
 def cube_cells(
     cells: DataFrame, height: int, width: int, bands: int, channels_last: bool = True, position: str = "position"
 ) -> DataFrame:
@@ -18,12 +23,12 @@ def cube_cells(
     """
     at = F.col(position)
     if channels_last:
-        pixel, band = F.floor(at / bands), at % bands
+        pixel, band = _whole(at, bands), at % bands
     else:
-        pixel, band = at % (height * width), F.floor(at / (height * width))
+        pixel, band = at % (height * width), _whole(at, height * width)
     return cells.withColumns(
         {
-            "row": F.floor(pixel / width).cast("int"),
+            "row": _whole(pixel, width).cast("int"),
             "col": (pixel % width).cast("int"),
             "band": band.cast("int"),
         }
@@ -33,16 +38,19 @@ def cube_cells(
 def cube_to_pixels(cube: DataFrame, unique: bool = True) -> DataFrame:
     """One row per pixel with its values in band order.
 
-    (row, col, band) is the key of a cube, so a pixel's group holds one value per band. Pass
-    ``unique=False`` for a table that may repeat cells: repeats are then merged (the largest
-    value wins) by partial aggregation before pixels are put together.
+    Copies of a cell collapse before the shuffle, so a pixel's group never outgrows its distinct
+    cells however often the table repeats them. Two different values for one cell are an error;
+    with ``unique=False`` the largest one wins instead.
     """
     if not unique:
         cube = cube.groupBy(*PIXEL, "band").agg(F.max("value").alias("value"))
-    return (
-        cube.groupBy(*PIXEL)
-        .agg(F.array_sort(F.collect_list(F.struct("band", "value"))).alias("cells"))
-        .select(*PIXEL, F.col("cells.value").alias("features"))
+    grouped = cube.groupBy(*PIXEL).agg(F.sort_array(F.collect_set(F.struct("band", "value"))).alias("cells"))
+    clean = F.size(F.array_distinct("cells.band")) == F.size("cells")
+    return grouped.select(
+        *PIXEL,
+        F.when(clean, F.col("cells.value"))
+        .otherwise(F.raise_error(F.format_string("pixel (%d, %d) has two values for one band", *PIXEL)))
+        .alias("features"),
     )
 
 
@@ -54,11 +62,17 @@ def pixels_to_cube(pixels: DataFrame, features: str = "features") -> DataFrame:
 def attach_labels(pixels: DataFrame, truth: DataFrame, label: str = "label") -> DataFrame:
     """Pixels with their ground-truth label in front; pixels without one keep a null label.
 
-    The join is left to Spark: a small truth table is broadcast by its measured size, a large one
-    is shuffled on the pixel key.
+    Copies in the truth table collapse before the join, so no pixel is repeated; two different
+    labels for one pixel are an error. The join is left to Spark: a small truth table is broadcast
+    by its measured size, a large one is shuffled on the pixel key.
     """
     rest = [c for c in pixels.columns if c not in PIXEL]
-    return pixels.join(truth.select(*PIXEL, label), list(PIXEL), "left").select(*PIXEL, label, *rest)
+    found = truth.groupBy(*PIXEL).agg(F.min(label).alias("low"), F.max(label).alias("high"))
+    one = F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low")).otherwise(
+        F.raise_error(F.format_string("pixel (%d, %d) has two labels", *PIXEL))
+    )
+    labels = found.select(*PIXEL, one.alias(label))
+    return pixels.join(labels, list(PIXEL), "left").select(*PIXEL, label, *rest)
 
 
 def pixel_lines(pixels: DataFrame, features: str = "features", label: str | None = None) -> DataFrame:

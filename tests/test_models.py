@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
@@ -65,11 +65,16 @@ def test_autoencoder_learns_without_labels(clouds):
     assert len(model.encode(df).first().code) == 4
 
 
-def test_vectors_and_pipelines(clouds):
+def test_vectors_and_pipelines(spark, clouds):
     df = clouds.select("label", array_to_vector("features").alias("raw"))
     stages = [MinMaxScaler(inputCol="raw", outputCol="features"), DenseClassifier(layers=[4, 3], maxIter=20)]
     model = Pipeline(stages=stages).fit(df)
     assert accuracy(model.transform(df)).first().accuracy > 0.95
+    path = scratch_path(spark, "stages")
+    model.write().save(path)
+    again = PipelineModel.load(path)
+    assert again.stages[1].weights == model.stages[1].weights
+    assert accuracy(again.transform(df)).first() == accuracy(model.transform(df)).first()
 
 
 def test_layout_and_block_size_do_not_matter(clouds):

@@ -78,7 +78,21 @@ def test_cube_layouts(spark, channels_last):
 
 def test_repeated_cells(spark):
     cells = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 0, 1), (0, 0, 1, 2)], "row int, col int, band int, value int")
-    assert cube_to_pixels(cells, unique=False).first().features == [1, 2]
+    assert cube_to_pixels(cells).first().features == [1, 2]
+    clash = cells.unionByName(spark.createDataFrame([(0, 0, 1, 9)], cells.schema))
+    assert cube_to_pixels(clash, unique=False).first().features == [1, 9]
+    with pytest.raises(Exception, match="two values for one band"):
+        cube_to_pixels(clash).collect()
+
+
+def test_repeated_labels(spark):
+    pixels = spark.createDataFrame([(0, 0, [1]), (0, 1, [2])], "row int, col int, features array<int>")
+    truth = spark.createDataFrame([(0, 0, 5)] * 50 + [(0, 1, None)], "row int, col int, label int")
+    rows = attach_labels(pixels, truth).orderBy("col").collect()
+    assert [(r.col, r.label) for r in rows] == [(0, 5), (1, None)]
+    clash = truth.unionByName(spark.createDataFrame([(0, 0, 6)], truth.schema))
+    with pytest.raises(Exception, match="two labels"):
+        attach_labels(pixels, clash).collect()
 
 
 def test_labels_and_csv_sink(spark):
