@@ -26,10 +26,19 @@ def read_pixel_csv(spark: SparkSession, path: str, columns: int | None = None) -
     return reader.csv(path)
 
 
+def _number(text: Column) -> Column:
+    """The value of a text; text that is no number is an error whatever the session's cast rules."""
+    value = text.try_cast("double")
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("not a number: "), text)))
+
+
 def _label_text(label: Column) -> Column:
-    text = F.trim(label.cast("string"))
-    checked = F.when(text.isNull() | (text == ""), F.raise_error(F.lit("a row has no label"))).otherwise(label.cast("string"))
-    return F.when(text.cast("double") == 0.0, F.lit("0")).otherwise(checked)
+    text = label.cast("string")
+    return (
+        F.when(text.isNull() | (F.trim(text) == ""), F.raise_error(F.lit("a row has no label")))
+        .when(_number(text) == 0.0, F.lit("0"))
+        .otherwise(text)
+    )
 
 
 def csv_to_libsvm(df: DataFrame, label_col: str | int | None = 0, no_labels: bool = False) -> DataFrame:
@@ -52,7 +61,7 @@ def csv_to_libsvm(df: DataFrame, label_col: str | int | None = 0, no_labels: boo
     numbered = F.transform(
         items,
         lambda item, i: F.when(
-            item.isNotNull() & (item != "") & (F.when(item != "", item).cast("double") != 0.0),
+            item.isNotNull() & (item != "") & F.when(item != "", _number(item) != 0.0),
             F.concat((i + 1).cast("string"), F.lit(":"), item),
         ),
     )

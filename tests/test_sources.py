@@ -45,9 +45,15 @@ def test_bad_labels_and_items_are_errors(spark):
     missing = spark.createDataFrame([(None, "1")], "a string, b string")
     with pytest.raises(Exception, match="no label"):
         csv_to_libsvm(missing).collect()
-    words = spark.createDataFrame([("1", "x")], "a string, b string")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
-        csv_to_libsvm(words).collect()
+    for row in (("1", "x"), ("x", "1")):
+        words = spark.createDataFrame([row], "a string, b string")
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            try:
+                with pytest.raises(Exception, match="not a number: x"):
+                    csv_to_libsvm(words).collect()
+            finally:
+                spark.conf.unset("spark.sql.ansi.enabled")
 
 
 def test_libsvm_roundtrip(spark, make_rows):
