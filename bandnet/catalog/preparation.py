@@ -152,7 +152,8 @@ def _block_sizes(spark, folder):
     return blocks.agg(
         F.sum("n").alias("n"),
         F.max("n").alias("largest"),
-        (F.sum(F.length("x")) / 8).cast("bigint").alias("feature_values"),
+        # 32-bit features, 64-bit labels
+        (F.sum(F.length("x")) / 4).cast("bigint").alias("feature_values"),
         (F.sum(F.length("y")) / 8).cast("bigint").alias("label_values"),
     )
 

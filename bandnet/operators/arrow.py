@@ -11,8 +11,11 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
-def matrix_from_lists(column: pa.Array, width: int) -> np.ndarray:
-    """A list column of equal-length rows as an (n, width) float64 matrix."""
+def matrix_from_lists(column: pa.Array, width: int, keep_floats: bool = False) -> np.ndarray:
+    """A list column of equal-length rows as an (n, width) float64 matrix.
+
+    With ``keep_floats`` a column of 32-bit floats stays one.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -24,7 +27,9 @@ def matrix_from_lists(column: pa.Array, width: int) -> np.ndarray:
     if values.null_count:
         raise ValueError("feature values must not be null")
     flat = values.to_numpy(zero_copy_only=False)
-    return np.asarray(flat, dtype=np.float64).reshape(len(column), width)
+    if not (keep_floats and flat.dtype == np.float32):
+        flat = np.asarray(flat, dtype=np.float64)
+    return flat.reshape(len(column), width)
 
 
 def lists_from_matrix(matrix: np.ndarray) -> pa.ListArray:
@@ -38,23 +43,26 @@ def lists_from_matrix(matrix: np.ndarray) -> pa.ListArray:
 
 
 def packed_binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Doubles as a binary column, one item for every stretch between two cuts; not a copy."""
-    flat = np.ascontiguousarray(values, dtype="<f8").reshape(-1)
+    """Floats or doubles as a binary column, one item for every stretch between two cuts; not a copy."""
+    flat = np.ascontiguousarray(values).reshape(-1)
     if flat.nbytes > np.iinfo(np.int32).max:
         raise ValueError("an Arrow batch holds too many values; lower arrow.maxRecordsPerBatch")
-    offsets = (np.asarray(cuts, dtype=np.int64) * 8).astype(np.int32)
+    offsets = (np.asarray(cuts, dtype=np.int64) * flat.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
 
-def doubles_from_binary(column: pa.Array) -> np.ndarray:
-    """All doubles of a packed binary column, end to end; not a copy."""
-    if len(column) == 0:
+def numbers_from_binary(column: pa.Array, count: int) -> np.ndarray:
+    """The ``count`` numbers of a packed binary column, end to end; not a copy.
+
+    Their size follows from the count: four bytes are floats, eight are doubles.
+    """
+    if count == 0:
         return np.empty(0)
     _, offset_buffer, data = column.buffers()
     offsets = np.frombuffer(offset_buffer, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-    if data is None or offsets[-1] == offsets[0]:
-        return np.empty(0)
-    return np.frombuffer(data, dtype="<f8", offset=int(offsets[0]), count=int(offsets[-1] - offsets[0]) // 8)
+    start, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+    kind = {4: "<f4", 8: "<f8"}[size // count]
+    return np.frombuffer(data, dtype=kind, offset=start, count=count)
 
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -2,8 +2,9 @@
 
 A block is one row ``(n, x, y)``: the row count, ``n * width`` feature values row by row, and
 ``n`` labels (empty when the network's target is its own input, so nothing is stored twice).
-The values are packed as little-endian doubles in binary columns, which cross to Python about
-twice as fast as arrays. Rows are packed within their partition, without a shuffle.
+The values are packed as little-endian numbers in binary columns, which cross to Python about
+twice as fast as arrays; features that come as 32-bit floats stay so and are widened only for
+the arithmetic. Rows are packed within their partition, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandnet.functions import feature_array
-from bandnet.operators.arrow import doubles_from_binary, lists_from_matrix, matrix_from_lists, packed_binary
+from bandnet.operators.arrow import lists_from_matrix, matrix_from_lists, numbers_from_binary, packed_binary
 
 BLOCK_SCHEMA = "n int, x binary, y binary"
 
@@ -62,9 +63,9 @@ def pack_rows(width: int, block_size: int, with_label: bool):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_x, held_y = np.empty((0, width)), np.empty(0)
+        held_x, held_y = np.empty((0, width), dtype=np.float32), np.empty(0)
         for batch in batches:
-            x = matrix_from_lists(batch.column(0), width)
+            x = matrix_from_lists(batch.column(0), width, keep_floats=True)
             y = batch.column(1).to_numpy(zero_copy_only=False) if with_label else np.empty(0)
             if len(held_x):
                 x, y = np.concatenate([held_x, x]), np.concatenate([held_y, y])
@@ -94,8 +95,12 @@ def stack_blocks(
 
 def block_arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A batch of blocks as one matrix of rows, their labels, and the rows per block."""
-    x = doubles_from_binary(batch.column(1)).reshape(-1, width)
-    return x, doubles_from_binary(batch.column(2)), np.asarray(batch.column(0))
+    counts = np.asarray(batch.column(0))
+    rows = int(counts.sum())
+    x = numbers_from_binary(batch.column(1), rows * width).reshape(-1, width)
+    labels = batch.column(2)
+    with_label = rows and len(labels[0].as_buffer() or b"") > 0
+    return x, numbers_from_binary(labels, rows if with_label else 0), counts
 
 
 def unstack_blocks(blocks: DataFrame, width: int) -> DataFrame:

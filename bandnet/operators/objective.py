@@ -57,7 +57,8 @@ def _partition_sum(loss: Loss, width: int, by_block: bool, weights: Callable[[],
             # chunks follow the blocks when a block counts as one unit; otherwise any cut does
             cuts = np.append(0, np.cumsum(counts)) if by_block else np.append(np.arange(0, len(x), CHUNK_ROWS), len(x))
             for start, stop in zip(cuts[:-1], cuts[1:]):
-                part_loss, part_gradient = loss.partial(x[start:stop], y[start:stop], w)
+                rows_here = np.asarray(x[start:stop], dtype=np.float64)
+                part_loss, part_gradient = loss.partial(rows_here, y[start:stop], w)
                 unit = float(stop - start) if by_block else 1.0
                 total += part_loss / unit
                 gradient += part_gradient if unit == 1.0 else part_gradient / unit

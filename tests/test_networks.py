@@ -113,6 +113,15 @@ def test_table_gradient_equals_numpy(name, rows, make_rows):
         assert found.count == 23 and abs(found.loss - loss / 23) < 1e-12
 
 
+def test_float_blocks_give_the_gradient_of_their_values(rows, make_rows):
+    topology, (x, y) = TOPOLOGIES["classifier"], rows
+    w = formula_weights(topology.weight_count)
+    x = x.astype(np.float32).astype(np.float64)
+    df = make_rows(x, y).selectExpr("cast(features as array<float>) features", "label")
+    found = BlockObjective(stack_blocks(df, 4, 5), NetworkLoss(topology), 4).evaluate(w)
+    np.testing.assert_allclose(found.gradient, NetworkLoss(topology).partial(x, y, w)[1] / 23, atol=1e-12)
+
+
 def test_partials_merge_in_a_tree(rows, make_rows, monkeypatch):
     topology, (x, y) = TOPOLOGIES["classifier"], rows
     w = formula_weights(topology.weight_count)

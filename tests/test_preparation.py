@@ -94,7 +94,9 @@ def test_blocks_without_labels(make_rows):
 
 def test_float_features_keep_their_value(spark):
     df = spark.createDataFrame([([0.1, 0.2], 1.0)], "features array<float>, label double")
-    row = unstack_blocks(stack_blocks(df, 2, 8), 2).first()
+    blocks = stack_blocks(df, 2, 8)
+    assert len(blocks.first().x) == 8 and len(blocks.first().y) == 8
+    row = unstack_blocks(blocks, 2).first()
     assert row.features == [float(np.float32(0.1)), float(np.float32(0.2))]
 
 
