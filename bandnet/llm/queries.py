@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandnet.llm.decontaminate import find_contamination
+from bandnet.llm.minhash import near_duplicates
 from bandnet.llm.packing import pack_best_fit, token_pieces
 from bandnet.llm.quality import apply_quality_rules, fit_from_labels
 from bandnet.llm.secrets import scan_secrets
@@ -40,6 +41,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+@query("op1_bag_minhash")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_rows", "first_of_class")
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     pieces = token_pieces(table(spark, folder, "documents"), vocabulary(), ["doc_id"], end_id=PACK_END_ID, capacity=PACK_CAPACITY)
