@@ -23,7 +23,9 @@ from bandnet.llm.components import connected_components
 from bandnet.llm.storage import fresh_name, stored
 from bandnet.llm.textbytes import WHITE, Hashes, column_bytes, keyed, mix, runs, slices, windows
 
-SHINGLE, SLOTS, BAND_ROWS, THRESHOLD = 5, 128, 4, 0.8
+# 56 bands of 8: texts of similarity 0.8 share one but for 1 pair in 30,000, texts of 0.25 do in 1 of 1,200
+SHINGLE, SLOTS, BAND_ROWS, THRESHOLD = 5, 448, 8, 0.8
+BITMAP_WORDS = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,10 +121,10 @@ def _bands(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _bags(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """A text as the sorted hashes of its shingles, each counted with its occurrence, packed."""
+    """A text as the sorted hashes of its shingles, each counted with its occurrence, packed; how many; a bitmap of them."""
     for column in columns:
         data, cuts = column_bytes(column)
-        out = []
+        out, sizes, bitmaps = [], [], []
         for a, b in slices(cuts):
             rows, found = shingles(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
             named = keyed(found, 3) + mix(occurrences(rows, found).astype(np.uint64)) * _STEP
@@ -130,7 +132,14 @@ def _bags(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ends = np.searchsorted(rows, np.arange(b - a + 1))
             named = named[order]
             out += [named[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.array(out, pa.binary())
+            sizes.append(np.diff(ends))
+            bits = np.zeros((b - a, 64 * BITMAP_WORDS), dtype=bool)
+            bits[rows, (named & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64)] = True
+            bitmaps.append(np.packbits(bits, axis=1).reshape(-1).view(np.int64))
+        offsets = np.arange(len(out) + 1, dtype=np.int32) * BITMAP_WORDS
+        packed = np.concatenate(bitmaps) if bitmaps else np.empty(0, np.int64)
+        arrays = [pa.array(out, pa.binary()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]
+        yield pa.StructArray.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed))], names=["bag", "size", "bits"])
 
 
 def _overlap(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -152,50 +161,65 @@ def _udf(function, kind: str, several: bool = False):
     return F.arrow_udf(function, kind).asNondeterministic()
 
 
+def _may_link(threshold: float):
+    """Whether two bags, as columns ``size``/``bits`` and ``hub_size``/``hub_bits``, can reach the threshold.
+
+    A bit that only one bag has set is an element that the other lacks, which bounds what they can share.
+    """
+    lacks = lambda one, other: sum(
+        (F.bit_count(F.get(one, i).bitwiseAND(F.bitwise_not(F.get(other, i)))) for i in range(BITMAP_WORDS)), start=F.lit(0)
+    )
+    shared = F.least(F.col("size") - lacks("bits", "hub_bits"), F.col("hub_size") - lacks("hub_bits", "bits"))
+    return shared >= threshold / (1 + threshold) * (F.col("size") + F.col("hub_size")) - 1e-6
+
+
 def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """``(node, label)`` of linked nodes; members are ``(bucket, node)`` and bags ``(node, bag)``.
+    """``(node, label)`` of linked nodes; members are ``(bucket, node, weight)``, bags ``(node, bag, size, bits)``.
 
-    Round by round a bucket's first members that resemble none of its hubs become hubs themselves and are compared with
-    all members of the bucket, until every member is a hub or resembles one. The distance 1 - similarity is a metric, so
-    for two members that are no hubs, one of them within the limit of a hub, a link is impossible if the other is
-    farther from that hub than twice the limit. Members within twice the limit of a hub of another class therefore
-    become hubs too. Then every link between two classes has been tested, and links inside a class change nothing.
+    Round by round some members of a bucket become hubs and are compared with the others of it, the heaviest first: a text
+    that meets many others in large buckets is likely to be what they are copies of. Links inside a class change nothing,
+    so in every bucket one class, the one with most members that are no hubs, may keep them so; when all members of the
+    other classes are hubs, each pair of two classes has had its comparison. Pairs that cannot reach the threshold by
+    their bitmaps are left out of the join.
     """
-    limit = 1 - threshold
     similarity = _udf(_overlap, "double", several=True)
-    hubs, compared = None, None
-    waiting, fresh = members, 1
-    while True:
-        chosen = waiting.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-        if fresh == 1:  # the first member by an aggregate, since no bucket has a hub yet
-            chosen = waiting.groupBy("bucket").agg(F.min("node").alias("hub"))
-        else:
-            chosen = chosen.where(F.col("place") <= fresh).select("bucket", F.col("node").alias("hub"))
-        chosen = stored(chosen, "hubs")
-        pairs = members.join(chosen, "bucket").where("node != hub").select("hub", "node").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["hub", "node"], "left_anti")
-        sized = pairs.join(bags, "node").withColumnRenamed("bag", "one")
+    sketches = bags.select("node", "size", "bits")
+    hub_sketches = sketches.withColumnsRenamed({"node": "hub", "size": "hub_size", "bits": "hub_bits"})
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(bags.select("node", F.col("bag").alias("one")), "node")
         sized = sized.join(bags.select(F.col("node").alias("hub"), F.col("bag").alias("other")), "hub")
-        tested = stored(sized.select("hub", "node", similarity("one", "other").alias("similarity")), "tested")
-        compared = tested if compared is None else stored(compared.union(tested), "compared")
-        hubs = chosen if hubs is None else stored(hubs.union(chosen), "all-hubs")
-        near = members.join(hubs, "bucket").join(compared.where(F.col("similarity") >= threshold), ["hub", "node"])
-        settled = near.select("bucket", "node").union(hubs.select("bucket", F.col("hub").alias("node"))).distinct()
-        waiting = stored(members.join(settled, ["bucket", "node"], "left_anti"), "waiting")
-        if not waiting.isEmpty():
-            fresh = min(64, 4 * fresh)
-            continue
+        return stored(sized.select("hub", "node", similarity("one", "other").alias("similarity")), "tested")
+
+    members = stored(members.join(sketches, "node"), "buckets")
+    chosen = members.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
+    chosen = chosen.select("bucket", F.col("first.node").alias("hub")).join(hub_sketches, "hub")
+    pairs = members.join(chosen, "bucket").where((F.col("node") != F.col("hub")) & _may_link(threshold))
+    compared = tested(pairs.select("hub", "node").distinct())
+    members = members.join(chosen.select("bucket", "hub"), "bucket").withColumn("is_hub", F.col("node") == F.col("hub")).drop("hub")
+    fresh = 4
+    while True:
         labels = stored(connected_components(compared.where(F.col("similarity") >= threshold), "hub", "node"), "labels")
-        close = compared.where((F.col("similarity") < threshold) & (F.col("similarity") >= 1 - 2 * limit - 1e-9))
-        close = close.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
-        close = close.join(labels, "node", "left")
-        close = close.where(F.coalesce("label", "node") != F.coalesce("hub_label", "hub")).select("hub", "node")
-        border = members.join(hubs, "bucket").join(close, ["hub", "node"]).select("bucket", "node").distinct()
-        waiting = stored(border.join(hubs.withColumnRenamed("hub", "node"), ["bucket", "node"], "left_anti"), "border")
+        classed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        classed = stored(classed.select(*members.columns, "label"), "classed")
+        idle = classed.groupBy("bucket", "label").agg(F.sum((~F.col("is_hub")).cast("long")).alias("idle"))
+        spared = idle.groupBy("bucket").agg(F.max(F.struct("idle", "label")).alias("spared"))
+        waiting = classed.join(spared, "bucket").where("NOT is_hub AND label != spared.label").select("bucket", "node", "weight")
+        waiting = stored(waiting, "waiting")
         if waiting.isEmpty():
             return labels
-        fresh = 64
+        heaviest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+        chosen = waiting.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= fresh)
+        chosen = stored(chosen.select("bucket", F.col("node").alias("hub")), "hubs")
+        now = chosen.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("now"))
+        classed = classed.join(waiting.select("bucket").distinct(), "bucket").join(now, ["bucket", "node"], "left")
+        classed = stored(classed.withColumn("is_hub", F.col("is_hub") | F.coalesce("now", F.lit(False))).drop("now"), "open")
+        hub_labels = classed.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        chosen = chosen.join(hub_labels, ["bucket", "hub"]).join(hub_sketches, "hub")
+        pairs = classed.join(chosen, "bucket").where((F.col("label") != F.col("hub_label")) & _may_link(threshold))
+        pairs = pairs.select("hub", "node").distinct().join(compared, ["hub", "node"], "left_anti")
+        compared = stored(compared.union(tested(pairs)), "compared")
+        members, fresh = classed.drop("label"), 4 * fresh
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -224,11 +248,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     banded = signed.select("row", "b").join(nodes.select("row", "node"), "row").select("node", F.explode("b").alias("bucket"))
     banded = stored(banded.distinct(), "banded")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stored(banded.join(shared, "bucket"), "members")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stored(banded.join(shared, "bucket"), "met")
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = stored(met.select("bucket", "node").join(weights, "node"), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "row")
     texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("x")).join(wanted, "row")
-    bags = stored(texts.select("node", _udf(_bags, "binary")("x").alias("bag")), "bags")
+    bagged = _udf(_bags, "bag binary, size long, bits array<long>")("x").alias("bagged")
+    bags = stored(texts.select("node", bagged).select("node", "bagged.*"), "bags")
     labels = _link_buckets(members, bags, threshold)
 
     classed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

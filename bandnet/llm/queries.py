@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandnet.llm.decontaminate import find_contamination
+from bandnet.llm.langid import identify_languages, learn_languages
+from bandnet.llm.licenses import CONTAINMENT, TEMPLATES, scan_licenses, template_table
 from bandnet.llm.minhash import near_duplicates
 from bandnet.llm.packing import pack_best_fit, token_pieces
 from bandnet.llm.quality import apply_quality_rules, fit_from_labels
 from bandnet.llm.secrets import scan_secrets
 from bandnet.llm.sharding import balanced_shards
+from bandnet.llm.url_lists import HOST_PATTERN, host_keys, host_of, judge_captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,9 +39,13 @@ def query(name: str, sql: str | None = None):
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The content of a public tokenizer's file."""
+    return vocabulary_bytes(name).decode("utf-8")
+
+
+def vocabulary_bytes(name: str = "piece_bpe_32k.model") -> bytes:
     import public_tokenizers
 
-    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+    return Path(public_tokenizers.path(name)).read_bytes()
 
 
 @query("op1_bag_minhash")
@@ -47,12 +54,113 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_rows", "first_of_class")
 
 
+def _number(text: str, salt: str, modulus: int) -> str:
+    """A number below ``modulus`` that depends on a text, for ``_engine`` to put into SQL."""
+    return f"{{hex}}(substr(md5({text} || '{salt}'), 1, 8)) % {modulus}"
+
+
+# The tables name no fetch times and no lists. Both are made from the pages: each is fetched at a minute of 2024 that its
+# number decides; two in three hosts and domains are listed, with two entries at minutes that their names decide.
+_MINUTE = "timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast({minute} as int), 0)"
+_DUCK_MINUTE = "timestamp '2024-01-01 00:00:00' + to_minutes(cast({minute} as int))"
+_FETCHED, _LISTED = "page_id * 7919 % 525600", _number("key", "{turn}", 525600)
+_LISTED_KEY, _ACTION = _number("key", "listed", 3) + " < 2", "CASE WHEN " + _number("key", "{turn}-action", 2) + " = 0 THEN 'block' ELSE 'allow' END"
+
+
+def _engine(sql: str, engine: str, **values) -> str:
+    """A template of ``_number`` for one of the engines."""
+    for name, value in values.items():
+        sql = sql.replace("{" + name + "}", str(value))
+    at = sql.find("{hex}(")
+    while at >= 0:
+        depth, end = 0, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        inside = sql[at + 6 : end - 1]
+        number = f"cast(conv({inside}, 16, 10) as bigint)" if engine == "spark" else f"('0x' || {inside})::bigint"
+        sql = sql[:at] + number + sql[end:]
+        at = sql.find("{hex}(")
+    return sql
+
+
+def _entry_sql(engine: str, turn: int) -> str:
+    minute = _MINUTE if engine == "spark" else _DUCK_MINUTE
+    listed = _engine(_LISTED, engine, turn=turn)
+    return f"SELECT key, {minute.format(minute=listed)} AS listed_at, {_engine(_ACTION, engine, turn=turn)} AS action FROM keys WHERE {_engine(_LISTED_KEY, engine)}"
+
+
+@query(
+    "op3_url_lists_as_of",
+    rf"""
+WITH captures AS (SELECT page_id, url, nullif(rtrim(regexp_extract(lower(url), '{HOST_PATTERN}', 1), '.'), '') AS host,
+  {_DUCK_MINUTE.format(minute=_FETCHED)} AS fetched_at FROM pages),
+hosts AS (SELECT DISTINCT host, string_split(host, '.') AS parts FROM captures WHERE host IS NOT NULL),
+host_keys AS (SELECT host, array_to_string(parts[i:], '.') AS key FROM (SELECT host, parts, unnest(range(1, greatest(1, len(parts) - 1) + 1)) AS i FROM hosts)),
+keys AS (SELECT DISTINCT key FROM host_keys),
+entries AS ({_entry_sql("duckdb", 1)} UNION ALL {_entry_sql("duckdb", 2)}),
+held AS (SELECT key, listed_at, max(action) AS action FROM entries GROUP BY key, listed_at),
+intervals AS (SELECT *, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS until FROM held),
+met AS (SELECT page_id, k.key, action, listed_at, row_number() OVER (PARTITION BY page_id ORDER BY length(k.key) DESC) AS place
+  FROM captures c JOIN host_keys k USING (host) JOIN intervals i ON i.key = k.key AND listed_at <= fetched_at AND (until IS NULL OR fetched_at < until))
+SELECT page_id, host, key AS matched_key, action AS verdict, epoch(listed_at)::bigint AS since
+FROM captures LEFT JOIN (SELECT * FROM met WHERE place = 1) USING (page_id)
+""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    captures = pages.select("page_id", "url", F.expr(_MINUTE.format(minute=_FETCHED)).alias("fetched_at"))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).dropna().distinct()
+    keys = hosts.select(F.explode(host_keys(F.col("host"))).alias("key")).distinct()
+    entries = None
+    for turn in (1, 2):
+        listed = _MINUTE.format(minute=_engine(_LISTED, "spark", turn=turn))
+        one = keys.where(_engine(_LISTED_KEY, "spark")).selectExpr("key", f"{listed} AS listed_at", f"{_engine(_ACTION, 'spark', turn=turn)} AS action")
+        entries = one if entries is None else entries.union(one)
+    judged = judge_captures(captures, entries)
+    return judged.select("page_id", "host", "matched_key", "verdict", F.unix_timestamp("since").alias("since"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     pieces = token_pieces(table(spark, folder, "documents"), vocabulary(), ["doc_id"], end_id=PACK_END_ID, capacity=PACK_CAPACITY)
     return pack_best_fit(pieces, capacity=PACK_CAPACITY)
 
 
+_LICENSE_WORDS = "list_filter(string_split_regex(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), w -> w <> '')"
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(1, len({words}) - 4) + 1), i -> array_to_string({words}[i : i + 4], ' ')))"
+_TEMPLATE_ROWS = ", ".join("('" + name + "', '" + said.replace("'", "''") + "')" for name, said in TEMPLATES)
+
+
+@query(
+    "op5_license_windows",
+    f"""
+WITH t AS (SELECT license_id, {_LICENSE_WORDS.format(text="template")} AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(license_id, template)),
+sought AS MATERIALIZED (SELECT license_id, len(w) AS n, {_SHINGLES.format(words="w")} AS t_shingles FROM t),
+texts AS MATERIALIZED (SELECT text, {_LICENSE_WORDS.format(text="text")} AS w FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+starts AS (SELECT text, w, n, unnest(range(0, len(w), 3)) AS start FROM texts, (SELECT DISTINCT n FROM sought)),
+windows AS (SELECT text, n, start, w[start + 1 : start + n + 2] AS w FROM starts),
+shingled AS (SELECT text, n, start, {_SHINGLES.format(words="w")} AS shingles FROM windows),
+shared AS (SELECT text, license_id, start, len(list_intersect(t_shingles, shingles)) / len(t_shingles)::double AS share FROM shingled JOIN sought USING (n)),
+best AS (SELECT text, license_id, min((-share, start)) AS b FROM shared WHERE share >= {CONTAINMENT} - 1e-12 GROUP BY ALL),
+listed AS (SELECT text, string_agg(license_id, ',' ORDER BY license_id) AS ids, count(*) AS n, round(max(-b[1]), 6) AS top, min(b[2]) AS first FROM best GROUP BY text)
+SELECT doc_id, coalesce(ids, '') AS license_ids, coalesce(n, 0)::int AS n_licenses, top AS best_containment, first::int AS first_word
+FROM documents LEFT JOIN listed USING (text)
+""",
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), template_table(spark))
+    return found.select(
+        "doc_id",
+        F.array_join("licenses.license_id", ",").alias("license_ids"),
+        F.size("licenses").alias("n_licenses"),
+        F.round(F.array_max("licenses.containment"), 6).alias("best_containment"),
+        F.array_min("licenses.first_word").alias("first_word"),
+    )
+
+
 @query("op6_balanced_shards")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
@@ -78,6 +186,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op8_unigram_languages")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    learnt = learn_languages(docs.where(~held_out), vocabulary_bytes())
+    found = identify_languages(docs.select("doc_id", "text"), learnt)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def _span_list(spans):
     parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return F.array_join(parts, ",")
