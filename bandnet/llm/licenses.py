@@ -100,7 +100,11 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text: str = "text", con
     starts = lambda n: F.sequence(
         (F.ceil(F.greatest(F.lit(0), F.col("place") - n - 1) / STRIDE) * STRIDE).cast("int"), F.col("place").cast("int"), F.lit(STRIDE)
     )
-    several = F.flatten(F.array(*[F.transform(starts(n), lambda s, n=n: F.struct(s.alias("start"), F.lit(n).alias("n"))) for n in lengths]))
+
+    def of_length(n: int) -> Column:
+        return F.transform(starts(n), lambda s: F.struct(s.alias("start"), F.lit(n).alias("n")))
+
+    several = F.flatten(F.array(*map(of_length, lengths)))
     spans = F.filter(several, lambda x: x["start"] <= F.col("place"))
     windows = texts.select("digest", "words", F.explode(spans).alias("w"))
     windows = windows.select("digest", "w.start", "w.n", F.slice("words", F.col("w.start") + 1, F.col("w.n") + 2).alias("words")).distinct()

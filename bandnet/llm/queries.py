@@ -129,8 +129,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pack_best_fit(pieces, capacity=PACK_CAPACITY)
 
 
-_LICENSE_WORDS = "list_filter(string_split_regex(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), w -> w <> '')"
-_SHINGLES = "list_distinct(list_transform(range(1, greatest(1, len({words}) - 4) + 1), i -> array_to_string({words}[i : i + 4], ' ')))"
+_LICENSE_WORDS = "list_filter(string_split_regex(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda w: w <> '')"
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(1, len({words}) - 4) + 1), lambda i: array_to_string({words}[i : i + 4], ' ')))"
 _TEMPLATE_ROWS = ", ".join("('" + name + "', '" + said.replace("'", "''") + "')" for name, said in TEMPLATES)
 
 
