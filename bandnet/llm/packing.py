@@ -8,8 +8,6 @@ decreasing order. Each piece then finds its place from its length and its rank a
 
 from __future__ import annotations
 
-import gc
-import json
 import os
 import sys
 import zlib
@@ -19,15 +17,14 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name, stored
+from bandnet.llm.textbytes import Hashes, column_bytes, runs, slices
 
-WORD_CACHE = 800_000
-PART_CACHE = 500_000
+WORD_MEMORY = 2_000_000
 JOINED = 256
 
 
@@ -191,12 +188,11 @@ def pack_best_fit(pieces: DataFrame, length: str = "length", capacity: int = 409
 
 
 class WordEncoder:
-    """Token ids of texts as packed 32-bit numbers, word by word.
+    """Token ids of texts, word by word.
 
-    The tokenizer splits at white space and never joins across it, so the ids of a text are those of its words; words
-    seen before are looked up. Where its pattern splits words further, a new word of Latin letters (for which lower case
-    is the whole normalisation) is looked up by those parts. What is new still is encoded, many at a time, with a
-    control character between that is a token of its own.
+    The tokenizer splits at white space and never joins across it, so the ids of a text are those of its words. Words are
+    hashed as bytes; the ids of a word seen before are looked up by its hash, those of new words are encoded many at a
+    time, with a control character between that is a token of its own.
     """
 
     MARK = "\x01"
@@ -208,65 +204,78 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         mark = self.tokenizer.encode(f"a {self.MARK} a", add_special_tokens=False).ids
         self.mark_id = mark[1] if len(mark) == 3 and mark[0] == mark[2] else None
-        self.pattern = self._split_pattern(json.loads(tokenizer_json))
-        # A Python worker serves many tasks; what it has looked up stays with the process
-        kept = sys.modules.setdefault("bandnet_worker_memory", ModuleType("bandnet_worker_memory")).__dict__
-        name = f"words-{zlib.crc32(tokenizer_json.encode())}"
-        self.known, self.parts = kept.setdefault(name, ({"": b""}, {}))
-
-    @staticmethod
-    def _split_pattern(config: dict) -> regex.Pattern | None:
-        """The pattern that finds the parts of a word, for a tokenizer that only lowers case and splits by one."""
-        steps = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        kinds = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
-        if kinds != ["NFC", "Replace", "Lowercase"] or [s["type"] for s in steps] != ["Split", "ByteLevel"]:
-            return None
-        if steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
-            return None
-        return regex.compile(steps[0]["pattern"]["Regex"])
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        plain = [t for t in texts if self.mark_id is not None and "<" not in t and self.MARK not in t]
+        self._forget()
+
+    def _forget(self) -> None:
+        # A large sorted table of hashes and a small one of late comers; the ids of all words end to end
+        self.tables = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        plain = [w for w in words if self.mark_id is not None and "<" not in w and self.MARK not in w]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         joined = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False)
-        found: dict[str, bytes] = {}
+        found: dict[str, np.ndarray] = {}
         for group, encoding in zip(groups, joined, strict=True):
-            ids = np.array(encoding.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id) * 4
-            packed, at = ids.tobytes(), 0
-            for text, cut in zip(group, [*cuts.tolist(), len(packed)], strict=True):
-                found[text] = packed[at:cut]
-                at = cut + 4
-        alone = [t for t in texts if t not in found]
-        for text, encoding in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            found[text] = np.array(encoding.ids, dtype="<u4").tobytes()
-        return [found[t] for t in texts]
-
-    def _learn(self, words: list[str]) -> None:
-        split = [w for w in words if self.pattern and "<" not in w and (w.isascii() or max(w) < "\u0100")]
-        whole = list(set(words).difference(split)) if len(split) < len(words) else []
-        self.known.update(zip(whole, self._encoded(whole), strict=True))
-        pieces = [self.pattern.findall(w.lower()) for w in split]
-        new = set().union(*pieces).difference(self.parts)
-        if len(self.parts) + len(new) > PART_CACHE:
-            self.parts.clear()
-            new = set().union(*pieces)
-        new = list(new)
-        self.parts.update(zip(new, self._encoded(new), strict=True))
-        get = self.parts.__getitem__
-        self.known.update((w, b"".join(map(get, p))) for w, p in zip(split, pieces, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        needed = set().union(*split)
-        missing = needed.difference(self.known)
-        if len(self.known) + len(missing) > WORD_CACHE:
-            self.known.clear()
-            self.known[""] = b""
-            missing = needed.difference(self.known)
-        self._learn(list(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            ids = np.array(encoding.ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            found.update(zip(group, (ids[i:j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)), strict=True))
+        alone = [w for w in words if w not in found]
+        for word, encoding in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            found[word] = np.array(encoding.ids, dtype=np.uint32)
+        return [found[w] for w in words]
+
+    def _rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of known words by their sorted hashes, -1 for others."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        for keys, rows in self.tables:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, rows[at], out)
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> np.ndarray:
+        rows = np.arange(len(self.begin), len(self.begin) + len(words))
+        encoded = self._encoded(words)
+        sizes = np.array([len(e) for e in encoded], dtype=np.int32)
+        flat = np.concatenate(encoded)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(self.used + 2 * len(flat), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes, dtype=np.int64) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.used += len(flat)
+        large, late = self.tables
+        late = (np.concatenate([late[0], hashes]), np.concatenate([late[1], rows]))
+        if len(late[0]) > 50_000 + len(large[0]) // 4:
+            late, large = (late[0][:0], late[1][:0]), (np.concatenate([large[0], late[0]]), np.concatenate([large[1], late[1]]))
+            order = np.argsort(large[0])
+            large = (large[0][order], large[1][order])
+        order = np.argsort(late[0])
+        self.tables = [large, (late[0][order], late[1][order])]
+        return rows
+
+    def encode(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are bytes end to end, and the cuts between the texts' ids."""
+        starts, ends = runs((data != 0x20) & (data != 0x0A), cuts)
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(cuts), np.int64)
+        hashes, first, word = np.unique(Hashes(data).of(starts, ends), return_index=True, return_inverse=True)
+        if len(self.begin) > WORD_MEMORY:
+            self._forget()
+        rows = self._rows(hashes)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            raw = data.tobytes()
+            at = first[new]
+            said = [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            rows[new] = self._learn(hashes[new], said)
+        rows = rows[word]
+        sizes = self.size[rows].astype(np.int64)
+        until = np.concatenate([[0], np.cumsum(sizes)])
+        where = np.repeat(self.begin[rows] - until[:-1], sizes) + np.arange(until[-1])
+        return self.ids[where], until[np.searchsorted(starts, cuts)]
 
 
 def token_pieces(
@@ -289,29 +298,31 @@ def token_pieces(
     names = [*keys, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # dictionaries of strings have no cycles, and walking them takes a third of the time
-        encoder = WordEncoder(vocabulary.value)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        step = 4 * capacity
+        # A Python worker serves many tasks; the words it has looked up stay with the process
+        kept = sys.modules.setdefault("bandnet_worker_memory", ModuleType("bandnet_worker_memory")).__dict__
+        name = f"words-{zlib.crc32(vocabulary.value.encode())}"
+        if name not in kept:
+            kept[name] = WordEncoder(vocabulary.value)
+        encoder = kept[name]
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                source, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, packed in enumerate(encoder.encode(batch.column(len(keys)).to_pylist())):
-                    packed += end
-                    for number, at in enumerate(range(0, len(packed), step)):
-                        part = packed[at : at + step]
-                        source.append(i)
-                        piece.append(number)
-                        start.append(at // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            ids.append(np.frombuffer(part, dtype="<i4"))
-                rows = batch.take(pa.array(source, pa.int64()))
-                arrays = [*rows.columns[: len(keys)], pa.array(piece, pa.int32())]
+            data, cuts = column_bytes(whole.column(len(keys)))
+            for a, b in slices(cuts):
+                ids, ends = encoder.encode(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+                ids = np.insert(ids, ends[1:], end_id).astype("<u4")
+                ends = ends + np.arange(len(ends))
+                count = -(-np.diff(ends) // capacity)
+                source = np.repeat(np.arange(b - a), count)
+                piece = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(ends)[source] - start)
+                begin = ends[source] + start
+                stretches = list(zip(begin.tolist(), (begin + length).tolist(), strict=True))
+                crc = [zlib.crc32(ids[i:j]) for i, j in stretches]
+                rows = whole.slice(a, b - a).take(pa.array(source))
+                arrays = [*rows.columns[: len(keys)], pa.array(piece.astype(np.int32))]
                 arrays += [pa.array(v, pa.int64()) for v in (start, length, crc)]
-                arrays += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+                if with_ids:
+                    arrays.append(pa.array([ids[i:j].view("<i4") for i, j in stretches], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
