@@ -16,6 +16,7 @@ from bandnet.llm.packing import pack_best_fit, token_pieces
 from bandnet.llm.quality import apply_quality_rules, fit_from_labels
 from bandnet.llm.secrets import scan_secrets
 from bandnet.llm.sharding import balanced_shards
+from bandnet.llm.suffix_dedup import remove_repeats
 from bandnet.llm.url_lists import HOST_PATTERN, host_keys, host_of, judge_captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_rows", "first_of_class")
 
 
+@query("op2_suffix_array_repeats")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
+
+
 def _number(text: str, salt: str, modulus: int) -> str:
     """A number below ``modulus`` that depends on a text, for ``_engine`` to put into SQL."""
     return f"{{hex}}(substr(md5({text} || '{salt}'), 1, 8)) % {modulus}"
