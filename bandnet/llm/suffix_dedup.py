@@ -24,7 +24,7 @@ from bandnet.llm.suffix_arrays import common_prefixes, prefix_ranks
 from bandnet.llm.textbytes import Hashes, column_bytes, keyed, mix, slices
 
 GRAM = 32
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 
 
 def _least_places(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def _cut_runs(size: int):
                 for w in wanted.as_py():
                     rows.append((w["key"], w["one"], w["two"], w["hi"] - w["lo"] + 1, raw[w["lo"] : w["hi"] + size]))
                     held += len(rows[-1][-1])
-                if held > 8_000_000:
+                if held > 2_000_000:
                     yield _batch(rows)
                     rows, held = [], 0
             yield _batch(rows)
