@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandnet.llm.storage import stored
+from bandnet.llm.storage import release, stored
 
 
 def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -26,11 +26,14 @@ def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
         large = stored(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(least)
-        edges = stored(small.distinct(), "small-star")
+        edges, old = stored(small.distinct(), "small-star"), edges
+        release(old, large)
         ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("into"))
         ends = ends.union(edges.select("b", F.lit(0), F.lit(1))).groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
         if ends.where("out > 1 OR (out > 0 AND into > 0)").isEmpty():
             break
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return nodes.union(roots)
+    labels = stored(nodes.union(roots), "labels")
+    release(edges)
+    return labels

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandnet.llm.components import connected_components
-from bandnet.llm.storage import fresh_name, stored
+from bandnet.llm.storage import fresh_name, release, stored
 from bandnet.llm.textbytes import WHITE, Hashes, column_bytes, keyed, mix, runs, slices, windows
 
 # 56 bands of 8: texts of similarity 0.8 share one but for 1 pair in 30,000, texts of 0.25 do in 1 of 1,200
 SHINGLE, SLOTS, BAND_ROWS, THRESHOLD = 5, 448, 8, 0.8
-BITMAP_WORDS = 16
+BITMAP_WORDS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,35 +191,44 @@ def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> Data
         sized = sized.join(bags.select(F.col("node").alias("hub"), F.col("bag").alias("other")), "hub")
         return stored(sized.select("hub", "node", similarity("one", "other").alias("similarity")), "tested")
 
-    members = stored(members.join(sketches, "node"), "buckets")
     chosen = members.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
-    chosen = chosen.select("bucket", F.col("first.node").alias("hub")).join(hub_sketches, "hub")
-    pairs = members.join(chosen, "bucket").where((F.col("node") != F.col("hub")) & _may_link(threshold))
+    chosen = stored(chosen.select("bucket", F.col("first.node").alias("hub")), "hubs")
+    pairs = members.join(sketches, "node").join(chosen.join(hub_sketches, "hub"), "bucket")
+    pairs = pairs.where((F.col("node") != F.col("hub")) & _may_link(threshold))
     compared = tested(pairs.select("hub", "node").distinct())
-    members = members.join(chosen.select("bucket", "hub"), "bucket").withColumn("is_hub", F.col("node") == F.col("hub")).drop("hub")
+    members = stored(members.join(chosen, "bucket").withColumn("is_hub", F.col("node") == F.col("hub")).drop("hub"), "buckets")
+    release(chosen)
     fresh = 4
     while True:
-        labels = stored(connected_components(compared.where(F.col("similarity") >= threshold), "hub", "node"), "labels")
+        labels = connected_components(compared.where(F.col("similarity") >= threshold), "hub", "node")
         classed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         classed = stored(classed.select(*members.columns, "label"), "classed")
+        release(members)
         idle = classed.groupBy("bucket", "label").agg(F.sum((~F.col("is_hub")).cast("long")).alias("idle"))
         spared = idle.groupBy("bucket").agg(F.max(F.struct("idle", "label")).alias("spared"))
         waiting = classed.join(spared, "bucket").where("NOT is_hub AND label != spared.label").select("bucket", "node", "weight")
         waiting = stored(waiting, "waiting")
         if waiting.isEmpty():
+            release(classed, waiting, compared)
             return labels
         heaviest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
         chosen = waiting.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= fresh)
         chosen = stored(chosen.select("bucket", F.col("node").alias("hub")), "hubs")
         now = chosen.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("now"))
-        classed = classed.join(waiting.select("bucket").distinct(), "bucket").join(now, ["bucket", "node"], "left")
-        classed = stored(classed.withColumn("is_hub", F.col("is_hub") | F.coalesce("now", F.lit(False))).drop("now"), "open")
-        hub_labels = classed.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        chosen = chosen.join(hub_labels, ["bucket", "hub"]).join(hub_sketches, "hub")
-        pairs = classed.join(chosen, "bucket").where((F.col("label") != F.col("hub_label")) & _may_link(threshold))
+        members = classed.join(waiting.select("bucket").distinct(), "bucket").join(now, ["bucket", "node"], "left")
+        members = stored(members.withColumn("is_hub", F.col("is_hub") | F.coalesce("now", F.lit(False))).drop("now"), "open")
+        release(classed, waiting, labels)
+        hub_labels = members.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        hubs = chosen.join(hub_labels, ["bucket", "hub"]).join(hub_sketches, "hub")
+        pairs = members.join(sketches, "node").join(hubs, "bucket")
+        pairs = pairs.where((F.col("label") != F.col("hub_label")) & _may_link(threshold))
         pairs = pairs.select("hub", "node").distinct().join(compared, ["hub", "node"], "left_anti")
-        compared = stored(compared.union(tested(pairs)), "compared")
-        members, fresh = classed.drop("label"), 4 * fresh
+        found = tested(pairs)
+        compared, old = stored(compared.union(found), "compared"), compared
+        release(found, old, chosen)
+        kept = members.drop("label")
+        kept.stored_path = members.stored_path
+        members, fresh = kept, 4 * fresh
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -252,11 +261,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     met = stored(banded.join(shared, "bucket"), "met")
     weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
     members = stored(met.select("bucket", "node").join(weights, "node"), "members")
+    release(signed, banded, met)
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "row")
     texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("x")).join(wanted, "row")
     bagged = _udf(_bags, "bag binary, size long, bits array<long>")("x").alias("bagged")
     bags = stored(texts.select("node", bagged).select("node", "bagged.*"), "bags")
     labels = _link_buckets(members, bags, threshold)
+    release(members, bags)
 
     classed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chief = F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("chief")

@@ -31,7 +31,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/bandnet-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing will read again; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "stored_path", None)
+        if path in _written:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _written.remove(path)
 
 
 def discard_stored(spark: SparkSession) -> int:
