@@ -55,6 +55,39 @@ def _gram_matrix(spark, folder):
     )
 
 
+_BANDS_SQL = "bands AS MATERIALIZED (SELECT vec_id, label, unnest(range(64)) AS band, unnest(embedding)::double AS x FROM embeddings)"
+
+
+def _band_columns(spark, folder):
+    return vectors(spark, folder).select("id", "label", *[F.col("features")[i].cast("double").alias(f"x{i}") for i in range(64)])
+
+
+@query(
+    "gram_matrix_wide",
+    S.with_(
+        [_BANDS_SQL],
+        f"SELECT (a.band * 64 + b.band)::int AS cell, {S.r('sum(a.x * b.x)', 6)} AS value FROM bands a JOIN bands b USING (vec_id) GROUP BY 1 "
+        f"UNION ALL SELECT (4096 + band)::int AS cell, {S.r('sum(x * label)', 6)} AS value FROM bands GROUP BY 1",
+    ),
+)
+def _gram_matrix_wide(spark, folder):
+    sums = gram_matrix(_band_columns(spark, folder), [f"x{i}" for i in range(64)], "label")
+    cells = sums.select(F.posexplode(F.concat("ata", "atb")).alias("cell", "value"))
+    return cells.select("cell", rounded("value", 6).alias("value"))
+
+
+@query(
+    "gram_by_group_wide",
+    S.with_(
+        [_BANDS_SQL],
+        f"SELECT a.label AS label, (a.band * 64 + b.band)::int AS cell, {S.r('sum(a.x * b.x)', 6)} AS value FROM bands a JOIN bands b USING (vec_id) GROUP BY 1, 2",
+    ),
+)
+def _gram_by_group_wide(spark, folder):
+    sums = gram_matrix(_band_columns(spark, folder).withColumn("target", F.lit(1.0)), [f"x{i}" for i in range(64)], "target", ["label"])
+    return sums.select("label", F.posexplode("ata").alias("cell", "value")).select("label", "cell", rounded("value", 6).alias("value"))
+
+
 _FIRST, _SECOND = _two_by_two()
 
 

@@ -16,6 +16,7 @@ from bandnet.operators import (
     minmax_scale,
     minmax_stats,
     random_split,
+    split_bounds,
     split_by_key,
     stack_blocks,
     unstack_blocks,
@@ -76,12 +77,12 @@ def _minmax_scaled_columns(spark, folder):
 
 
 def _bucket(salt: str, key: str = "vec_id") -> str:
-    return f"('0x' || substr(md5('{salt}:' || {key}::varchar), 1, 8))::bigint % 1000"
+    return f"('0x' || substr(md5('{salt}:' || {key}::varchar), 1, 15))::bigint"
 
 
 @query(
     "key_split_counts",
-    f"SELECT (CASE WHEN {_bucket('split')} < 800 THEN 0 ELSE 1 END)::int AS split, count(*) AS n, "
+    f"SELECT (CASE WHEN {_bucket('split')} < {split_bounds([0.8, 0.2])[0]} THEN 0 ELSE 1 END)::int AS split, count(*) AS n, "
     "sum(vec_id)::bigint AS id_sum FROM embeddings GROUP BY 1",
 )
 def _key_split_counts(spark, folder):
@@ -91,8 +92,8 @@ def _key_split_counts(spark, folder):
 
 @query(
     "fold_counts",
-    f"SELECT ({_bucket('fold')} // 250)::int AS fold, count(*) AS n, sum(vec_id)::bigint AS id_sum FROM embeddings "
-    f"WHERE {_bucket('split')} >= 800 GROUP BY 1",
+    f"SELECT ({_bucket('fold')} % 4)::int AS fold, count(*) AS n, sum(vec_id)::bigint AS id_sum FROM embeddings "
+    f"WHERE {_bucket('split')} >= {split_bounds([0.8, 0.2])[0]} GROUP BY 1",
 )
 def _fold_counts(spark, folder):
     parts = split_by_key(vectors(spark, folder).select("id"), "id", [0.8, 0.2])
@@ -100,6 +101,24 @@ def _fold_counts(spark, folder):
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
 
 
+@query(
+    "key_split_tiny_part",
+    f"SELECT (CASE WHEN {_bucket('split', 'l_orderkey')} < {split_bounds([0.9996, 0.0004])[0]} THEN 0 ELSE 1 END)::int AS split, "
+    "count(*) AS n, sum(l_orderkey)::bigint AS key_sum FROM lineitem GROUP BY 1",
+)
+def _key_split_tiny_part(spark, folder):
+    parts = split_by_key(table(spark, folder, "lineitem").select("l_orderkey"), "l_orderkey", [0.9996, 0.0004])
+    return parts.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("key_sum"))
+
+
+@query(
+    "many_folds",
+    f"SELECT ({_bucket('fold', 'event_id')} % 2000)::int AS fold, count(*) AS n FROM events GROUP BY 1",
+)
+def _many_folds(spark, folder):
+    return k_folds(table(spark, folder, "events").select("event_id"), "event_id", 2000).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("random_split_cover", "SELECT count(*) AS n, sum(vec_id)::bigint AS id_sum FROM embeddings")
 def _random_split_cover(spark, folder):
     # the parts of a random split hold every row exactly once

@@ -120,7 +120,7 @@ def _recon_mse(spark, folder):
     return reconstruction_mse(scored).select(rounded("mse", 9).alias("mse"))
 
 
-_FOLD = "(('0x' || substr(md5('fold:' || a.id::varchar), 1, 8))::bigint % 1000 // 250)::int"
+_FOLD = "(('0x' || substr(md5('fold:' || a.id::varchar), 1, 15))::bigint % 4)::int"
 
 
 @query(

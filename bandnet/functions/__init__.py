@@ -18,6 +18,7 @@ from bandnet.functions.columns import (
     sigmoid,
     sigmoid_grad,
     softmax,
+    key_hash,
     split_bucket,
     squared_error,
 )
@@ -40,6 +41,7 @@ __all__ = [
     "sigmoid",
     "sigmoid_grad",
     "softmax",
+    "key_hash",
     "split_bucket",
     "squared_error",
 ]

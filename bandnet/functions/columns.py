@@ -147,7 +147,7 @@ def one_hot(label: ColumnOrName, size: int) -> Column:
     """A label as ``size`` slots with 1.0 at the label; a label out of range is an error."""
     value = _col(label)
     return F.when(
-        (value >= 0) & (value < size),
+        (value >= 0) & (value < size) & (value == F.floor(value)),
         F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == value.cast("int")).cast("double")),
     ).otherwise(
         F.raise_error(F.concat(F.lit(f"label outside 0..{size - 1}: "), F.coalesce(value.cast("string"), F.lit("null"))))
@@ -169,18 +169,36 @@ def squared_error(left: ColumnOrName, right: ColumnOrName) -> Column:
 
 
 def cross_entropy(probability: ColumnOrName, label: ColumnOrName) -> Column:
-    """``-log p[label]`` for a row of class probabilities."""
-    return -F.log(F.element_at(_col(probability), _col(label).cast("int") + 1))
+    """``-log p[label]`` for a row of class probabilities: infinity where that probability is 0.
 
+    A label that is null, fractional or no class of the row is an error, as is a null probability.
+    """
+    classes, value = F.size(_col(probability)), _col(label).cast("double")
+    sound = (value >= 0) & (value < classes) & (value == F.floor(value))
+    p = F.get(_col(probability), F.when(sound, value.cast("int")).otherwise(F.lit(-1)))
+    problem = F.concat(
+        F.lit("no probability for label "), F.coalesce(value.cast("string"), F.lit("null")), F.lit(" among "), F.coalesce(classes, F.lit(0)).cast("string")
+    )
+    return F.when(p > 0, -F.log(p)).when(p == 0, F.lit(float("inf"))).otherwise(F.raise_error(problem))
+
+
+KEY_HASH_BITS = 60
 
-def split_bucket(key: ColumnOrName, salt: str) -> Column:
-    """A bucket in 0..999 that depends on the key and the salt alone.
+
+def key_hash(key: ColumnOrName, salt: str) -> Column:
+    """A number of 60 bits that depends on the key and the salt alone; a null key is an error.
 
     It does not depend on row order, file layout or partition count, so a split by it can be
     repeated on any cluster and recomputed safely after a lost executor.
     """
     digest = F.md5(F.concat(F.lit(f"{salt}:"), _col(key).cast("string")).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000).cast("int")
+    number = F.conv(F.substring(digest, 1, KEY_HASH_BITS // 4), 16, 10).cast("bigint")
+    return F.when(_col(key).isNull(), F.raise_error(F.lit("a split key must not be null"))).otherwise(number)
+
+
+def split_bucket(key: ColumnOrName, salt: str) -> Column:
+    """A bucket in 0..999 by the key's hash."""
+    return (key_hash(key, salt) % 1000).cast("int")
 
 
 def network_output(col: ColumnOrName, topology, weights: np.ndarray) -> Column:

@@ -15,7 +15,7 @@ from bandnet.operators.objective import BlockObjective, ColumnObjective, Evaluat
 from bandnet.operators.optimizers import Fit, minimize_gd, minimize_lbfgs
 from bandnet.operators.scaling import Bounds, minmax_columns, minmax_fit, minmax_scale, minmax_stats
 from bandnet.operators.scoring import encode, forward, forward_all, network_column
-from bandnet.operators.splits import k_folds, random_split, split_by_key
+from bandnet.operators.splits import k_folds, random_split, split_bounds, split_by_key
 from bandnet.operators.topology import (
     RELU,
     SIGMOID,
@@ -87,6 +87,7 @@ __all__ = [
     "reconstruction_mse",
     "simple_step",
     "solve_nonnegative",
+    "split_bounds",
     "split_by_key",
     "stack_blocks",
     "staged_blocks",

@@ -13,8 +13,12 @@ from bandnet.functions import feature_array, squared_error
 
 
 def _mse(df: DataFrame, features: str, prediction: str) -> Column:
-    actual = feature_array(df, features)
-    return F.sum(squared_error(actual, feature_array(df, prediction))) / F.sum(F.size(actual))
+    """Squared error over the values of rows that have both columns; unequal lengths are an error."""
+    actual, scored = feature_array(df, features), feature_array(df, prediction)
+    both = actual.isNotNull() & scored.isNotNull()
+    uneven = F.raise_error(F.format_string("%d values against a prediction of %d", F.size(actual), F.size(scored)))
+    error = F.when(F.size(actual) == F.size(scored), squared_error(actual, scored)).otherwise(uneven)
+    return F.sum(F.when(both, error)) / F.sum(F.when(both, F.size(actual)))
 
 
 def reconstruction_mse(df: DataFrame, features: str = "features", prediction: str = "prediction") -> DataFrame:
@@ -33,7 +37,8 @@ def mean_fold_mse(df: DataFrame, fold: str = "fold", features: str = "features",
 
 
 def _hits(prediction: str, label: str) -> Column:
-    return (F.col(prediction).cast("double") == F.col(label).cast("double")).cast("double")
+    """1.0 for a hit; a row without prediction or label is a miss."""
+    return F.coalesce((F.col(prediction).cast("double") == F.col(label).cast("double")).cast("double"), F.lit(0.0))
 
 
 def accuracy(df: DataFrame, prediction: str = "prediction", label: str = "label") -> DataFrame:

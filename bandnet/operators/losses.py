@@ -61,6 +61,9 @@ class NetworkLoss:
     def partial(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
         topology = self.topology
         if self.with_label:
+            sound = (y >= 0) & (y < topology.outputs) & (y == np.floor(y))
+            if not sound.all():
+                raise ValueError(f"label outside 0..{topology.outputs - 1}: {y[~sound][0]}")
             target = np.zeros((len(x), topology.outputs))
             target[np.arange(len(x)), y.astype(np.int64)] = 1.0
         else:

@@ -72,16 +72,65 @@ def solve_nonnegative(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
                 moved[drop] = 0.0
                 x[todo] = moved
                 passive[todo] &= ~drop
+    else:
+        raise RuntimeError(f"{len(open_rows)} non-negative systems of {n} unknowns are not solved after {max(400, 20 * n)} rounds")
     return x
 
 
+def _wide_sums(rows: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """``(keys…, at, total)``: the cells of ``X'X`` and ``X'y``, as matrix products within partitions."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            flat = np.concatenate(list(sums.values())) if sums else np.empty(0)
+            size = n * n + n
+            each = [pa.array([k[i] for k in sums for _ in range(size)], kinds[i]) for i in range(len(keys))]
+            at = np.tile(np.arange(size, dtype=np.int32), len(sums))
+            sums.clear()
+            return pa.RecordBatch.from_arrays([*each, pa.array(at), pa.array(flat)], names=[*keys, "at", "total"])
+
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in range(len(keys))]
+            x = matrix_from_lists(batch.column(len(keys)), n + 1)
+            where = pa.table([*batch.columns[: len(keys)], pa.array(np.arange(batch.num_rows))], names=[*keys, "row_at"])
+            groups = where.group_by(list(keys)).aggregate([("row_at", "list")]) if keys else None
+            parts = zip(zip(*[groups[k].to_pylist() for k in keys]), groups["row_at_list"].to_pylist()) if keys else [((), slice(None))]
+            for key, at in parts:
+                part = x[at]
+                total = (part[:, :n].T @ part).T  # the last row is X'y
+                sums[key] = sums.get(key, 0.0) + total.reshape(-1)
+            if len(sums) * n * n > 4_000_000:
+                yield flush()
+        if sums:
+            yield flush()
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+    partial = rows.mapInArrow(add, f"{fields}{', ' if keys else ''}at int, total double")
+    return partial.groupBy(*keys, "at").agg(F.sum("total").alias("total"))
+
+
+#: More columns than this are summed as matrix products
+WIDE = 16
+
+
 def gram_matrix(df: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
     """The normal equations ``(ata, atb)`` over scalar columns, one row per group of ``keys``.
 
-    Plain sums with map-side partial sums, so one huge group is no slower than many small ones.
+    Sums are partial within partitions first, so one huge group is no slower than many small ones. Beyond
+    ``WIDE`` columns, where a sum of its own for every cell is no plan any more, they are matrix products.
     Rows with a null are left out.
     """
     n = len(columns)
+    if n > WIDE:
+        sound = df.dropna(subset=[*columns, target])
+        values = F.array(*[F.col(c).cast("double") for c in [*columns, target]]).alias("values")
+        cells = _wide_sums(sound.select(*keys, values), n, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "total"))).alias("cells"))
+        return cells.where(F.size("cells") > 0).select(
+            *keys, F.slice("cells.total", 1, n * n).alias("ata"), F.slice("cells.total", n * n + 1, n).alias("atb")
+        )
     xs = [F.col(c).cast("double") for c in columns]
     y = F.col(target).cast("double")
     upper = {(i, j): F.sum(xs[i] * xs[j]).alias(f"g_{i}_{j}") for i in range(n) for j in range(i, n)}

@@ -162,7 +162,11 @@ class ColumnObjective:
 
 
 def linear_sums(rows: DataFrame, width: int, loss: LinearLoss, w: Sequence[float]) -> DataFrame:
-    """Row count, summed loss and summed gradient of a linear loss over columns ``x0…, y``."""
+    """Row count, summed loss and summed gradient of a linear loss over columns ``x0…, y``.
+
+    Rows with a null or NaN in any of them are left out of all three, as in ``gram_matrix``.
+    """
+    rows = rows.dropna(subset=[*[f"x{i}" for i in range(width)], "y"])
     weights = np.asarray(w, dtype=float).reshape(loss.margins, width)
     xs = [F.col(f"x{i}") for i in range(width)]
 

@@ -38,6 +38,8 @@ class Fit:
     history: list[float] = field(default_factory=list)
     evaluations: int = 0
     converged: bool = False
+    #: Why the iterations ended
+    reason: str = "iterations"
 
 
 def _check(condition: bool, message: str) -> None:
@@ -81,17 +83,24 @@ def minimize_gd(
                 return fit
             log.warning("iteration %d of %d sampled nothing", i, iterations)
             continue
+        _finite(found.loss, found.gradient, i)
         fit.history.append(found.loss * objective.report_scale + penalty_value)
+        log.info("iteration %d: loss %.10g", i, fit.history[-1])
         before = fit.weights
         fit.weights, penalty_value = updater(before, found.gradient, step, i, reg)
         moved = float(np.linalg.norm(fit.weights - before))
         if moved_before and moved < tol * max(float(np.linalg.norm(fit.weights)), 1.0):
-            fit.converged = True
+            fit.converged, fit.reason = True, "the weights hardly moved"
             break
         moved_before = True
     return fit
 
 
+def _finite(loss: float, gradient: np.ndarray, iteration: int) -> None:
+    if not (math.isfinite(loss) and np.isfinite(gradient).all()):
+        raise ValueError(f"loss {loss} or its gradient is not finite at iteration {iteration}; look for NaN or infinity in the data")
+
+
 class _Line:
     """The objective along one direction, remembering its best point."""
 
@@ -187,12 +196,16 @@ def minimize_lbfgs(
     tol: float = SMALLEST_TOL,
     iterations: int = 100,
     reg: float = 0.0,
+    gradient_floor: float = GRADIENT_FLOOR,
 ) -> Fit:
     """Limited-memory BFGS with a strong-Wolfe line search.
 
     The regulariser is the one the updater implies. Iterations end at ``iterations``, when the
-    gradient or the relative decrease falls to ``tol``, or when no step lowers the loss.
+    gradient or the relative decrease falls to ``tol``, when the gradient's norm falls to
+    ``gradient_floor`` (whatever ``tol`` says; 0 switches this off), or when no step lowers the loss;
+    ``Fit.reason`` says which. A start that is not finite is an error.
     """
+    _check(gradient_floor >= 0, "gradient_floor must not be negative")
     _check(corrections > 0, "corrections must be positive")
     _check(tol >= 0, "tol must not be negative")
     _check(iterations >= 0, "iterations must not be negative")
@@ -214,6 +227,8 @@ def minimize_lbfgs(
         log.warning("no data: returning the initial weights")
         return fit
 
+    _finite(loss, gradient, 0)
+
     def reported(value: float, w: np.ndarray) -> float:
         if scale == 1.0:
             return value
@@ -224,8 +239,8 @@ def minimize_lbfgs(
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(iterations):
         size = float(np.linalg.norm(gradient))
-        if size <= max(tol * abs(loss), GRADIENT_FLOOR):
-            fit.converged = True
+        if size <= max(tol * abs(loss), gradient_floor):
+            fit.converged, fit.reason = True, "the gradient is small"
             break
         direction = _direction(gradient, pairs)
         slope = float(gradient @ direction)
@@ -239,6 +254,8 @@ def minimize_lbfgs(
             line = _Line(value_at, fit.weights, -gradient, loss, -size * size)
             _strong_wolfe(line, 1.0 / size)
         if line.best is None:
+            fit.reason = "no step lowers the loss"
+            log.info("iteration %d: %s", len(fit.history), fit.reason)
             break
         new_loss, point, new_gradient = line.best
         s, y = point - fit.weights, new_gradient - gradient
@@ -248,7 +265,8 @@ def minimize_lbfgs(
         change = loss - new_loss
         fit.weights, loss, gradient = point, new_loss, new_gradient
         fit.history.append(reported(loss, fit.weights))
+        log.info("iteration %d: loss %.10g", len(fit.history) - 1, fit.history[-1])
         if change <= tol * max(abs(loss), abs(loss + change)):
-            fit.converged = True
+            fit.converged, fit.reason = True, "the loss hardly fell"
             break
     return fit

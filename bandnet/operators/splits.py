@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandnet.functions import split_bucket
+from bandnet.functions import key_hash
+from bandnet.functions.columns import KEY_HASH_BITS
 
 DEFAULT_SEED = 1234
 
@@ -17,28 +18,36 @@ def random_split(df: DataFrame, fractions: Sequence[float], seed: int = DEFAULT_
     return df.randomSplit([float(f) for f in fractions], seed)
 
 
+def split_bounds(fractions: Sequence[float]) -> list[int]:
+    """Where the parts after the first begin, in the range of the key hash."""
+    if not fractions or any(f <= 0 for f in fractions):
+        raise ValueError("fractions must be positive")
+    total = float(sum(fractions))
+    bounds, reached = [0], 0.0
+    for f in fractions[:-1]:
+        reached += f / total
+        bounds.append(round(reached * 2**KEY_HASH_BITS))
+    bounds.append(2**KEY_HASH_BITS)
+    if any(a >= b for a, b in zip(bounds, bounds[1:])):
+        raise ValueError("a fraction is too small to be told from nothing")
+    return bounds[1:-1]
+
+
 def split_by_key(
     df: DataFrame, key: str, fractions: Sequence[float], salt: str = "split", output: str = "split"
 ) -> DataFrame:
     """Add the number of the part each row belongs to, decided by its key alone.
 
-    No shuffle and no sort, and the same answer on every layout. Fractions are honoured to a
-    thousandth. Use a different ``salt`` for a split of a split, or the two are not independent.
+    No shuffle and no sort, and the same answer on every layout. Parts are stretches of a hash of 60
+    bits, so fractions down to a millionth of a millionth have their part. A null key is an error. Use a
+    different ``salt`` for a split of a split, or the two are not independent.
     """
-    if not fractions or any(f <= 0 for f in fractions):
-        raise ValueError("fractions must be positive")
-    total = float(sum(fractions))
-    bounds, reached = [], 0.0
-    for f in fractions[:-1]:
-        reached += f / total
-        bounds.append(round(reached * 1000))
-    part = F.lit(len(fractions) - 1)
-    bucket = split_bucket(key, salt)
-    for number in range(len(bounds) - 1, -1, -1):
-        part = F.when(bucket < bounds[number], F.lit(number)).otherwise(part)
-    return df.withColumn(output, part)
+    bounds = F.array(*[F.lit(b) for b in split_bounds(fractions)]).cast("array<bigint>")
+    return df.withColumn(output, F.size(F.filter(bounds, lambda b: b <= key_hash(key, salt))))
 
 
 def k_folds(df: DataFrame, key: str, folds: int = 4, salt: str = "fold", output: str = "fold") -> DataFrame:
-    """Add a fold number 0..folds-1, all folds alike in expected size."""
-    return split_by_key(df, key, [1.0 / folds] * folds, salt, output)
+    """Add a fold number 0..folds-1, all folds alike in expected size; a null key is an error."""
+    if folds < 1:
+        raise ValueError("folds must be at least 1")
+    return df.withColumn(output, (key_hash(key, salt) % folds).cast("int"))

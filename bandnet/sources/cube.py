@@ -35,23 +35,34 @@ def cube_cells(
     )
 
 
-def cube_to_pixels(cube: DataFrame, unique: bool = True) -> DataFrame:
+def cube_to_pixels(
+    cube: DataFrame, unique: bool = True, bands: int | None = None, fill: float | None = None
+) -> DataFrame:
     """One row per pixel with its values in band order.
 
     Copies of a cell collapse before the shuffle, so a pixel's group never outgrows its distinct
     cells however often the table repeats them. Two different values for one cell are an error;
-    with ``unique=False`` the largest one wins instead.
+    with ``unique=False`` the largest one wins instead. A pixel must have all bands from 0 to
+    ``bands`` - 1, by default to the last one it has; a missing cell is an error unless ``fill`` gives
+    its value, for which ``bands`` is needed. A null band is an error too.
     """
+    if fill is not None and bands is None:
+        raise ValueError("fill needs the number of bands")
     if not unique:
         cube = cube.groupBy(*PIXEL, "band").agg(F.max("value").alias("value"))
     grouped = cube.groupBy(*PIXEL).agg(F.sort_array(F.collect_set(F.struct("band", "value"))).alias("cells"))
     clean = F.size(F.array_distinct("cells.band")) == F.size("cells")
-    return grouped.select(
-        *PIXEL,
-        F.when(clean, F.col("cells.value"))
-        .otherwise(F.raise_error(F.format_string("pixel (%d, %d) has two values for one band", *PIXEL)))
-        .alias("features"),
-    )
+    expected = F.lit(bands) if bands is not None else F.array_max("cells.band") + 1
+    inside = F.coalesce(F.forall("cells.band", lambda b: (b >= 0) & (b < expected)), F.lit(False))
+    values = F.col("cells.value")
+    if fill is not None:
+        known = F.map_from_entries("cells")
+        values = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.get(F.map_values(known), F.array_position(F.map_keys(known), b).cast("int") - 1), F.lit(fill).cast("double")))
+    else:
+        inside = inside & (F.size("cells") == expected)
+    two = F.raise_error(F.format_string("pixel (%d, %d) has two values for one band", *PIXEL))
+    gap = F.raise_error(F.format_string("pixel (%d, %d) lacks a band or has one out of range", *PIXEL))
+    return grouped.select(*PIXEL, F.when(~clean, two).when(inside, values).otherwise(gap).alias("features"))
 
 
 def pixels_to_cube(pixels: DataFrame, features: str = "features") -> DataFrame:
@@ -75,15 +86,19 @@ def attach_labels(pixels: DataFrame, truth: DataFrame, label: str = "label") ->
     return pixels.join(labels, list(PIXEL), "left").select(*PIXEL, label, *rest)
 
 
-def pixel_lines(pixels: DataFrame, features: str = "features", label: str | None = None) -> DataFrame:
-    """Pixels as CSV lines in a column ``value``: the label if asked for, then every band."""
+def pixel_lines(
+    pixels: DataFrame, features: str = "features", label: str | None = None, position: bool = False
+) -> DataFrame:
+    """Pixels as CSV lines in a column ``value``: row and column and the label if asked for, then every band."""
     bands = F.array_join(F.col(features).cast("array<string>"), ",")
     parts = [F.coalesce(F.col(label).cast("string"), F.lit("")), bands] if label else [bands]
-    return pixels.select(F.concat_ws(",", *parts).alias("value"))
+    where = [F.col(c).cast("string") for c in PIXEL] if position else []
+    return pixels.select(F.concat_ws(",", *where, *parts).alias("value"))
 
 
 def write_pixels_csv(
-    pixels: DataFrame, path: str, features: str = "features", label: str | None = None, mode: str = "error"
-) -> None:
-    """Write pixels as header-less CSV files, one per partition."""
-    pixel_lines(pixels, features, label).write.mode(mode).text(path)
+    pixels: DataFrame, path: str, features: str = "features", label: str | None = None, mode: str = "error",
+    position: bool = False,
+) -> None:
+    """Write pixels as header-less CSV files, one per partition; ``position`` puts row and column in front."""
+    pixel_lines(pixels, features, label, position).write.mode(mode).text(path)
