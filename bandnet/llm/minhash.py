@@ -96,7 +96,7 @@ def bag_signatures(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, co
 
 def band_keys(signature: np.ndarray, rows_per_band: int = BAND_ROWS) -> np.ndarray:
     """64-bit keys (rows, bands), different from band to band."""
-    bits = signature.view(np.uint64).reshape(len(signature), -1, rows_per_band)
+    bits = signature.view(np.uint64).reshape(len(signature), signature.shape[1] // rows_per_band, rows_per_band)
     key = np.zeros(bits.shape[:2], dtype=np.uint64)
     for j in range(rows_per_band):
         key = mix(key * _STEP + bits[:, :, j])
