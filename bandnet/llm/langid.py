@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name
+from bandnet.llm.textbytes import give_back
 
 WORD_START = "▁"
 UNKNOWN = 1e-7  # probability of a character that is no piece, alike in all languages
@@ -235,6 +236,7 @@ def identify_languages(docs: DataFrame, learnt: dict, text: str = "text") -> Dat
                     values.append(float(1 / np.exp(total[:-1] - total[best]).sum()))
             kept[name] = (scorer, rows, scores)
             yield pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(values, pa.float64())], names=["lang_pred", "score"])
+        give_back()
 
     identify.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(identify, "lang_pred string, score double").asNondeterministic()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bandnet.llm.components import connected_components
 from bandnet.llm.storage import fresh_name, release, stored
-from bandnet.llm.textbytes import WHITE, Hashes, column_bytes, keyed, mix, runs, slices, windows
+from bandnet.llm.textbytes import WHITE, Hashes, column_bytes, give_back, keyed, mix, runs, slices, windows
 
 # 56 bands of 8: texts of similarity 0.8 share one but for 1 pair in 30,000, texts of 0.25 do in 1 of 1,200
 SHINGLE, SLOTS, BAND_ROWS, THRESHOLD = 5, 448, 8, 0.8
@@ -118,6 +118,7 @@ def _bands(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1)
         values = np.concatenate(keys) if keys else np.empty(0, np.int64)
         yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+    give_back()
 
 
 def _bags(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

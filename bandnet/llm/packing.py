@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name, stored
-from bandnet.llm.textbytes import Hashes, column_bytes, runs, slices
+from bandnet.llm.textbytes import Hashes, column_bytes, give_back, runs, slices
 
-WORD_MEMORY = 2_000_000
+WORD_MEMORY = 800_000
 JOINED = 256
 
 
@@ -324,6 +324,7 @@ def token_pieces(
                 if with_ids:
                     arrays.append(pa.array([ids[i:j].view("<i4") for i, j in stretches], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     schema = f"{fields}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")

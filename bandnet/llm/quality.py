@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name
-from bandnet.llm.textbytes import WHITE, Hashes, byte_table, column_bytes, keyed, runs, slices, windows
+from bandnet.llm.textbytes import WHITE, Hashes, byte_table, column_bytes, give_back, keyed, runs, slices, windows
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 UPPER, LOWER, DIGIT = byte_table((65, 90)), byte_table((97, 122)), byte_table((48, 57))
@@ -216,6 +216,7 @@ def _measurer(model: dict[str, list], min_share: float) -> Callable:
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.string()]
             merged = [np.concatenate([p[i] for p in parts]) if parts else [] for i in range(len(names))]
             yield pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(merged, kinds, strict=True)], names=names)
+        give_back()
 
     measure.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return measure

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name
+from bandnet.llm.textbytes import give_back
 
 # What a secret looks like, and the least length of what counts (of group 2 for assign)
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -250,6 +251,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", redact: bool = False, limi
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
             masked = [redacted(t, s) if redact and s else None for t, s in zip(texts, spans, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(rows, pa.list_(_SPAN)), pa.array(masked, pa.string())], names=["secrets", "redacted"])
+        give_back()
 
     scan.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(scan, "secrets array<struct<kind:string,start:long,end:long>>, redacted string").asNondeterministic()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name, stored
 from bandnet.llm.suffix_arrays import common_prefixes, prefix_ranks
-from bandnet.llm.textbytes import Hashes, column_bytes, keyed, mix, slices
+from bandnet.llm.textbytes import Hashes, column_bytes, give_back, keyed, mix, slices
 
 GRAM = 32
 SHARD_BYTES = 1_000_000
@@ -165,6 +165,7 @@ def _sort_shards(size: int):
                 runs.append(row[1:])
         if runs:
             yield from _out(one_shard(runs))
+        give_back()
 
     def _out(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         rows = list(found)
