@@ -147,11 +147,13 @@ def _sort_shards(size: int):
         meet = np.flatnonzero(shared >= size)
         flags[order[meet]] = True
         flags[order[meet - 1]] = True
+        distinct = np.zeros(len(raw), dtype=bool)
+        distinct[order[shared < size]] = True
         for (key, one, two, n, _, cut_gram), at in zip(runs, cuts[:-1].tolist(), strict=True):
             for a, b in _stretches(flags[at : at + n]):
                 yield key, one, two, a, b, None
-            if cut_gram:  # all windows, for the other shards of the gram
-                for s in range(n):
+            if cut_gram:  # each distinct window once, for the other shards of the gram
+                for s in np.flatnonzero(distinct[at : at + n]).tolist():
                     yield key, one, two, s, s, hashlib.blake2b(raw[at + s : at + s + size].tobytes(), digest_size=16).digest()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
