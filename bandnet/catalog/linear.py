@@ -15,7 +15,9 @@ from bandnet.operators import (
     LeastSquaresLoss,
     LogisticLoss,
     MultinomialLoss,
+    Topology,
     constant_step,
+    fit_network,
     l1_step,
     l2_step,
     linear_sums,
@@ -229,6 +231,16 @@ query("lbfgs_least_squares", _normal_sql(0.0))(_lbfgs(constant_step, 0.0))
 query("lbfgs_ridge", _normal_sql(REG))(_lbfgs(l2_step, REG))
 
 
+@query("trainer_least_squares", _normal_sql(0.0))
+def _trainer_least_squares(spark, folder):
+    """The same fit through the trainer, whose loss is swapped for one of a real-valued label."""
+    rows = line_rows(spark, folder).select(F.array(*LINEAR_FEATURES).alias("features"), "target")
+    fit = fit_network(
+        rows, Topology.regressor([4, 1]), label="target", loss=LeastSquaresLoss(), block_size=256, tol=1e-12, max_iter=50
+    )
+    return named_values(spark, fit.weights, digits=5)
+
+
 def _newton_sql(rounds: int = 6) -> str:
     """The logistic optimum by unrolled Newton steps."""
     ctes = [LINE_ROWS_SQL, "solved_0 AS (SELECT " + ", ".join(f"0::double AS w{i}" for i in range(4)) + ")"]

@@ -223,6 +223,26 @@ def _sigmoid_sse_loss(spark, folder):
     return found.select(rounded("loss", 9).alias("loss"), "units")
 
 
+_TARGET = [
+    S.EMBEDDING_ROWS,
+    S.REVERSED_ROWS,
+    *S.weight_ctes(AUTOENCODER),
+    *S.forward_ctes(AUTOENCODER, top="identity"),
+    S.error_cte(AUTOENCODER, target="column"),
+]
+
+
+@query(
+    "target_gradient",
+    S.with_([*_TARGET, *S.gradient_ctes(AUTOENCODER, top="identity")], S.layered_select(AUTOENCODER, "gw", "gb", "gradient")),
+)
+def _target_gradient(spark, folder):
+    topology = Topology.regressor(AUTOENCODER)
+    rows = vectors(spark, folder).withColumn("target", F.reverse("features"))
+    found = gradient_frame(rows, topology, weights_of(topology))
+    return found.select("layer", "input", "output", rounded("gradient", 9).alias("gradient"))
+
+
 def _gradient(spark, folder, topology):
     found = gradient_frame(vectors(spark, folder), topology, weights_of(topology))
     return found.select("layer", "input", "output", rounded("gradient", 9).alias("gradient"))

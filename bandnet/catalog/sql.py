@@ -20,6 +20,8 @@ SCALED_ROWS = (
     "bounds AS MATERIALIZED (SELECT f, min(v) AS lo, max(v) AS hi FROM raw GROUP BY f), "
     "x AS MATERIALIZED (SELECT id, raw.f, (v - lo) / (hi - lo) AS v FROM raw JOIN bounds ON raw.f = bounds.f)"
 )
+# A target vector for every row: its features from last to first
+REVERSED_ROWS = "t AS MATERIALIZED (SELECT id, 63 - f AS f, v FROM x)"
 ROWS = "(SELECT count(*) FROM embeddings)"
 
 
@@ -82,16 +84,17 @@ def forward_ctes(sizes: Sequence[int], tag: str = "", hidden: str = "relu", top:
 
 
 def error_cte(sizes: Sequence[int], tag: str = "", target: str = "label") -> str:
-    """The output's error ``err(id, f, v)`` against the label or the input."""
+    """The output's error ``err(id, f, v)`` against the label, the input or a target column ``t``."""
     top = f"a{len(sizes) - 1}{tag}"
     if target == "label":
         return (
             f"err{tag} AS MATERIALIZED (SELECT a.id, a.f, a.v - (CASE WHEN y.label = a.f THEN 1.0 ELSE 0.0 END) AS v, "
             f"a.v AS o FROM {top} a JOIN y ON a.id = y.id)"
         )
+    sought = {"input": "x", "column": "t"}[target]
     return (
-        f"err{tag} AS MATERIALIZED (SELECT a.id, a.f, a.v - x.v AS v, a.v AS o "
-        f"FROM {top} a JOIN x ON a.id = x.id AND a.f = x.f)"
+        f"err{tag} AS MATERIALIZED (SELECT a.id, a.f, a.v - s.v AS v, a.v AS o "
+        f"FROM {top} a JOIN {sought} s ON a.id = s.id AND a.f = s.f)"
     )
 
 

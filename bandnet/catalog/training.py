@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bandnet.catalog import sql as S
-from bandnet.catalog.network import AUTOENCODER, CLASSIFIER, _CLASSIFY, _PREDICTED, _RECONSTRUCT, weights_of
+from bandnet.catalog.network import (
+    AUTOENCODER, CLASSIFIER, SIGMOID_SIZES, _CLASSIFY, _PREDICTED, _RECONSTRUCT, sigmoid_network, weights_of,
+)
 from bandnet.catalog.registry import query
 from bandnet.catalog.tables import rounded, vectors
 from bandnet.models import DenseAutoencoder, DenseAutoencoderModel, DenseClassifier, DenseClassifierModel
-from bandnet.operators import Topology, fold_mse, k_folds, mean_fold_mse, reconstruction_mse
+from bandnet.operators import Topology, fit_network, fold_mse, k_folds, mean_fold_mse, reconstruction_mse, weight_frame
 from bandnet.plans import run_autoencoder, run_classification
 from bandnet.sources import scratch_path
 
@@ -22,7 +24,7 @@ def _formula_autoencoder() -> DenseAutoencoderModel:
     return DenseAutoencoderModel(AUTOENCODER, _formula(AUTOENCODER, "autoencoder"))
 
 
-NETWORK_STEP = 0.5
+NETWORK_STEP, TARGET_STEP = 0.5, 0.01
 
 
 def _network_steps_sql() -> str:
@@ -43,6 +45,34 @@ def _gd_network_steps(spark, folder):
     return weights.select("layer", "input", "output", rounded("value", 9).alias("value"))
 
 
+def _target_steps_sql(sizes, hidden: str, top: str) -> str:
+    ctes = [S.EMBEDDING_ROWS, S.REVERSED_ROWS, *S.weight_ctes(sizes, "_0")]
+    for t in range(2):
+        tag, after = f"_{t}", f"_{t + 1}"
+        ctes += [*S.forward_ctes(sizes, tag, hidden, top), S.error_cte(sizes, tag, "column")]
+        ctes += [*S.gradient_ctes(sizes, tag, hidden, top), *S.step_ctes(sizes, tag, after, TARGET_STEP)]
+    return S.with_(ctes, S.layered_select(sizes, "w", "b", "value", tag="_2"))
+
+
+def _target_steps(spark, folder, topology):
+    """Two steps towards the first values of the reversed features, as many as there are outputs."""
+    rows = vectors(spark, folder).withColumn("aim", F.slice(F.reverse("features"), 1, topology.outputs))
+    fit = fit_network(
+        rows, topology, target="aim", solver="gd", max_iter=2, step_size=TARGET_STEP, tol=0.0, initial_weights=weights_of(topology)
+    )
+    return weight_frame(spark, topology, fit.weights).select("layer", "input", "output", rounded("value", 9).alias("value"))
+
+
+@query("gd_target_steps", _target_steps_sql(AUTOENCODER, "relu", "identity"))
+def _gd_target_steps(spark, folder):
+    return _target_steps(spark, folder, Topology.regressor(AUTOENCODER))
+
+
+@query("gd_sigmoid_target_steps", _target_steps_sql(SIGMOID_SIZES, "sigmoid", "sigmoid"))
+def _gd_sigmoid_target_steps(spark, folder):
+    return _target_steps(spark, folder, Topology(sigmoid_network().layers, "column"))
+
+
 @query("gd_minibatch")
 def _gd_minibatch(spark, folder):
     estimator = DenseClassifier(

@@ -1,7 +1,7 @@
 """Training blocks: rows packed into dense matrices so that executors can use matrix products.
 
 A block is one row ``(n, x, y)``: the row count, ``n * width`` feature values row by row, and
-``n`` labels (empty when the network's target is its own input, so nothing is stored twice).
+``n`` labels or target vectors (empty when the network's target is its own input, so nothing is stored twice).
 The values are packed as little-endian numbers in binary columns, which cross to Python about
 twice as fast as arrays; features that come as 32-bit floats stay so and are widened only for
 the arithmetic. Rows are packed within their partition, without a shuffle.
@@ -25,11 +25,18 @@ BLOCK_SCHEMA = "n int, x binary, y binary"
 
 
 def labeled_rows(
-    df: DataFrame, features: str = "features", label: str | None = "label", width: int | None = None
+    df: DataFrame,
+    features: str = "features",
+    label: str | None = "label",
+    width: int | None = None,
+    target: str | None = None,
+    target_width: int | None = None,
 ) -> DataFrame:
-    """Only what training needs: the features and, if there is one, the label as a double."""
+    """Only what training needs: the features and, if there is one, the label as a double or the target vector."""
     cols = [feature_array(df, features, width).alias("features")]
-    if label is not None:
+    if target is not None:
+        cols.append(feature_array(df, target, target_width).alias("target"))
+    elif label is not None:
         cols.append(F.col(label).cast("double").alias("label"))
     return df.select(*cols)
 
@@ -48,8 +55,9 @@ def check_labels(df: DataFrame, label: str, classes: int) -> None:
         )
 
 
-def pack_rows(width: int, block_size: int, with_label: bool):
-    """Batches of ``(features, label)`` rows to batches of blocks, for one partition."""
+def pack_rows(width: int, block_size: int, with_label: bool, target_width: int = 0):
+    """Batches of ``(features, label)`` or ``(features, target)`` rows to batches of blocks, for one partition."""
+    each = target_width or int(with_label)
 
     def emit(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         cuts = np.append(np.arange(0, len(x), block_size), len(x))
@@ -57,16 +65,19 @@ def pack_rows(width: int, block_size: int, with_label: bool):
             [
                 pa.array(np.diff(cuts).astype(np.int32)),
                 packed_binary(x, cuts * width),
-                packed_binary(y, cuts if with_label else np.zeros_like(cuts)),
+                packed_binary(y, cuts * each),
             ],
             names=["n", "x", "y"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_x, held_y = np.empty((0, width), dtype=np.float32), np.empty(0)
+        held_x, held_y = np.empty((0, width), dtype=np.float32), np.empty((0, target_width) if target_width else 0)
         for batch in batches:
             x = matrix_from_lists(batch.column(0), width, keep_floats=True)
-            y = batch.column(1).to_numpy(zero_copy_only=False) if with_label else np.empty(0)
+            if target_width:
+                y = matrix_from_lists(batch.column(1), target_width)
+            else:
+                y = batch.column(1).to_numpy(zero_copy_only=False) if with_label else np.empty(0)
             if len(held_x):
                 x, y = np.concatenate([held_x, x]), np.concatenate([held_y, y])
             whole = len(x) - len(x) % block_size
@@ -85,34 +96,49 @@ def stack_blocks(
     block_size: int = 128,
     features: str = "features",
     label: str | None = "label",
+    target: str | None = None,
+    target_width: int = 0,
 ) -> DataFrame:
-    """Pack rows into blocks of at most ``block_size``; the last block of a partition may be short."""
+    """Pack rows into blocks of at most ``block_size``; the last block of a partition may be short.
+
+    With ``target``, an array column of ``target_width`` values, blocks hold these vectors in place of labels.
+    """
     if block_size <= 0:
         raise ValueError("block_size must be positive")
-    rows = labeled_rows(df, features, label, width)
-    return rows.mapInArrow(pack_rows(width, block_size, label is not None), BLOCK_SCHEMA)
+    if target is not None and target_width <= 0:
+        raise ValueError("a target column needs target_width")
+    rows = labeled_rows(df, features, label, width, target, target_width)
+    pack = pack_rows(width, block_size, label is not None, target_width if target is not None else 0)
+    return rows.mapInArrow(pack, BLOCK_SCHEMA)
 
 
 def block_arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A batch of blocks as one matrix of rows, their labels, and the rows per block."""
+    """A batch of blocks as one matrix of rows, their labels or target vectors, and the rows per block."""
     counts = np.asarray(batch.column(0))
     rows = int(counts.sum())
     x = numbers_from_binary(batch.column(1), rows * width).reshape(-1, width)
     labels = batch.column(2)
-    with_label = rows and len(labels[0].as_buffer() or b"") > 0
-    return x, numbers_from_binary(labels, rows if with_label else 0), counts
+    each = len(labels[0].as_buffer() or b"") // (8 * int(counts[0])) if rows else 0
+    y = numbers_from_binary(labels, rows * each)
+    return x, y.reshape(rows, each) if each > 1 else y, counts
+
 
+def unstack_blocks(blocks: DataFrame, width: int, target_width: int = 0) -> DataFrame:
+    """Blocks back to rows ``(features, label)``; the label is null where blocks hold none.
 
-def unstack_blocks(blocks: DataFrame, width: int) -> DataFrame:
-    """Blocks back to rows ``(features, label)``; the label is null where blocks hold none."""
+    Blocks of target vectors, told by ``target_width``, give ``(features, target)``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, _ = block_arrays(batch, width)
-            labels = pa.array(y) if len(y) else pa.nulls(len(x), pa.float64())
-            yield pa.RecordBatch.from_arrays([lists_from_matrix(x), labels], names=["features", "label"])
+            if target_width:
+                held, name = lists_from_matrix(y.reshape(len(x), target_width)), "target"
+            else:
+                held, name = pa.array(y) if len(y) else pa.nulls(len(x), pa.float64()), "label"
+            yield pa.RecordBatch.from_arrays([lists_from_matrix(x), held], names=["features", name])
 
-    return blocks.mapInArrow(run, "features array<double>, label double")
+    return blocks.mapInArrow(run, "features array<double>, " + ("target array<double>" if target_width else "label double"))
 
 
 @contextmanager

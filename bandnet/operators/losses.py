@@ -5,7 +5,8 @@ A loss is any object with
 * ``weight_count(width)``: how many weights it has for ``width`` features,
 * ``partial(x, y, w) -> (loss_sum, gradient_sum)`` over the rows of a chunk,
 * ``report_scale``: factor from the optimised loss to the reported one,
-* ``with_label``: whether ``y`` holds labels.
+* ``with_label``: whether ``y`` holds labels,
+* ``with_target`` (may be absent): whether ``y`` holds target vectors.
 
 Spark runs ``partial`` on every partition and adds the results (see ``operators.objective``).
 Linear losses have a column form too, which needs no Python worker.
@@ -52,6 +53,7 @@ class NetworkLoss:
         self.topology = topology
         self.report_scale = topology.report_scale
         self.with_label = topology.target == "label"
+        self.with_target = topology.target == "column"
 
     def weight_count(self, width: int) -> int:
         if width != self.topology.inputs:
@@ -66,6 +68,10 @@ class NetworkLoss:
                 raise ValueError(f"label outside 0..{topology.outputs - 1}: {y[~sound][0]}")
             target = np.zeros((len(x), topology.outputs))
             target[np.arange(len(x)), y.astype(np.int64)] = 1.0
+        elif self.with_target:
+            target = y.reshape(len(x), topology.outputs)
+            if not np.isfinite(target).all():
+                raise ValueError("target values must be finite")
         else:
             target = x
         views = list(topology.layer_weights(w))

@@ -198,6 +198,7 @@ def partial_sums(
     label: str = "label",
     averaging: str = "rows",
     block_size: int = 128,
+    target: str = "target",
 ) -> DataFrame:
     """Partial losses and gradients of a network straight from rows, one per partition; lazy.
 
@@ -206,8 +207,9 @@ def partial_sums(
     """
     w = topology.check(weights)
     label_col = label if topology.target == "label" else None
-    rows = labeled_rows(df, features, label_col, topology.inputs)
-    pack = pack_rows(topology.inputs, block_size, label_col is not None)
+    target_col, target_width = (target, topology.outputs) if topology.target == "column" else (None, 0)
+    rows = labeled_rows(df, features, label_col, topology.inputs, target_col, target_width)
+    pack = pack_rows(topology.inputs, block_size, label_col is not None, target_width)
     total = _partition_sum(NetworkLoss(topology), topology.inputs, averaging == "blocks", lambda: w)
     return rows.mapInArrow(lambda batches: total(pack(batches)), PARTIAL_SCHEMA)
 

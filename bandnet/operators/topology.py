@@ -142,7 +142,8 @@ LOSS_LAYERS = (SoftmaxCrossEntropy, SquaredError, SigmoidSquaredError)
 class Topology:
     """A layer list with a loss layer on top.
 
-    ``target`` says what the output is compared with: the one-hot ``"label"`` or the ``"input"``.
+    ``target`` says what the output is compared with: the one-hot ``"label"``, the ``"input"``, or an array ``"column"``
+    of as many values as the network has outputs.
     """
 
     layers: tuple[Any, ...]
@@ -150,8 +151,8 @@ class Topology:
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "layers", tuple(self.layers))
-        if self.target not in ("label", "input"):
-            raise ValueError("target must be 'label' or 'input'")
+        if self.target not in ("label", "input", "column"):
+            raise ValueError("target must be 'label', 'input' or 'column'")
         affine = [layer for layer in self.layers if isinstance(layer, Affine)]
         if not affine:
             raise ValueError("a network needs at least one affine layer")
@@ -186,6 +187,11 @@ class Topology:
         """ReLU hidden layers under an identity output that should equal the input."""
         return cls._dense(sizes, SquaredError(), hidden, "input")
 
+    @classmethod
+    def regressor(cls, sizes: Sequence[int], hidden: Activation = RELU, top: Any = SquaredError()) -> "Topology":
+        """ReLU hidden layers under an output that should equal a target vector."""
+        return cls._dense(sizes, top, hidden, "column")
+
     @property
     def inputs(self) -> int:
         return next(layer.inputs for layer in self.layers if isinstance(layer, Affine))

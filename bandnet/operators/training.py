@@ -39,10 +39,13 @@ def fit_network(
     loss: Loss | None = None,
     partitions: int | None = None,
     durable: bool = False,
+    target: str = "target",
 ) -> Fit:
     """Train a network and return its weights and loss history.
 
-    Given ``initial_weights`` win over ``seed``. ``loss`` replaces the network's own objective.
+    A topology whose target is a column learns the vectors of column ``target``. Given ``initial_weights`` win over
+    ``seed``. ``loss`` replaces the network's own objective: how many weights there are and which labels are sound is then
+    for the loss to say, and where its weights are not as many as the network's they start at zero.
     ``averaging="rows"`` weighs every row alike whatever the block boundaries; ``"blocks"``
     weighs every block alike, so a short last block counts as much as a full one.
     ``partitions`` reshuffles the rows first: use it where a small file would leave cores idle.
@@ -51,18 +54,25 @@ def fit_network(
         raise ValueError(f"solver must be one of {', '.join(SOLVERS)}, not {solver!r}")
     if block_size <= 0:
         raise ValueError("block_size must be positive")
-    loss = loss if loss is not None else NetworkLoss(topology)
-    if initial_weights is not None:
+    own = loss is None
+    loss = NetworkLoss(topology) if own else loss
+    count = loss.weight_count(topology.inputs)
+    if initial_weights is not None and count == topology.weight_count:
         start = topology.check(initial_weights)
+    elif initial_weights is not None:
+        start = np.array(initial_weights, dtype=np.float64)
+        if start.shape != (count,):
+            raise ValueError(f"expected {count} weights but got {start.size}")
     else:
-        start = topology.random_weights(seed)
+        start = topology.random_weights(seed) if count == topology.weight_count else np.zeros(count)
     label_col = label if loss.with_label else None
-    rows = df.select(features, *([label_col] if label_col else []))
-    if label_col and topology.target == "label":
+    target_col = target if getattr(loss, "with_target", False) else None
+    rows = df.select(*dict.fromkeys(c for c in (features, label_col, target_col) if c))
+    if own and label_col:
         check_labels(rows, label, topology.outputs)
     if partitions:
         rows = rows.repartition(partitions)
-    blocks = stack_blocks(rows, topology.inputs, block_size, features, label_col)
+    blocks = stack_blocks(rows, topology.inputs, block_size, features, label_col, target_col, topology.outputs)
     with staged_blocks(blocks, durable) as held:
         objective = BlockObjective(held, loss, topology.inputs, averaging)
         if solver == "gd":

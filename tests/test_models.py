@@ -180,6 +180,11 @@ def test_swapped_loss_and_updater(clouds):
     fit = fit_network(two, Topology.classifier([4, 3]), loss=Logistic(), updater=l2_step, reg=0.01, max_iter=20, seed=2)
     assert fit.history[-1] < fit.history[0]
     np.testing.assert_allclose(fit.weights[4:], 0, atol=1e-4)
+    # The loss says how many weights there are
+    plain = fit_network(two, Topology.classifier([4, 3]), loss=LogisticLoss(), updater=l2_step, reg=0.01, max_iter=20)
+    np.testing.assert_allclose(plain.weights, fit.weights[:4], atol=1e-2)
+    with pytest.raises(ValueError, match="expected 4 weights"):
+        fit_network(two, Topology.classifier([4, 3]), loss=LogisticLoss(), initial_weights=[0.0] * 15)
 
 
 def test_saving_and_loading(spark, clouds):

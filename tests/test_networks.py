@@ -21,6 +21,7 @@ from bandnet.operators import (
     SquaredError,
     Topology,
     encode,
+    fit_network,
     formula_weights,
     forward,
     forward_all,
@@ -28,6 +29,7 @@ from bandnet.operators import (
     linear_sums,
     loss_frame,
     stack_blocks,
+    unstack_blocks,
 )
 from bandnet.operators import objective as objective_module
 
@@ -247,3 +249,37 @@ def test_two_class_multinomial_is_logistic():
     np.testing.assert_allclose(a[1], b[1], atol=1e-10)
     with pytest.raises(ValueError):
         MultinomialLoss(1)
+
+
+def test_target_vectors(spark):
+    x, aim = rng.normal(size=(37, 4)), rng.normal(size=(37, 2))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, aim)], "features array<double>, aim array<double>").repartition(3)
+    blocks = stack_blocks(df, 4, 5, label=None, target="aim", target_width=2)
+    back = {tuple(r.features): r.target for r in unstack_blocks(blocks, 4, target_width=2).collect()}
+    for a, b in zip(x, aim):
+        np.testing.assert_array_equal(back[tuple(a)], b)
+    topology = Topology.regressor([4, 3, 2])
+    w = rng.normal(size=topology.weight_count)
+    loss, gradient = NetworkLoss(topology).partial(x, aim, w)
+    found = BlockObjective(blocks, NetworkLoss(topology), 4).evaluate(w)
+    np.testing.assert_allclose(found.loss, loss / 37)
+    np.testing.assert_allclose(found.gradient, gradient / 37)
+    assert loss_frame(df, topology, w, target="aim").first().loss == pytest.approx(loss / 37 / 2)
+    step = np.zeros_like(w)
+    step[3] = 1e-6
+    numeric = (NetworkLoss(topology).partial(x, aim, w + step)[0] - NetworkLoss(topology).partial(x, aim, w - step)[0]) / 2e-6
+    assert gradient[3] == pytest.approx(numeric, rel=1e-4)
+
+
+@pytest.mark.parametrize("aim", [None, [1.0], [1.0, None], [1.0, float("nan")]])
+def test_bad_target_vectors_are_refused(spark, aim):
+    df = spark.createDataFrame([([1.0, 2.0], [0.5, 0.5]), ([3.0, 4.0], aim)], "features array<double>, target array<double>")
+    topology = Topology.regressor([2, 2])
+    with pytest.raises(Exception, match="needs 2 values|must not be null|must be finite"):
+        loss_frame(df, topology, np.zeros(topology.weight_count)).collect()
+
+
+def test_target_of_one_value(spark):
+    df = spark.createDataFrame([([float(i)], [2.0 * i + 1]) for i in range(20)], "features array<double>, target array<double>")
+    fit = fit_network(df, Topology.regressor([1, 1]), block_size=4, max_iter=50, seed=3)
+    np.testing.assert_allclose(fit.weights, [2, 1], atol=1e-4)
