@@ -200,6 +200,21 @@ def _descent(updater):
     return run
 
 
+@query("gd_resumed", _gd_sql("l2"))
+def _gd_resumed(spark, folder):
+    """The steps of ``gd_steps_l2`` in two runs, the second from what the first one's last iteration reported."""
+    objective, rows = _held_objective(spark, folder)
+    seen = []
+    try:
+        half = STEPS // 2
+        minimize_gd(objective, np.array(POINT), l2_step, STEP, half, REG, tol=0.0, on_iteration=lambda *now: seen.append(now))
+        at, _, weights = seen[-1]
+        fit = minimize_gd(objective, weights, l2_step, STEP, STEPS - half, REG, tol=0.0, first_iteration=at + 1)
+    finally:
+        rows.unpersist()
+    return named_values(spark, fit.weights, [loss for _, loss, _ in seen] + fit.history)
+
+
 for _kind, _updater in UPDATERS.items():
     query(f"gd_steps_{_kind}", _gd_sql(_kind))(_descent(_updater))
 

@@ -331,8 +331,20 @@ def _attach_labels(spark, folder):
     ),
 )
 def _pixels_csv(spark, folder):
+    """Lines of a cube with labels, in any order."""
     path = scratch_path(spark, "pixels")
     labelled = attach_labels(cube_to_pixels(_cube(spark, folder)), _truth(spark, folder))
     write_pixels_csv(labelled, path, label="label")
     rows = read_pixel_csv(spark, path, 65)
     return rows.select(F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in rows.columns]).alias("line"))
+
+
+@query("pixels_csv_positions", S.with_([S.EMBEDDING_ROWS, _CELLS], "SELECT row, col, band, value FROM cells"))
+def _pixels_csv_positions(spark, folder):
+    """A cube written with its positions and read back to the same cells."""
+    path = scratch_path(spark, "positions")
+    write_pixels_csv(cube_to_pixels(_cube(spark, folder)), path, position=True)
+    rows = read_pixel_csv(spark, path, 66)
+    row, col, *bands = rows.columns
+    cells = rows.select(F.col(row).cast("int").alias("row"), F.col(col).cast("int").alias("col"), F.posexplode(F.array(*bands)).alias("band", "said"))
+    return cells.select("row", "col", "band", F.col("said").cast("double").cast("int").alias("value"))

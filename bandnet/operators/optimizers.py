@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 import math
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -20,6 +21,9 @@ from bandnet.operators.updaters import Updater, constant_step, penalty, simple_s
 
 log = logging.getLogger(__name__)
 
+#: Told of every iteration: its number, its loss, and weights from which a run can be resumed
+Progress = Callable[[int, float, np.ndarray], None]
+
 SMALLEST_TOL = 5e-324
 GRADIENT_FLOOR = 1e-8
 
@@ -57,13 +61,18 @@ def minimize_gd(
     fraction: float = 1.0,
     tol: float = 0.001,
     seed: int = 42,
+    first_iteration: int = 1,
+    on_iteration: Progress | None = None,
 ) -> Fit:
     """Minibatch gradient descent.
 
     Iteration ``i`` samples ``fraction`` of the objective's units without replacement under
     ``seed + i``, and records the batch loss plus the penalty, both at the weights it started
     from. It ends early once a step moves the weights by less than ``tol`` of their norm.
+    ``on_iteration`` gets the weights after each step; a run resumed from those of iteration ``i``
+    with ``first_iteration=i + 1`` has the step sizes and batches of one that was never cut.
     """
+    _check(first_iteration >= 1, "first_iteration must be positive")
     _check(step > 0, "step must be positive")
     _check(iterations >= 0, "iterations must not be negative")
     _check(reg >= 0, "reg must not be negative")
@@ -74,20 +83,23 @@ def minimize_gd(
     fit = Fit(np.array(initial, dtype=np.float64))
     penalty_value = updater(fit.weights, np.zeros_like(fit.weights), 0.0, 1, reg)[1]
     moved_before = False
-    for i in range(1, iterations + 1):
+    last = first_iteration + iterations - 1
+    for i in range(first_iteration, last + 1):
         found = objective.evaluate(fit.weights, fraction, seed + i)
         fit.evaluations += 1
         if found.count == 0:
             if fraction >= 1.0:
                 log.warning("no data: returning the initial weights")
                 return fit
-            log.warning("iteration %d of %d sampled nothing", i, iterations)
+            log.warning("iteration %d of %d sampled nothing", i, last)
             continue
         _finite(found.loss, found.gradient, i)
         fit.history.append(found.loss * objective.report_scale + penalty_value)
         log.info("iteration %d: loss %.10g", i, fit.history[-1])
         before = fit.weights
         fit.weights, penalty_value = updater(before, found.gradient, step, i, reg)
+        if on_iteration is not None:
+            on_iteration(i, fit.history[-1], fit.weights.copy())
         moved = float(np.linalg.norm(fit.weights - before))
         if moved_before and moved < tol * max(float(np.linalg.norm(fit.weights)), 1.0):
             fit.converged, fit.reason = True, "the weights hardly moved"
@@ -197,13 +209,15 @@ def minimize_lbfgs(
     iterations: int = 100,
     reg: float = 0.0,
     gradient_floor: float = GRADIENT_FLOOR,
+    on_iteration: Progress | None = None,
 ) -> Fit:
     """Limited-memory BFGS with a strong-Wolfe line search.
 
     The regulariser is the one the updater implies. Iterations end at ``iterations``, when the
     gradient or the relative decrease falls to ``tol``, when the gradient's norm falls to
     ``gradient_floor`` (whatever ``tol`` says; 0 switches this off), or when no step lowers the loss;
-    ``Fit.reason`` says which. A start that is not finite is an error.
+    ``Fit.reason`` says which. A start that is not finite is an error. ``on_iteration`` gets the
+    weights of every iteration; a run resumed from them loses the stored curvature only.
     """
     _check(gradient_floor >= 0, "gradient_floor must not be negative")
     _check(corrections > 0, "corrections must be positive")
@@ -266,6 +280,8 @@ def minimize_lbfgs(
         fit.weights, loss, gradient = point, new_loss, new_gradient
         fit.history.append(reported(loss, fit.weights))
         log.info("iteration %d: loss %.10g", len(fit.history) - 1, fit.history[-1])
+        if on_iteration is not None:
+            on_iteration(len(fit.history) - 1, fit.history[-1], fit.weights.copy())
         if change <= tol * max(abs(loss), abs(loss + change)):
             fit.converged, fit.reason = True, "the loss hardly fell"
             break

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bandnet.operators.blocks import check_labels, stack_blocks, staged_blocks
 from bandnet.operators.losses import Loss, NetworkLoss
 from bandnet.operators.objective import BlockObjective
-from bandnet.operators.optimizers import SMALLEST_TOL, Fit, minimize_gd, minimize_lbfgs
+from bandnet.operators.optimizers import SMALLEST_TOL, Fit, Progress, minimize_gd, minimize_lbfgs
 from bandnet.operators.topology import Topology
 from bandnet.operators.updaters import Updater, constant_step
 
@@ -40,6 +40,8 @@ def fit_network(
     partitions: int | None = None,
     durable: bool = False,
     target: str = "target",
+    first_iteration: int = 1,
+    on_iteration: Progress | None = None,
 ) -> Fit:
     """Train a network and return its weights and loss history.
 
@@ -48,6 +50,7 @@ def fit_network(
     for the loss to say, and where its weights are not as many as the network's they start at zero.
     ``averaging="rows"`` weighs every row alike whatever the block boundaries; ``"blocks"``
     weighs every block alike, so a short last block counts as much as a full one.
+    ``on_iteration`` is told of every iteration (see ``minimize_gd``, whose ``first_iteration`` resumes a run).
     ``partitions`` reshuffles the rows first: use it where a small file would leave cores idle.
     """
     if solver not in SOLVERS:
@@ -76,8 +79,11 @@ def fit_network(
     with staged_blocks(blocks, durable) as held:
         objective = BlockObjective(held, loss, topology.inputs, averaging)
         if solver == "gd":
-            return minimize_gd(objective, start, updater, step_size, max_iter, reg, fraction, min(tol, 1.0))
-        return minimize_lbfgs(objective, start, updater, corrections, tol, max_iter, reg)
+            return minimize_gd(
+                objective, start, updater, step_size, max_iter, reg, fraction, min(tol, 1.0),
+                first_iteration=first_iteration, on_iteration=on_iteration,
+            )
+        return minimize_lbfgs(objective, start, updater, corrections, tol, max_iter, reg, on_iteration=on_iteration)
 
 
 def weight_frame(spark: SparkSession, topology: Topology, weights: Sequence[float]) -> DataFrame:

@@ -89,9 +89,10 @@ def run_classification(
     """Load, scale, split, train a classifier and report its test accuracy.
 
     ``source`` is a libsvm path or a table ``(label, features)``; with ``key`` the table's split
-    follows that column. Further options are parameters of ``DenseClassifier``.
+    follows that column. ``seed`` decides the initial weights and, without a key, the split.
+    Further options are parameters of ``DenseClassifier``.
     """
-    train, test = prepare(_table(spark, source, layers[0]), train_fraction, key, fit_on)
+    train, test = prepare(_table(spark, source, layers[0]), train_fraction, key, fit_on, seed)
     settings = {"blockSize": BLOCK_SIZE, "seed": seed, "maxIter": max_iter, **options}
     model = DenseClassifier(layers=list(layers), **settings).fit(train)
     predictions = model.transform(test)
@@ -111,17 +112,17 @@ def run_autoencoder(
     **options,
 ) -> ApplicationResult:
     """Load, scale, split, train an autoencoder and report the mean error over test folds."""
-    train, test = prepare(_table(spark, source, layers[0]), train_fraction, key, fit_on)
+    train, test = prepare(_table(spark, source, layers[0]), train_fraction, key, fit_on, seed)
     settings = {"blockSize": BLOCK_SIZE, "seed": seed, "maxIter": max_iter, **options}
     model = DenseAutoencoder(layers=list(layers), **settings).fit(train)
     if key is not None:
         marked = k_folds(test, key, folds)
     else:
-        marked = _random_folds(test, folds)
+        marked = _random_folds(test, folds, seed)
     predictions = model.transform(marked)
     return ApplicationResult(model, predictions, mean_fold_mse(predictions))
 
 
-def _random_folds(df: DataFrame, folds: int) -> DataFrame:
+def _random_folds(df: DataFrame, folds: int, seed: int) -> DataFrame:
     """Number equal random parts in one pass, so that one pass can score them all."""
-    return df.withColumn("fold", F.floor(F.rand(DEFAULT_SEED) * folds).cast("int"))
+    return df.withColumn("fold", F.floor(F.rand(seed) * folds).cast("int"))

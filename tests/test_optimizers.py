@@ -148,3 +148,27 @@ def test_column_objective_over_a_table(spark):
     np.testing.assert_allclose(minimize_lbfgs(objective, np.zeros(2)).weights, [2, -1], atol=1e-5)
     assert 0 < objective.evaluate(np.zeros(2), 0.5, 7).count < 50
     assert ColumnObjective(df.limit(0), ["a", "b"], "t", LeastSquaresLoss()).evaluate(np.zeros(2)).count == 0
+
+
+@pytest.mark.parametrize("updater", [simple_step, constant_step, l1_step, l2_step])
+def test_resumed_descent_equals_an_uncut_one(updater):
+    fn, start = bowl(np.array([1.0, -2.0]), np.array([1.0, 3.0])), np.array([4.0, 4.0])
+    whole = minimize_gd(Local(fn), start, updater, 0.1, 6, 0.01, tol=0.0)
+    seen = []
+    minimize_gd(Local(fn), start, updater, 0.1, 3, 0.01, tol=0.0, on_iteration=lambda *now: seen.append(now))
+    rest = Local(fn)
+    fit = minimize_gd(rest, seen[-1][2], updater, 0.1, 3, 0.01, tol=0.0, first_iteration=seen[-1][0] + 1)
+    np.testing.assert_allclose(fit.weights, whole.weights)
+    np.testing.assert_allclose([s[1] for s in seen] + fit.history, whole.history)
+    assert [seed for _, seed in rest.calls] == [46, 47, 48]
+    with pytest.raises(ValueError, match="first_iteration"):
+        minimize_gd(Local(fn), start, first_iteration=0)
+
+
+def test_lbfgs_reports_every_iteration():
+    seen = []
+    fit = minimize_lbfgs(Local(rosenbrock), np.array([-1.2, 1.0]), on_iteration=lambda *now: seen.append(now))
+    assert [s[0] for s in seen] == list(range(1, len(fit.history)))
+    assert [s[1] for s in seen] == fit.history[1:]
+    np.testing.assert_array_equal(seen[-1][2], fit.weights)
+    assert seen[0][2] is not fit.weights
