@@ -5,8 +5,8 @@ windows tied to the same gram form a run. Equal windows are tied to equal grams
 whose gram (with what surrounds it in all windows of the run) stands more than once can hold a repeat. The bytes of such
 runs are sorted in shards: the shard of a gram has all its runs, whichever documents they come from. A shard has a
 suffix array, refined after Larsson and Sadakane, and Kasai's common prefixes tell which windows repeat in it. A gram
-with too many different runs for one shard is cut into several; each yields its sorted windows, and the shards of a gram
-are merged by binary search in each other.
+with too many different runs for one shard is cut into several; each yields a hash of every distinct window, and the shards
+of a gram are merged by a sort-merge join of these.
 """
 
 from __future__ import annotations
