@@ -35,7 +35,8 @@ _KEYWORD = re.compile(r"[:=]")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPE_UNIT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
+_ALPHABETS = [re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}")]
 # First bytes of compressed data
 _GZIP, _BZ2, _XZ = b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00"
 _ZLIB = (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
@@ -146,14 +147,24 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(data) else None
 
 
+def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 runs without padding, and where they start and, with padding, end: runs of both alphabets, then their parts of one."""
+    for match in _BASE64.finditer(text):
+        start, stop = match.span(1)
+        yield match[1], start, match.end()
+        for alphabet in _ALPHABETS:
+            for part in alphabet.finditer(text, start, stop):
+                if part.span() != (start, stop):
+                    yield part[0], part.start(), match.end() if part.end() == stop else part.end()
+
+
 def _unwrapped(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
     """Layers one step below a layer; a bare span stands for compressed data that is too large to open."""
     if "%" in layer.text and (found := _rewritten(layer, _PERCENT, _percent, "url")):
         yield found
     if "\\" in layer.text and (found := _rewritten(layer, _ESCAPE, _escapes, "unicode")):
         yield found
-    for match in _BASE64.finditer(layer.text):
-        token = match[0].rstrip("=")
+    for token, start, end in _tokens(layer.text):
         if len(token) % 4 == 1:
             continue
         try:
@@ -163,7 +174,7 @@ def _unwrapped(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
         how, content = "base64", data
         while (opened := _inflate(content, limit)) is not None:
             if opened[1] is None:
-                yield layer.origin(*match.span())
+                yield layer.origin(start, end)
                 content = b""
                 break
             if opened[1] == content:
@@ -174,11 +185,11 @@ def _unwrapped(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
             continue
         if how == "base64":  # four characters carry three bytes
             cuts = np.cumsum([0] + [len(c.encode()) for c in text])
-            starts = match.start() + cuts[:-1] // 3 * 4 + cuts[:-1] % 3
-            ends = match.start() + (cuts[1:] - 1) // 3 * 4 + (cuts[1:] - 1) % 3 + 2
+            starts = start + cuts[:-1] // 3 * 4 + cuts[:-1] % 3
+            ends = start + (cuts[1:] - 1) // 3 * 4 + (cuts[1:] - 1) % 3 + 2
         else:
-            starts = np.full(len(text), match.start(), dtype=np.int64)
-            ends = np.full(len(text), match.end(), dtype=np.int64)
+            starts = np.full(len(text), start, dtype=np.int64)
+            ends = np.full(len(text), end, dtype=np.int64)
         yield layer.child(text, starts, ends, how)
 
 

@@ -295,3 +295,17 @@ def test_contamination(spark, odd, block_chars):
     assert decontaminate.find_contamination(frame.limit(0), table).count() == 0
     assert all(r.n_hit == 0 for r in decontaminate.find_contamination(frame, table.limit(0)).collect())
 
+
+
+def test_url_safe_base64_is_one_layer():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        said = " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(20)) + f" {SECRET}"
+        token = base64.urlsafe_b64encode(zlib.compress(said.encode())).decode()
+        text = f"see {token} end"
+        assert ("base64+zlib.assign", 4, 4 + len(token)) in secrets.find_secrets(text)
+        plain = base64.urlsafe_b64encode(f"?>?>?>?>?>?>?>? é~~~ {SECRET}".encode()).decode().rstrip("=")
+        assert "-" in plain or "_" in plain
+        assert any(kind == "base64.assign" for kind, _, _ in secrets.find_secrets(f"jwt {plain}.x"))
+    glued = "some-path-with-more-words+" + base64.b64encode(SECRET.encode() * 2).decode()
+    assert secrets.find_secrets("x-" + base64.b64encode(SECRET.encode() * 2).decode() + " " + glued)
