@@ -8,7 +8,6 @@ of its characters, the stretch of the original text that it comes from, so each
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -37,9 +36,24 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})
 _ESCAPE_UNIT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
 _ALPHABETS = [re.compile(r"[A-Za-z0-9+/]{16,}"), re.compile(r"[A-Za-z0-9_-]{16,}")]
-# First bytes of compressed data
-_GZIP, _BZ2, _XZ = b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00"
-_ZLIB = (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+_TO_STANDARD = str.maketrans("-_", "+/")
+# A line break, also one that is written as an escape, and the indent of the next line
+_GAP = r"[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*"
+_BREAK = re.compile(_GAP)
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]++(?:{_GAP}[A-Za-z0-9+/_-]++)++)={{0,2}}")
+# First bytes of compressed data, and who opens it by the first of them
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+_MAKERS: dict[int, tuple[str, Callable]] = {
+    0x1F: ("gzip", lambda: zlib.decompressobj(31)),
+    ord("B"): ("bz2", bz2.BZ2Decompressor),
+    0xFD: ("xz", lzma.LZMADecompressor),
+    0x78: ("zlib", zlib.decompressobj),
+}
+# UTF-8 without control characters, as long as the shortest secret
+_STRETCH = re.compile(
+    rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){14,}+"
+)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -119,22 +133,32 @@ def _escapes(run: str):
     return "".join(characters), starts, ends
 
 
-def _inflate(data: bytes, limit: int) -> tuple[str, bytes | None] | None:
-    """How data is compressed and what it holds; no content if that has more than ``limit`` bytes; None if not compressed."""
-    makers = {
-        "gzip": (data.startswith(_GZIP), lambda: zlib.decompressobj(31)),
-        "zlib": (data.startswith(_ZLIB), zlib.decompressobj),
-        "bz2": (data.startswith(_BZ2), bz2.BZ2Decompressor),
-        "xz": (data.startswith(_XZ), lzma.LZMADecompressor),
-    }
-    for how, (fits, make) in makers.items():
-        if fits:
-            try:
-                content = make().decompress(data, limit + 1)
-            except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-                return None
-            return how, content if len(content) <= limit else None
-    return None
+def _inflate(data: bytes, start: int, limit: int) -> tuple[int, str, bytes | None, bool] | None:
+    """Where the compressed data at a place ends, how it is compressed, what it holds and whether its end was seen.
+
+    No content if that has more than ``limit`` bytes; None if it is not compressed.
+    """
+    how, make = _MAKERS[data[start]]
+    try:
+        member = make()
+        content = member.decompress(memoryview(data)[start:], limit + 1)
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+        return None
+    if len(content) > limit:
+        return len(data), how, None, True
+    if not content and not member.eof:
+        return None
+    return len(data) - len(member.unused_data), how, content, member.eof
+
+
+def _streams(data: bytes, limit: int) -> Iterator[tuple[int, int, str, bytes | None, bool]]:
+    """Compressed data in bytes: begin, end, how, content (None if too large) and whether its end was seen."""
+    at = 0
+    while (mark := _MAGIC.search(data, at)) is not None:
+        opened = _inflate(data, mark.start(), limit)
+        if opened is not None:
+            yield mark.start(), *opened
+        at = opened[0] if opened is not None and opened[3] else mark.start() + 1
 
 
 def _readable(data: bytes) -> str | None:
@@ -147,15 +171,54 @@ def _readable(data: bytes) -> str | None:
     return text if text and odd * 20 <= len(data) else None
 
 
-def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
-    """Base64 runs without padding, and where they start and, with padding, end: runs of both alphabets, then their parts of one."""
+def _tokens(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Base64 runs without padding, the place of each character, and where they end with padding.
+
+    Runs of both alphabets, their parts of one, and runs joined where only line breaks and indents separate them.
+    """
     for match in _BASE64.finditer(text):
         start, stop = match.span(1)
-        yield match[1], start, match.end()
+        yield match[1], np.arange(start, stop), match.end()
         for alphabet in _ALPHABETS:
             for part in alphabet.finditer(text, start, stop):
                 if part.span() != (start, stop):
-                    yield part[0], part.start(), match.end() if part.end() == stop else part.end()
+                    yield part[0], np.arange(*part.span()), match.end() if part.end() == stop else part.end()
+    for match in _WRAPPED.finditer(text):
+        places, at = [], match.start()
+        for gap in _BREAK.finditer(text, *match.span(1)):
+            places.append(np.arange(at, gap.start()))
+            at = gap.end()
+        token, places = _BREAK.sub("", match[1]), np.concatenate([*places, np.arange(at, match.end(1))])
+        if len(token) >= 16:
+            yield token, places, match.end()
+
+
+def _texts(data: bytes, limit: int) -> tuple[list[tuple[str, str | None, int, int]], bool]:
+    """Texts in bytes as (how compressed, text, begin, end), and whether they account for all the bytes.
+
+    Compressed streams are opened wherever they begin; a text of None is one too large to open. Bytes that are no text as
+    a whole give their readable stretches.
+    """
+    found, whole, done = [], False, set()
+    work: list[tuple[bytes, str, tuple[int, int] | None]] = [(data, "", None)]
+    while work:
+        data, how, place = work.pop()
+        done.add((data, place))
+        complete = False
+        for begin, end, kind, content, ended in _streams(data, limit):
+            complete |= ended and (begin, end) == (0, len(data))
+            below = place or (begin, end)
+            if content is None:
+                found.append((how, None, *below))
+            elif content != data and (content, below) not in done:
+                work.append((content, f"{how}+{kind}", below))
+        if not complete and (text := _readable(data)) is not None:
+            complete = True
+            found.append((how, text, *(place or (0, len(data)))))
+        elif not complete:
+            found += [(how, m[0].decode(), *(place or m.span())) for m in _STRETCH.finditer(data)]
+        whole |= complete and place is None
+    return found, whole
 
 
 def _unwrapped(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
@@ -164,33 +227,30 @@ def _unwrapped(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
         yield found
     if "\\" in layer.text and (found := _rewritten(layer, _ESCAPE, _escapes, "unicode")):
         yield found
-    for token, start, end in _tokens(layer.text):
-        if len(token) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(token.replace("-", "+").replace("_", "/") + "=" * (-len(token) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        how, content = "base64", data
-        while (opened := _inflate(content, limit)) is not None:
-            if opened[1] is None:
-                yield layer.origin(start, end)
-                content = b""
-                break
-            if opened[1] == content:
+    for token, places, stop in _tokens(layer.text):
+        token = token.translate(_TO_STANDARD)
+        for shift in range(4):  # the other alignments are for runs with more characters in front
+            part = token[shift : len(token) - ((len(token) - shift) % 4 == 1)]
+            data = base64.b64decode(part + "=" * (-len(part) % 4))
+            found, whole = _texts(data, limit)
+            for how, text, begin, end in found:
+                if how or text is None:
+                    cuts = np.array([begin, end])
+                else:
+                    cuts = begin + np.cumsum([0] + [len(c.encode()) for c in text])
+                # four characters carry three bytes
+                starts = places[shift + cuts[:-1] // 3 * 4 + cuts[:-1] % 3]
+                ends = places[shift + (cuts[1:] - 1) // 3 * 4 + (cuts[1:] - 1) % 3 + 1] + 1
+                if text is None or how:
+                    if end == len(data):
+                        ends[-1] = stop
+                    if text is None:
+                        yield layer.origin(int(starts[0]), int(ends[0]))
+                        continue
+                    starts, ends = np.repeat(starts, len(text)), np.repeat(ends, len(text))
+                yield layer.child(text, starts, ends, f"base64{how}")
+            if whole:
                 break
-            how, content = f"{how}+{opened[0]}", opened[1]
-        text = _readable(content)
-        if text is None:
-            continue
-        if how == "base64":  # four characters carry three bytes
-            cuts = np.cumsum([0] + [len(c.encode()) for c in text])
-            starts = start + cuts[:-1] // 3 * 4 + cuts[:-1] % 3
-            ends = start + (cuts[1:] - 1) // 3 * 4 + (cuts[1:] - 1) % 3 + 2
-        else:
-            starts = np.full(len(text), start, dtype=np.int64)
-            ends = np.full(len(text), end, dtype=np.int64)
-        yield layer.child(text, starts, ends, how)
 
 
 def find_secrets(text: str | None, limit: int = 16_000_000) -> list[tuple[str, int, int]]:

@@ -1,8 +1,10 @@
 """Operators 4, 6, 7, 9 and 10 against plain versions on the small tables and on awkward rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -309,3 +311,27 @@ def test_url_safe_base64_is_one_layer():
         assert any(kind == "base64.assign" for kind, _, _ in secrets.find_secrets(f"jwt {plain}.x"))
     glued = "some-path-with-more-words+" + base64.b64encode(SECRET.encode() * 2).decode()
     assert secrets.find_secrets("x-" + base64.b64encode(SECRET.encode() * 2).decode() + " " + glued)
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, bytes])
+def test_wrapped_base64_is_one_layer(pack, gap):
+    rng = np.random.default_rng(6)
+    said = " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(60)) + f" {SECRET}"
+    for front in ("see ", "the key is" + gap, "BEGIN" + gap):
+        lines = base64.encodebytes(pack(said.encode())).decode().split()
+        assert len(lines) > 3
+        text = front + gap.join(lines) + gap + "(end)"
+        found = [s for s in secrets.find_secrets(text) if s[0].startswith("base64")]
+        assert any(s[0].endswith(".assign") for s in found)
+        left = "".join(secrets.redacted(text, found).replace(gap, " ").split()[-2:])
+        assert lines[-1] not in left or pack is bytes
+
+
+def test_secret_across_a_line_break():
+    token = base64.b64encode(("x" * 45 + " " + SECRET).encode()).decode()
+    text = f"see {token[:76]}\n{token[76:]} end"
+    at = 46
+    spans = [(a, b) for k, a, b in secrets.find_secrets(text) if k == "base64.assign"]
+    start, last = at // 3 * 4 + at % 3, (at + len(SECRET) - 2) // 3 * 4 + (at + len(SECRET) - 2) % 3 + 2
+    assert (4 + start, 4 + last + 1) in spans
