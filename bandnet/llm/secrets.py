@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned as it is; then every layer that can be unwrapped from it (percent escapes, Unicode escapes, base64,
-and compressed bytes inside base64) is scanned and unwrapped in turn until nothing new appears. A layer keeps, for each
+and compressed bytes inside them) is scanned and unwrapped in turn until nothing new appears. A layer keeps, for each
 of its characters, the stretch of the original text that it comes from, so each finding is a span of the original.
 """
 
@@ -49,6 +49,12 @@ _MAKERS: dict[int, tuple[str, Callable]] = {
     0xFD: ("xz", lzma.LZMADecompressor),
     0x78: ("zlib", zlib.decompressobj),
 }
+# Bytes written as escapes, also the short ones of strings in programs
+_PERCENT_BYTE = re.compile(rb"%[0-9A-Fa-f]{2}")
+_ESCAPED_BYTE = re.compile(rb"\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|U000000[0-9A-Fa-f]{2}|[0abfnrtv\\'\"])")
+_SHORT_ESCAPES = {
+    b"0": b"\0", b"a": b"\a", b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v", b"\\": b"\\", b"'": b"'", b'"': b'"',
+}
 # UTF-8 without control characters, as long as the shortest secret
 _STRETCH = re.compile(
     rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
@@ -136,19 +142,30 @@ def _escapes(run: str):
 def _inflate(data: bytes, start: int, limit: int) -> tuple[int, str, bytes | None, bool] | None:
     """Where the compressed data at a place ends, how it is compressed, what it holds and whether its end was seen.
 
-    No content if that has more than ``limit`` bytes; None if it is not compressed.
+    Members of the same kind that follow, also behind zero bytes, belong to it. No content if that has more than
+    ``limit`` bytes; None if it is not compressed.
     """
     how, make = _MAKERS[data[start]]
-    try:
-        member = make()
-        content = member.decompress(memoryview(data)[start:], limit + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    if len(content) > limit:
-        return len(data), how, None, True
-    if not content and not member.eof:
+    contents, size, end, ended, at = [], 0, start, False, start
+    while at < len(data) and data[at] == data[start]:
+        try:
+            member = make()
+            content = member.decompress(memoryview(data)[at:], limit - size + 1)
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            break
+        contents.append(content)
+        size, ended = size + len(content), member.eof
+        if size > limit:
+            return len(data), how, None, True
+        if not ended:
+            end = len(data)
+            break
+        end = at = len(data) - len(member.unused_data)
+        while at < len(data) and not data[at]:
+            at += 1
+    if not size and not ended:
         return None
-    return len(data) - len(member.unused_data), how, content, member.eof
+    return end, how, b"".join(contents), ended
 
 
 def _streams(data: bytes, limit: int) -> Iterator[tuple[int, int, str, bytes | None, bool]]:
@@ -221,12 +238,44 @@ def _texts(data: bytes, limit: int) -> tuple[list[tuple[str, str | None, int, in
     return found, whole
 
 
+def _escaped_streams(layer: Layer, units: re.Pattern, limit: int, how: str) -> Iterator[Layer | tuple[int, int]]:
+    """Compressed data whose bytes are written as escapes, or as themselves where they are printable."""
+    raw = layer.text.encode("latin-1", "replace")  # a byte for each character
+    for said in {raw, raw.replace(b"+", b" ")} if how == "url" else {raw}:
+        data = units.sub(_escaped_byte, said)
+        if _MAGIC.search(data) is None:
+            continue
+        spans = np.array([m.span() for m in units.finditer(said)], dtype=np.int64).reshape(-1, 2)
+        inside = np.zeros(len(said), dtype=bool)
+        for start, end in spans:
+            inside[start + 1 : end] = True
+        starts = np.flatnonzero(~inside)
+        ends = np.append(starts[1:], len(said))
+        for kind, text, begin, end in _texts(data, limit)[0]:
+            if text is None:
+                yield layer.origin(int(starts[begin]), int(ends[end - 1]))
+            elif kind:
+                first, last = np.full(len(text), starts[begin]), np.full(len(text), ends[end - 1])
+                yield layer.child(text, first, last, f"{how}{kind}")
+
+
+def _escaped_byte(unit: re.Match) -> bytes:
+    said = unit[0]
+    if said[1:] in _SHORT_ESCAPES and said[:1] == b"\\":
+        return _SHORT_ESCAPES[said[1:]]
+    return bytes([int(said[-2:], 16)])
+
+
 def _unwrapped(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int]]:
     """Layers one step below a layer; a bare span stands for compressed data that is too large to open."""
     if "%" in layer.text and (found := _rewritten(layer, _PERCENT, _percent, "url")):
         yield found
     if "\\" in layer.text and (found := _rewritten(layer, _ESCAPE, _escapes, "unicode")):
         yield found
+    if "%" in layer.text:
+        yield from _escaped_streams(layer, _PERCENT_BYTE, limit, "url")
+    if "\\" in layer.text:
+        yield from _escaped_streams(layer, _ESCAPED_BYTE, limit, "unicode")
     for token, places, stop in _tokens(layer.text):
         token = token.translate(_TO_STANDARD)
         for shift in range(4):  # the other alignments are for runs with more characters in front

@@ -4,10 +4,12 @@ import base64
 import bz2
 import gzip
 import hashlib
+import json
 import lzma
 import re
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import quote, quote_plus
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -335,3 +337,36 @@ def test_secret_across_a_line_break():
     spans = [(a, b) for k, a, b in secrets.find_secrets(text) if k == "base64.assign"]
     start, last = at // 3 * 4 + at % 3, (at + len(SECRET) - 2) // 3 * 4 + (at + len(SECRET) - 2) % 3 + 2
     assert (4 + start, 4 + last + 1) in spans
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize(
+    ("write", "how"),
+    [
+        (lambda b: "".join(f"%{x:02X}" for x in b), "url"),
+        (lambda b: "http://a.b/?q=" + quote(b), "url"),
+        (lambda b: "q=" + quote_plus(b), "url"),
+        (lambda b: "".join(f"\\x{x:02x}" for x in b), "unicode"),
+        (lambda b: f"data = {b!r}", "unicode"),
+        (lambda b: json.dumps(b.decode("latin-1")), "unicode"),
+    ],
+)
+def test_compressed_bytes_as_escapes(write, how, pack):
+    said = "é some text, then some more text: " + SECRET
+    text = f"é {write(pack(said.encode()))} end"
+    found = [s for s in secrets.find_secrets(text) if s[0].startswith(f"{how}+") and s[0].endswith(".assign")]
+    assert found and text[: found[0][1]].startswith("é ") and text[found[0][2] :].endswith(" end")
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress])
+def test_later_members_and_glued_runs(pack):
+    first, rest = SECRET.encode()[:15], SECRET.encode()[15:]
+    joined = base64.b64encode(pack(b"some words " + first) + pack(rest)).decode()
+    assert any(k.endswith(".assign") for k, _, _ in secrets.find_secrets(joined))
+    for front in ("a/", "ab/", "abc/", "abcd/"):
+        for inside in (pack(SECRET.encode()), SECRET.encode()):
+            token = base64.b64encode(inside).decode().rstrip("=")
+            found = [s for s in secrets.find_secrets(f"see {front}{token} end") if s[0].endswith(".assign")]
+            assert found and all(4 + len(front) <= a and b <= 4 + len(front) + len(token) for _, a, b in found)
+    bomb = base64.b64encode(pack(b"a" * 600) + pack(b"a" * 600)).decode()
+    assert [k for k, _, _ in secrets.find_secrets(bomb, limit=1000)] == ["oversize"]
