@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -140,3 +141,25 @@ def test_stages_take_nulls(spark, small, n):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     found = corpus_pipeline.STAGES[n][1](spark, docs, small).count()
     assert found == [0, 3, 4, 4][n]
+
+
+def test_whole_licenses_headers_and_excerpts(spark):
+    texts = {f.stem: f.read_text() for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    noise = " ".join(f"word{i}" for i in range(50))
+    clauses = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the\n"
+        "   documentation and/or other materials provided with the distribution.\n"
+    )
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this\n   software without specific prior written permission.\n"
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.\n'
+    header = "This program is free software{} you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation{} either version {} of the License, or\n# (at your option) any later version.\n"
+    cases = [(f"{noise} {text} {noise}", name) for name, text in texts.items()]
+    cases += [(" ".join(texts["GPL-3.0"].split()[3000:3200]), "GPL-3.0"), (noise, "")]
+    cases += [(clauses + end, "BSD-2-Clause"), (clauses + third + end, "BSD-3-Clause"), (dict(licenses.TEMPLATES)["BSD-3-Clause"], "BSD-3-Clause")]
+    cases += [(header.format(":", "", ",", 3), "GPL-3.0"), (header.format(";", "", ";", 2), "GPL-2.0"), (header.format(":", "Lesser ", ",", 3), "LGPL-3.0"), (header.format(";", "Lesser ", ";", "2.1"), "LGPL-2.1"), (header.format(":", "Affero ", ",", 3), "AGPL-3.0")]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id int, text string")
+    rows = {r.doc_id: [x.license_id for x in r.licenses] for r in licenses.scan_licenses(frame, licenses.template_table(spark)).collect()}
+    for i, (_, name) in enumerate(cases):
+        assert rows[i] == [name] * bool(name), (name, rows[i])
