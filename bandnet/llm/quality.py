@@ -73,6 +73,34 @@ def viterbi(scores: np.ndarray, step: np.ndarray, bounds: np.ndarray) -> np.ndar
     return labels
 
 
+def _padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    longest = max(len(y) for _, y in sequences)
+    x = np.zeros((len(sequences), longest, len(FEATURES)))
+    y = np.zeros((len(sequences), longest), dtype=int)
+    here = np.zeros((len(sequences), longest), dtype=bool)
+    for i, (features, labels) in enumerate(sequences):
+        x[i, : len(labels)], y[i, : len(labels)], here[i, : len(labels)] = features, labels, True
+    return x, y, here
+
+
+def _expected(x: np.ndarray, here: np.ndarray, emit: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected sums of features by label and of steps between labels, by forward-backward."""
+    longest, both = x.shape[1], here[:, 1:] & here[:, :-1]
+    score = x @ emit.T
+    ahead, behind = np.zeros_like(score), np.zeros_like(score)
+    ahead[:, 0] = score[:, 0]
+    for t in range(1, longest):
+        new = np.logaddexp.reduce(ahead[:, t - 1, :, None] + step, axis=1) + score[:, t]
+        ahead[:, t] = np.where(here[:, t, None], new, ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        new = np.logaddexp.reduce(step + (score[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
+        behind[:, t] = np.where(here[:, t + 1, None], new, 0)
+    norm = np.logaddexp.reduce(ahead[:, -1], axis=1)
+    one = np.exp(ahead + behind - norm[:, None, None]) * here[..., None]
+    pair = ahead[:, :-1, :, None] + step + (score[:, 1:] + behind[:, 1:])[:, :, None, :] - norm[:, None, None, None]
+    return np.einsum("stk,stf->kf", one, x), np.exp(np.where(both[..., None, None], pair, -np.inf)).sum((0, 1))
+
+
 def fit_line_model(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
     """Weights that maximise the likelihood of (features, labels) sequences, by forward-backward and gradient steps.
 
@@ -81,33 +109,23 @@ def fit_line_model(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int =
     sequences = [s for s in sequences if len(s[1])]
     if not sequences or len({int(y) for _, ys in sequences for y in ys}) < 2:
         return NEUTRAL
-    longest = max(len(y) for _, y in sequences)
-    x = np.zeros((len(sequences), longest, len(FEATURES)))
-    y = np.zeros((len(sequences), longest), dtype=int)
-    here = np.zeros((len(sequences), longest), dtype=bool)
-    for i, (features, labels) in enumerate(sequences):
-        x[i, : len(labels)], y[i, : len(labels)], here[i, : len(labels)] = features, labels, True
-    both = here[:, 1:] & here[:, :-1]
-    gold_emit = np.stack([(x * ((y == k) & here)[..., None]).sum((0, 1)) for k in (0, 1)])
-    gold_step = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
-    emit, step, total = np.zeros((2, len(FEATURES))), np.zeros((2, 2)), here.sum()
+    groups: list[list] = []
+    for one in sorted(sequences, key=lambda s: len(s[1])):  # alike in length, so that padding at most doubles a sequence
+        if not groups or len(one[1]) > 2 * len(groups[-1][0][1]):
+            groups.append([])
+        groups[-1].append(one)
+    padded = [_padded(g) for g in groups]
+    gold_emit = sum(np.stack([(x * ((y == k) & here)[..., None]).sum((0, 1)) for k in (0, 1)]) for x, y, here in padded)
+    gold_step = np.zeros((2, 2))
+    for _, y, here in padded:
+        both = here[:, 1:] & here[:, :-1]
+        gold_step += [[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)]
+    emit, step, total = np.zeros((2, len(FEATURES))), np.zeros((2, 2)), sum(here.sum() for _, _, here in padded)
     square_emit, square_step = np.full_like(emit, 1e-8), np.full_like(step, 1e-8)
     for _ in range(rounds):
-        score = x @ emit.T
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0]
-        for t in range(1, longest):
-            new = np.logaddexp.reduce(ahead[:, t - 1, :, None] + step, axis=1) + score[:, t]
-            ahead[:, t] = np.where(here[:, t, None], new, ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            new = np.logaddexp.reduce(step + (score[:, t + 1] + behind[:, t + 1])[:, None, :], axis=2)
-            behind[:, t] = np.where(here[:, t + 1, None], new, 0)
-        norm = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        one = np.exp(ahead + behind - norm[:, None, None]) * here[..., None]
-        pair = ahead[:, :-1, :, None] + step + (score[:, 1:] + behind[:, 1:])[:, :, None, :] - norm[:, None, None, None]
-        expected = (np.exp(np.where(both[..., None, None], pair, -np.inf))).sum((0, 1))
-        slope_emit = (gold_emit - np.einsum("stk,stf->kf", one, x)) / total - ridge * emit
-        slope_step = (gold_step - expected) / total - ridge * step
+        hoped = [_expected(x, here, emit, step) for x, _, here in padded]
+        slope_emit = (gold_emit - sum(e for e, _ in hoped)) / total - ridge * emit
+        slope_step = (gold_step - sum(s for _, s in hoped)) / total - ridge * step
         square_emit += slope_emit**2
         square_step += slope_step**2
         emit, step = emit + rate * slope_emit / np.sqrt(square_emit), step + rate * slope_step / np.sqrt(square_step)
@@ -236,7 +254,7 @@ def fit_from_labels(
     sequences = []
     for row in texts.join(F.broadcast(sample), "k").where(F.col("t").isNotNull()).orderBy(F.xxhash64("k"), "k", "t").limit(max_docs).toLocalIterator():
         data = np.frombuffer(row["t"].encode(), dtype=np.uint8)
-        features = Measured(data, np.array([0, len(data)])).features[:400]
+        features = Measured(data, np.array([0, len(data)])).features
         sequences.append((features, np.full(len(features), row["y"])))
     return fit_line_model(sequences)
 

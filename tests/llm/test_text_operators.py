@@ -370,3 +370,13 @@ def test_later_members_and_glued_runs(pack):
             assert found and all(4 + len(front) <= a and b <= 4 + len(front) + len(token) for _, a, b in found)
     bomb = base64.b64encode(pack(b"a" * 600) + pack(b"a" * 600)).decode()
     assert [k for k, _, _ in secrets.find_secrets(bomb, limit=1000)] == ["oversize"]
+
+
+def test_fit_sees_lines_behind_the_first_400(spark):
+    prose = "\n".join(f"Some words that make up line number {i} of a text." for i in range(450))
+    tail = "\n".join(f"buy | now | {i} | !!!" for i in range(450))
+    docs = spark.createDataFrame([(1, prose), (2, prose + "\n" + tail), (3, "Short line here.")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    field = quality.fit_from_labels(docs, labels)
+    bars = quality.FEATURES.index("bars")
+    assert field.emit[0][bars] > field.emit[1][bars]
