@@ -25,6 +25,7 @@ from bandnet.llm.textbytes import give_back
 WORD_START = "▁"
 UNKNOWN = 1e-7  # probability of a character that is no piece, alike in all languages
 LONG_WORD = 32
+RESCALE = 8  # characters after which running values are brought back to about 1
 WORD_MEMORY = 500_000
 MOST_LANGUAGES = 200
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -145,14 +146,19 @@ class WordScorer:
                 part = which[first : first + 4096]
                 joined = "".join(WORD_START + words[i] for i in part)
                 codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(part), length + 1)
-                out[part] = np.log(self._forward(codes.astype(np.uint64)))
+                out[part] = self._forward(codes.astype(np.uint64))
         return out
 
     def _forward(self, codes: np.ndarray) -> np.ndarray:
         n, length = codes.shape
         ahead = np.zeros((length + 1, n, len(self.languages)))
         ahead[0] = 1.0
+        shift = np.zeros(ahead.shape[1:])
         for start in range(length):
+            if start and start % RESCALE == 0:
+                scale = ahead[start].copy()
+                ahead[start : start + self.longest] /= scale
+                shift += np.log(scale)
             value = np.zeros(n, dtype=np.uint64)
             for end in range(start + 1, min(length, start + self.longest) + 1):
                 value = value * _BASE + codes[:, end - 1] + np.uint64(1)
@@ -166,7 +172,7 @@ class WordScorer:
                     missing = np.ones(n, dtype=bool)
                     missing[rows] = False
                     ahead[end, missing] += ahead[start, missing] * UNKNOWN
-        return ahead[length]
+        return np.log(ahead[length]) + shift
 
     def _score_long(self, word: str) -> np.ndarray:
         """One word of any length, with the running values brought back to about 1 now and then."""
@@ -181,11 +187,10 @@ class WordScorer:
                 elif back == 1:
                     total += window[-1] * UNKNOWN
             window = [*window[-self.longest + 1 :], total]
-            if end % 16 == 0:
-                scale = np.maximum(total, 1e-300)
-                window = [w / scale for w in window]
-                shift += np.log(scale)
-        return np.log(np.maximum(window[-1], 1e-300)) + shift
+            if end % RESCALE == 0:
+                window = [w / total for w in window]
+                shift += np.log(total)
+        return np.log(window[-1]) + shift
 
 
 def identify_languages(docs: DataFrame, learnt: dict, text: str = "text") -> DataFrame:

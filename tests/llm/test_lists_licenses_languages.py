@@ -163,3 +163,12 @@ def test_whole_licenses_headers_and_excerpts(spark):
     rows = {r.doc_id: [x.license_id for x in r.licenses] for r in licenses.scan_licenses(frame, licenses.template_table(spark)).collect()}
     for i, (_, name) in enumerate(cases):
         assert rows[i] == [name] * bool(name), (name, rows[i])
+
+
+def test_rare_pieces_do_not_underflow():
+    learnt = {"languages": ["a", "b"], "probability": np.full((32_000, 2), [5e-11, 4e-11]), "model": vocabulary_bytes()}
+    scorer = langid.WordScorer(learnt)
+    words = ["日" * 31, "zqxj" * 8, "zqxj" * 9]
+    scores = scorer.score(words)
+    assert np.isfinite(scores).all() and (scores[:, 0] > scores[:, 1]).all()
+    assert np.allclose(scores, [scorer._score_long("▁" + w) for w in words])
