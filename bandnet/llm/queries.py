@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandnet.llm import spelling
 from bandnet.llm.decontaminate import find_contamination
 from bandnet.llm.langid import identify_languages, learn_languages
 from bandnet.llm.licenses import CONTAINMENT, TEMPLATES, scan_licenses, template_table
 from bandnet.llm.minhash import near_duplicates
+from bandnet.llm.mixing import WORD, mix_sources
 from bandnet.llm.packing import pack_best_fit, token_pieces
+from bandnet.llm.periodic import periodic_runs
 from bandnet.llm.quality import apply_quality_rules, fit_from_labels
 from bandnet.llm.secrets import scan_secrets
 from bandnet.llm.sharding import balanced_shards
@@ -254,3 +258,62 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def contaminated():
     """At least one word in 20 is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+@query("op11_cube_source_mix")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+#: Runs of letters; the query looks for those that can become a word of seven
+_LETTER_RUN = "[a-zÀ-ÿ]{%d,}" % spelling.MIN_LENGTH
+
+
+def slip(doc_id, run: str) -> str:
+    """The contract's rule: in one of 31 pairs of document and run, one code point of the run is lost."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    if h % 31:
+        return run
+    at = h % len(run)
+    return run[:at] + run[at + 1 :]
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counts = spelling.word_counts(docs, _LETTER_RUN, key="doc_id", rewrite=slip)
+    return spelling.spelling_groups(counts).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """The contract's rule: in one of ten documents the words from one on are replaced by repeats of the first of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("w"))
+    n = F.size("w")
+    start = (F.col("g") % n).cast("int")
+    period = (1 + F.floor((n - start) / (3 + F.col("g") % 8))).cast("int")
+    unit = F.slice("w", start + 1, period)
+    times = F.ceil((n - start) / period).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), n - start)
+    folded = F.array_join(F.concat(F.slice("w", F.lit(1), start), tail), " ")
+    return words.select("doc_id", F.when(F.size("w") > 0, folded).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(repeated_tails(table(spark, folder, "documents")))
+    said = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    lines = F.transform(said, lambda line: F.concat(line, F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
