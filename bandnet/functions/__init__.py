@@ -22,6 +22,15 @@ from bandnet.functions.columns import (
     split_bucket,
     squared_error,
 )
+from bandnet.functions.counter import (
+    permuted_array,
+    permuted_column,
+    row_counter,
+    sampled_array,
+    sampled_column,
+    uniform_array,
+    uniform_column,
+)
 
 __all__ = [
     "affine",
@@ -44,4 +53,11 @@ __all__ = [
     "key_hash",
     "split_bucket",
     "squared_error",
+    "permuted_array",
+    "permuted_column",
+    "row_counter",
+    "sampled_array",
+    "sampled_column",
+    "uniform_array",
+    "uniform_column",
 ]

@@ -23,9 +23,10 @@ from pyspark.ml.param.shared import (
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 
-from bandnet.operators.optimizers import SMALLEST_TOL, Fit
+from bandnet.operators.optimizers import SMALLEST_TOL, Fit, Optimizer, Progress
 from bandnet.operators.training import DEFAULT_SEED, SOLVERS, history_frame, weight_frame
 from bandnet.operators.topology import Topology
+from bandnet.operators.updaters import Updater
 
 
 def _checked(convert: Callable[[Any], Any], ok: Callable[[Any], bool], message: str) -> Callable[[Any], Any]:
@@ -106,9 +107,47 @@ class NetworkParams(
         TypeConverters.toBoolean,
     )
 
+    corrections = Param(
+        Params._dummy(),
+        "corrections",
+        "pairs of steps and gradient changes that l-bfgs keeps",
+        _checked(TypeConverters.toInt, lambda v: v > 0, "corrections must be positive"),
+    )
+    regParam = Param(
+        Params._dummy(),
+        "regParam",
+        "strength of the regulariser that the updater stands for",
+        _checked(TypeConverters.toFloat, lambda v: v >= 0, "regParam must not be negative"),
+    )
+    keyCol = Param(
+        Params._dummy(),
+        "keyCol",
+        "column that decides which rows a minibatch has, on any layout; empty draws blocks partition by partition",
+        TypeConverters.toString,
+    )
+    sparseBlocks = Param(
+        Params._dummy(), "sparseBlocks", "keep only the entries of sparse feature vectors while training", TypeConverters.toBoolean
+    )
+    restartFolder = Param(
+        Params._dummy(),
+        "restartFolder",
+        "folder in which l-bfgs keeps its state and from which a cut run goes on; empty for none",
+        TypeConverters.toString,
+    )
+
+    #: What no file can hold: set by ``setUpdater``, ``setOnIteration`` and ``setOptimizer``, kept by copies, not saved
+    _updater: Updater | None = None
+    _on_iteration: Progress | None = None
+    _optimizer: Optimizer | None = None
+
     def __init__(self, *args: Any) -> None:
         super().__init__(*args)
         self._setDefault(
+            corrections=10,
+            regParam=0.0,
+            keyCol="",
+            sparseBlocks=False,
+            restartFolder="",
             seed=DEFAULT_SEED,
             maxIter=100,
             tol=SMALLEST_TOL,
@@ -142,7 +181,7 @@ class NetworkParams(
             "features": self.getFeaturesCol(),
             "label": self.getLabelCol(),
             "block_size": self.getBlockSize(),
-            "solver": self.getSolver(),
+            "solver": self._optimizer or self.getSolver(),
             "max_iter": self.getMaxIter(),
             "tol": self.getTol(),
             "step_size": self.getStepSize(),
@@ -152,12 +191,49 @@ class NetworkParams(
             "averaging": self.getAveraging(),
             "partitions": self.getOrDefault(self.numPartitions) or None,
             "durable": self.getOrDefault(self.durableBlocks),
+            "corrections": self.getOrDefault(self.corrections),
+            "reg": self.getOrDefault(self.regParam),
+            "key": self.getOrDefault(self.keyCol) or None,
+            "sparse": self.getOrDefault(self.sparseBlocks),
+            "restart": self.getOrDefault(self.restartFolder) or None,
+            "on_iteration": self._on_iteration,
+            **({"updater": self._updater} if self._updater is not None else {}),
         }
 
 
 class NetworkSetters:
     """Fluent setters of the estimators."""
 
+    def setUpdater(self, value: Updater | None):
+        """How a gradient and the regulariser move the weights, for solver gd; for l-bfgs, which regulariser."""
+        self._updater = value
+        return self
+
+    def setOnIteration(self, value: Progress | None):
+        """A function told of every iteration: its number, its loss and its weights."""
+        self._on_iteration = value
+        return self
+
+    def setOptimizer(self, value: Optimizer | None):
+        """An optimizer of one's own in place of ``solver``; it brings its own settings."""
+        self._optimizer = value
+        return self
+
+    def setCorrections(self, value: int):
+        return self._set(corrections=value)
+
+    def setRegParam(self, value: float):
+        return self._set(regParam=value)
+
+    def setKeyCol(self, value: str):
+        return self._set(keyCol=value)
+
+    def setSparseBlocks(self, value: bool):
+        return self._set(sparseBlocks=value)
+
+    def setRestartFolder(self, value: str):
+        return self._set(restartFolder=value)
+
     def setLayers(self, value: Sequence[int]):
         return self._set(layers=value)
 

@@ -11,10 +11,12 @@ from bandnet.operators.evaluation import (
 )
 from bandnet.operators.losses import HingeLoss, LeastSquaresLoss, LinearLoss, LogisticLoss, MultinomialLoss, NetworkLoss
 from bandnet.operators.nnls import gram_matrix, nnls_by_group, nnls_fit, solve_nonnegative, unmix
-from bandnet.operators.objective import BlockObjective, ColumnObjective, Evaluation, gradient_frame, linear_sums, loss_frame, partial_sums
-from bandnet.operators.optimizers import Fit, minimize_gd, minimize_lbfgs
+from bandnet.operators.objective import BlockObjective, ColumnObjective, Evaluation, gradient_frame, linear_sums, loss_frame, partial_sums, sparse_linear_sums
+from bandnet.operators.optimizers import Fit, GradientDescent, Lbfgs, LbfgsState, Optimizer, minimize_gd, minimize_lbfgs
+from bandnet.operators.restart import StateFolder, state_frame, state_from_frame
 from bandnet.operators.scaling import Bounds, minmax_columns, minmax_fit, minmax_scale, minmax_stats
 from bandnet.operators.scoring import encode, forward, forward_all, network_column
+from bandnet.operators.sparse import SparseRows, affine
 from bandnet.operators.splits import k_folds, random_split, split_bounds, split_by_key
 from bandnet.operators.topology import (
     RELU,
@@ -27,7 +29,7 @@ from bandnet.operators.topology import (
     SquaredError,
     Topology,
 )
-from bandnet.operators.training import fit_network, formula_weights, history_frame, weight_frame
+from bandnet.operators.training import fit_network, formula_weights, history_frame, random_weight_frame, weight_frame
 from bandnet.operators.updaters import constant_step, l1_step, l2_step, penalty, simple_step
 
 __all__ = [
@@ -39,21 +41,28 @@ __all__ = [
     "Elementwise",
     "Evaluation",
     "Fit",
+    "GradientDescent",
     "HingeLoss",
+    "Lbfgs",
+    "LbfgsState",
     "LeastSquaresLoss",
     "LinearLoss",
     "LogisticLoss",
     "MultinomialLoss",
     "NetworkLoss",
+    "Optimizer",
     "RELU",
     "ReconstructionEvaluator",
     "SIGMOID",
     "SigmoidSquaredError",
     "SoftmaxCrossEntropy",
+    "SparseRows",
     "SquaredError",
+    "StateFolder",
     "Topology",
     "accuracy",
     "accuracy_by_label",
+    "affine",
     "check_labels",
     "constant_step",
     "encode",
@@ -84,13 +93,17 @@ __all__ = [
     "partial_sums",
     "penalty",
     "random_split",
+    "random_weight_frame",
     "reconstruction_mse",
     "simple_step",
     "solve_nonnegative",
+    "sparse_linear_sums",
     "split_bounds",
     "split_by_key",
     "stack_blocks",
     "staged_blocks",
+    "state_frame",
+    "state_from_frame",
     "unmix",
     "unstack_blocks",
     "weight_frame",

@@ -61,7 +61,7 @@ def numbers_from_binary(column: pa.Array, count: int) -> np.ndarray:
     _, offset_buffer, data = column.buffers()
     offsets = np.frombuffer(offset_buffer, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
     start, size = int(offsets[0]), int(offsets[-1] - offsets[0])
-    kind = {4: "<f4", 8: "<f8"}[size // count]
+    kind = {4: "<f4", 8: "<f8"}[size // count]  # integers are told apart by who reads them
     return np.frombuffer(data, dtype=kind, offset=start, count=count)
 
 

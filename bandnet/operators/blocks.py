@@ -4,7 +4,8 @@ A block is one row ``(n, x, y)``: the row count, ``n * width`` feature values ro
 ``n`` labels or target vectors (empty when the network's target is its own input, so nothing is stored twice).
 The values are packed as little-endian numbers in binary columns, which cross to Python about
 twice as fast as arrays; features that come as 32-bit floats stay so and are widened only for
-the arithmetic. Rows are packed within their partition, without a shuffle.
+the arithmetic. Rows are packed within their partition, without a shuffle. Blocks packed with a key have a last column
+``counters``, a number for each row from its key's hash, by which minibatches are drawn.
 """
 
 from __future__ import annotations
@@ -15,29 +16,37 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandnet.functions import feature_array
+from bandnet.functions import feature_array, row_counter
 from bandnet.operators.arrow import lists_from_matrix, matrix_from_lists, numbers_from_binary, packed_binary
+from bandnet.operators.sparse import SPARSE_BLOCK_SCHEMA, SparseRows, pack_sparse, sparse_block_arrays, sparse_entries
 
 BLOCK_SCHEMA = "n int, x binary, y binary"
 
 
 def labeled_rows(
     df: DataFrame,
-    features: str = "features",
+    features: str | None = "features",
     label: str | None = "label",
     width: int | None = None,
     target: str | None = None,
     target_width: int | None = None,
+    values: Column | None = None,
+    key: str | None = None,
 ) -> DataFrame:
-    """Only what training needs: the features and, if there is one, the label as a double or the target vector."""
-    cols = [feature_array(df, features, width).alias("features")]
+    """Only what training needs: the features and, if there is one, the label as a double or the target vector.
+
+    ``values`` is an expression for the features in place of a column. With ``key`` a column ``counter`` follows.
+    """
+    cols = [(feature_array(df, features, width) if values is None else values).alias("features")]
     if target is not None:
         cols.append(feature_array(df, target, target_width).alias("target"))
     elif label is not None:
         cols.append(F.col(label).cast("double").alias("label"))
+    if key is not None:
+        cols.append(row_counter(key).alias("counter"))
     return df.select(*cols)
 
 
@@ -55,37 +64,42 @@ def check_labels(df: DataFrame, label: str, classes: int) -> None:
         )
 
 
-def pack_rows(width: int, block_size: int, with_label: bool, target_width: int = 0):
-    """Batches of ``(features, label)`` or ``(features, target)`` rows to batches of blocks, for one partition."""
+def pack_rows(width: int, block_size: int, with_label: bool, target_width: int = 0, counted: bool = False):
+    """Batches of ``(features, label)`` or ``(features, target)`` rows to batches of blocks, for one partition.
+
+    With ``counted`` the last column of the rows is their counter.
+    """
     each = target_width or int(with_label)
 
-    def emit(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    def emit(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         cuts = np.append(np.arange(0, len(x), block_size), len(x))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.diff(cuts).astype(np.int32)),
-                packed_binary(x, cuts * width),
-                packed_binary(y, cuts * each),
-            ],
-            names=["n", "x", "y"],
-        )
+        columns = {
+            "n": pa.array(np.diff(cuts).astype(np.int32)),
+            "x": packed_binary(x, cuts * width),
+            "y": packed_binary(y, cuts * each),
+        }
+        if counted:
+            columns["counters"] = packed_binary(c, cuts)
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_x, held_y = np.empty((0, width), dtype=np.float32), np.empty((0, target_width) if target_width else 0)
+        held_c = np.empty(0, np.int64)
         for batch in batches:
             x = matrix_from_lists(batch.column(0), width, keep_floats=True)
             if target_width:
                 y = matrix_from_lists(batch.column(1), target_width)
             else:
                 y = batch.column(1).to_numpy(zero_copy_only=False) if with_label else np.empty(0)
+            c = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False) if counted else held_c
             if len(held_x):
-                x, y = np.concatenate([held_x, x]), np.concatenate([held_y, y])
+                x, y, c = np.concatenate([held_x, x]), np.concatenate([held_y, y]), np.concatenate([held_c, c]) if counted else c
             whole = len(x) - len(x) % block_size
             if whole:
-                yield emit(x[:whole], y[:whole])
-            held_x, held_y = x[whole:].copy(), y[whole:].copy()
+                yield emit(x[:whole], y[:whole], c[:whole])
+            held_x, held_y, held_c = x[whole:].copy(), y[whole:].copy(), c[whole:].copy()
         if len(held_x):
-            yield emit(held_x, held_y)
+            yield emit(held_x, held_y, held_c)
 
     return run
 
@@ -98,22 +112,32 @@ def stack_blocks(
     label: str | None = "label",
     target: str | None = None,
     target_width: int = 0,
+    sparse: bool = False,
+    key: str | None = None,
 ) -> DataFrame:
     """Pack rows into blocks of at most ``block_size``; the last block of a partition may be short.
 
-    With ``target``, an array column of ``target_width`` values, blocks hold these vectors in place of labels.
+    With ``target``, an array column of ``target_width`` values, blocks hold these vectors in place of labels. With
+    ``sparse`` blocks hold only the entries of the features, which may be ML vectors or structs ``(indices, values)``.
+    With ``key`` minibatches are drawn by row, alike on every layout of the table; a null key is an error.
     """
     if block_size <= 0:
         raise ValueError("block_size must be positive")
     if target is not None and target_width <= 0:
         raise ValueError("a target column needs target_width")
-    rows = labeled_rows(df, features, label, width, target, target_width)
-    pack = pack_rows(width, block_size, label is not None, target_width if target is not None else 0)
-    return rows.mapInArrow(pack, BLOCK_SCHEMA)
+    each, with_label = (target_width, False) if target is not None else (0, label is not None)
+    more = ", counters binary" if key is not None else ""
+    if sparse:
+        rows = labeled_rows(df, None, label, None, target, target_width, sparse_entries(df, features), key)
+        return rows.mapInArrow(pack_sparse(width, block_size, with_label, each, key is not None), SPARSE_BLOCK_SCHEMA + more)
+    rows = labeled_rows(df, features, label, width, target, target_width, key=key)
+    return rows.mapInArrow(pack_rows(width, block_size, with_label, each, key is not None), BLOCK_SCHEMA + more)
 
 
-def block_arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray | SparseRows, np.ndarray, np.ndarray]:
     """A batch of blocks as one matrix of rows, their labels or target vectors, and the rows per block."""
+    if "positions" in batch.schema.names:
+        return sparse_block_arrays(batch, width)
     counts = np.asarray(batch.column(0))
     rows = int(counts.sum())
     x = numbers_from_binary(batch.column(1), rows * width).reshape(-1, width)
@@ -123,6 +147,12 @@ def block_arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndar
     return x, y.reshape(rows, each) if each > 1 else y, counts
 
 
+def block_counters(batch: pa.RecordBatch) -> np.ndarray:
+    """The counters of a batch of blocks packed with a key."""
+    rows = int(np.asarray(batch.column(0)).sum())
+    return numbers_from_binary(batch.column("counters"), rows).view(np.int64) if rows else np.empty(0, np.int64)
+
+
 def unstack_blocks(blocks: DataFrame, width: int, target_width: int = 0) -> DataFrame:
     """Blocks back to rows ``(features, label)``; the label is null where blocks hold none.
 
@@ -132,6 +162,7 @@ def unstack_blocks(blocks: DataFrame, width: int, target_width: int = 0) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y, _ = block_arrays(batch, width)
+            x = x.toarray() if isinstance(x, SparseRows) else x
             if target_width:
                 held, name = lists_from_matrix(y.reshape(len(x), target_width)), "target"
             else:

@@ -3,7 +3,8 @@
 A loss is any object with
 
 * ``weight_count(width)``: how many weights it has for ``width`` features,
-* ``partial(x, y, w) -> (loss_sum, gradient_sum)`` over the rows of a chunk,
+* ``partial(x, y, w) -> (loss_sum, gradient_sum)`` over the rows of a chunk, ``x`` being a matrix or, for sparse blocks,
+  ``sparse.SparseRows`` (``x @ matrix``, ``x.T @ matrix``, ``matrix @ x``, ``toarray()``),
 * ``report_scale``: factor from the optimised loss to the reported one,
 * ``with_label``: whether ``y`` holds labels,
 * ``with_target`` (may be absent): whether ``y`` holds target vectors.
@@ -86,7 +87,10 @@ class NetworkLoss:
             if matrix is None:
                 delta = delta * layer.activation.derivative(values[at + 1])
                 continue
-            np.matmul(values[at].T, delta, out=slots[at][1])
+            if isinstance(values[at], np.ndarray):
+                np.matmul(values[at].T, delta, out=slots[at][1])
+            else:
+                slots[at][1][:] = values[at].T @ delta
             slots[at][2][:] = delta.sum(axis=0)
             if any(isinstance(below, Affine) for below in topology.layers[:at]):
                 delta = delta @ matrix.T

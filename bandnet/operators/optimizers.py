@@ -11,7 +11,7 @@ import logging
 import math
 import sys
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from typing import Protocol
 
 import numpy as np
@@ -34,6 +34,12 @@ class Objective(Protocol):
     def evaluate(self, w: np.ndarray, fraction: float = 1.0, seed: int | None = None) -> Evaluation: ...
 
 
+class Optimizer(Protocol):
+    """Anything that brings an objective down from a start; ``fit_network(solver=...)`` takes one in place of a name."""
+
+    def optimize(self, objective: Objective, initial: np.ndarray) -> "Fit": ...
+
+
 @dataclass
 class Fit:
     """Final weights and the loss at every iteration, the first being that of the initial weights."""
@@ -46,6 +52,23 @@ class Fit:
     reason: str = "iterations"
 
 
+@dataclass
+class LbfgsState:
+    """All that L-BFGS carries from one iteration to the next."""
+
+    weights: np.ndarray
+    gradient: np.ndarray
+    loss: float
+    history: list[float]
+    #: Steps and changes of the gradient, the oldest first
+    pairs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    evaluations: int = 0
+
+    @property
+    def iteration(self) -> int:
+        return len(self.history) - 1
+
+
 def _check(condition: bool, message: str) -> None:
     if not condition:
         raise ValueError(message)
@@ -210,6 +233,8 @@ def minimize_lbfgs(
     reg: float = 0.0,
     gradient_floor: float = GRADIENT_FLOOR,
     on_iteration: Progress | None = None,
+    resume: LbfgsState | None = None,
+    on_state: Callable[[LbfgsState], None] | None = None,
 ) -> Fit:
     """Limited-memory BFGS with a strong-Wolfe line search.
 
@@ -217,7 +242,10 @@ def minimize_lbfgs(
     gradient or the relative decrease falls to ``tol``, when the gradient's norm falls to
     ``gradient_floor`` (whatever ``tol`` says; 0 switches this off), or when no step lowers the loss;
     ``Fit.reason`` says which. A start that is not finite is an error. ``on_iteration`` gets the
-    weights of every iteration; a run resumed from them loses the stored curvature only.
+    weights of every iteration; a run started from them loses the stored curvature only. ``on_state`` gets all that
+    the next iteration needs; a run with ``resume`` takes ``initial`` from it, goes on to the same ``iterations`` and
+    has the weights and the history of one that was never cut, to the bit (``operators.restart`` keeps states in
+    a table).
     """
     _check(gradient_floor >= 0, "gradient_floor must not be negative")
     _check(corrections > 0, "corrections must be positive")
@@ -236,22 +264,26 @@ def minimize_lbfgs(
         # searched: optimised loss plus penalty, the sum whose gradient this is
         return found.loss + value, found.gradient + slope
 
-    loss, gradient = value_at(fit.weights)
-    if counts[0] == 0:
-        log.warning("no data: returning the initial weights")
-        return fit
-
-    _finite(loss, gradient, 0)
-
     def reported(value: float, w: np.ndarray) -> float:
         if scale == 1.0:
             return value
         extra = penalty(updater, w, reg)[0]
         return (value - extra) * scale + extra
 
-    fit.history.append(reported(loss, fit.weights))
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(iterations):
+    if resume is None:
+        loss, gradient = value_at(fit.weights)
+        if counts[0] == 0:
+            log.warning("no data: returning the initial weights")
+            return fit
+        _finite(loss, gradient, 0)
+        fit.history.append(reported(loss, fit.weights))
+    else:
+        _check(resume.weights.shape == fit.weights.shape, f"the state has {resume.weights.size} weights, not {fit.weights.size}")
+        fit.weights, gradient, loss = resume.weights.copy(), resume.gradient.copy(), resume.loss
+        fit.history, fit.evaluations = list(resume.history), resume.evaluations
+        pairs = [(s, y, 1.0 / float(s @ y)) for s, y in resume.pairs[-corrections:]]
+    for _ in range(len(fit.history) - 1, iterations):
         size = float(np.linalg.norm(gradient))
         if size <= max(tol * abs(loss), gradient_floor):
             fit.converged, fit.reason = True, "the gradient is small"
@@ -282,7 +314,45 @@ def minimize_lbfgs(
         log.info("iteration %d: loss %.10g", len(fit.history) - 1, fit.history[-1])
         if on_iteration is not None:
             on_iteration(len(fit.history) - 1, fit.history[-1], fit.weights.copy())
+        if on_state is not None:
+            on_state(LbfgsState(fit.weights, gradient, loss, list(fit.history), [(s, y) for s, y, _ in pairs], fit.evaluations))
         if change <= tol * max(abs(loss), abs(loss + change)):
             fit.converged, fit.reason = True, "the loss hardly fell"
             break
     return fit
+
+
+@dataclass(frozen=True)
+class Lbfgs:
+    """``minimize_lbfgs`` with its settings, as an optimizer."""
+
+    updater: Updater = constant_step
+    corrections: int = 10
+    tol: float = SMALLEST_TOL
+    iterations: int = 100
+    reg: float = 0.0
+    gradient_floor: float = GRADIENT_FLOOR
+    on_iteration: Progress | None = None
+    resume: LbfgsState | None = None
+    on_state: Callable[[LbfgsState], None] | None = None
+
+    def optimize(self, objective: Objective, initial: np.ndarray) -> Fit:
+        return minimize_lbfgs(objective, initial, **{f.name: getattr(self, f.name) for f in fields(self)})
+
+
+@dataclass(frozen=True)
+class GradientDescent:
+    """``minimize_gd`` with its settings, as an optimizer."""
+
+    updater: Updater = simple_step
+    step: float = 1.0
+    iterations: int = 100
+    reg: float = 0.0
+    fraction: float = 1.0
+    tol: float = 0.001
+    seed: int = 42
+    first_iteration: int = 1
+    on_iteration: Progress | None = None
+
+    def optimize(self, objective: Objective, initial: np.ndarray) -> Fit:
+        return minimize_gd(objective, initial, **{f.name: getattr(self, f.name) for f in fields(self)})

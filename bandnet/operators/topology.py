@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column
 
 from bandnet.functions import columns as C
+from bandnet.functions import uniform_array
 
 
 @dataclass(frozen=True)
@@ -228,14 +229,15 @@ class Topology:
         return flat
 
     def random_weights(self, seed: int) -> np.ndarray:
-        """Uniform weights and biases within 2.4 / sqrt(inputs) of zero, layer by layer."""
-        rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-        parts = [
-            rng.uniform(-2.4, 2.4, layer.weight_count) / np.sqrt(layer.inputs)
-            for layer in self.layers
-            if isinstance(layer, Affine)
-        ]
-        return np.concatenate(parts)
+        """Uniform weights and biases within 2.4 / sqrt(inputs) of zero, layer by layer.
+
+        Every weight comes from its position and the seed alone (``functions.counter``), so that numpy, Spark
+        (``random_weight_frame``) and SQL give the same ones.
+        """
+        spread = uniform_array(np.arange(self.weight_count), seed) * 4.8 - 2.4
+        for start, inputs, outputs in self.weight_coordinates():
+            spread[start : start + inputs * outputs + outputs] /= np.sqrt(inputs)
+        return spread
 
     def layer_weights(self, flat: np.ndarray) -> Iterator[tuple[Any, np.ndarray | None, np.ndarray | None]]:
         """Each layer with views of its matrix, shaped (inputs, outputs), and bias."""

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bandnet.functions import uniform_column
 from bandnet.operators.blocks import check_labels, stack_blocks, staged_blocks
 from bandnet.operators.losses import Loss, NetworkLoss
-from bandnet.operators.objective import BlockObjective
-from bandnet.operators.optimizers import SMALLEST_TOL, Fit, Progress, minimize_gd, minimize_lbfgs
+from bandnet.operators.objective import BlockObjective, with_weight_coordinates
+from bandnet.operators.optimizers import SMALLEST_TOL, Fit, GradientDescent, Lbfgs, Optimizer, Progress
+from bandnet.operators.restart import StateFolder
 from bandnet.operators.topology import Topology
 from bandnet.operators.updaters import Updater, constant_step
 
@@ -25,7 +28,7 @@ def fit_network(
     features: str = "features",
     label: str = "label",
     block_size: int = 128,
-    solver: str = "l-bfgs",
+    solver: str | Optimizer = "l-bfgs",
     max_iter: int = 100,
     tol: float = SMALLEST_TOL,
     step_size: float = 0.03,
@@ -42,6 +45,9 @@ def fit_network(
     target: str = "target",
     first_iteration: int = 1,
     on_iteration: Progress | None = None,
+    key: str | None = None,
+    sparse: bool = False,
+    restart: str | None = None,
 ) -> Fit:
     """Train a network and return its weights and loss history.
 
@@ -52,9 +58,18 @@ def fit_network(
     weighs every block alike, so a short last block counts as much as a full one.
     ``on_iteration`` is told of every iteration (see ``minimize_gd``, whose ``first_iteration`` resumes a run).
     ``partitions`` reshuffles the rows first: use it where a small file would leave cores idle.
+
+    ``solver`` may be an ``Optimizer`` of any kind: it gets the objective and the start and brings its own settings, so
+    those of the named solvers do not apply. With ``key`` minibatches are the same on every layout of the table. With
+    ``sparse`` blocks hold only the entries of the features. ``restart`` is a folder that outlives the driver: L-BFGS
+    keeps its state there after every iteration, and a run that finds one goes on from it to the bit.
     """
-    if solver not in SOLVERS:
-        raise ValueError(f"solver must be one of {', '.join(SOLVERS)}, not {solver!r}")
+    if isinstance(solver, str) and solver not in SOLVERS:
+        raise ValueError(f"solver must be one of {', '.join(SOLVERS)} or an optimizer, not {solver!r}")
+    if not isinstance(solver, str) and not hasattr(solver, "optimize"):
+        raise ValueError(f"an optimizer needs optimize(objective, initial), which {solver!r} lacks")
+    if restart is not None and solver != "l-bfgs":
+        raise ValueError("restart is for l-bfgs; other solvers start again from given weights")
     if block_size <= 0:
         raise ValueError("block_size must be positive")
     own = loss is None
@@ -70,20 +85,35 @@ def fit_network(
         start = topology.random_weights(seed) if count == topology.weight_count else np.zeros(count)
     label_col = label if loss.with_label else None
     target_col = target if getattr(loss, "with_target", False) else None
-    rows = df.select(*dict.fromkeys(c for c in (features, label_col, target_col) if c))
+    rows = df.select(*dict.fromkeys(c for c in (features, label_col, target_col, key) if c))
     if own and label_col:
         check_labels(rows, label, topology.outputs)
     if partitions:
         rows = rows.repartition(partitions)
-    blocks = stack_blocks(rows, topology.inputs, block_size, features, label_col, target_col, topology.outputs)
+    blocks = stack_blocks(rows, topology.inputs, block_size, features, label_col, target_col, topology.outputs, sparse, key)
     with staged_blocks(blocks, durable) as held:
         objective = BlockObjective(held, loss, topology.inputs, averaging)
+        if not isinstance(solver, str):
+            return solver.optimize(objective, start)
         if solver == "gd":
-            return minimize_gd(
-                objective, start, updater, step_size, max_iter, reg, fraction, min(tol, 1.0),
-                first_iteration=first_iteration, on_iteration=on_iteration,
-            )
-        return minimize_lbfgs(objective, start, updater, corrections, tol, max_iter, reg, on_iteration=on_iteration)
+            chosen = GradientDescent(
+                updater, step_size, max_iter, reg, fraction, min(tol, 1.0), first_iteration=first_iteration, on_iteration=on_iteration
+            )
+            return chosen.optimize(objective, start)
+        states = StateFolder(df.sparkSession, restart) if restart is not None else None
+        chosen = Lbfgs(
+            updater, corrections, tol, max_iter, reg, on_iteration=on_iteration,
+            resume=states.latest() if states else None, on_state=states.save if states else None,
+        )
+        return chosen.optimize(objective, start)
+
+
+def random_weight_frame(spark: SparkSession, topology: Topology, seed: int) -> DataFrame:
+    """``Topology.random_weights`` as a table ``(layer, input, output, value)`` that Spark makes itself, however many there are."""
+    rows = with_weight_coordinates(spark.range(topology.weight_count), topology, "id")
+    inputs = F.array(*[F.lit(float(n)) for _, n, _ in topology.weight_coordinates()])
+    value = (uniform_column(F.col("id"), seed) * 4.8 - 2.4) / F.sqrt(F.get(inputs, F.col("layer")))
+    return rows.select("layer", "input", "output", value.alias("value"))
 
 
 def weight_frame(spark: SparkSession, topology: Topology, weights: Sequence[float]) -> DataFrame:
