@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from bandnet.catalog import sql as S
 from bandnet.catalog.registry import query
 from bandnet.catalog.tables import LINE_ROWS_SQL, LINEAR_FEATURES, line_rows, rounded
+from bandnet.functions.counter import sample_limit
 from bandnet.operators import (
     BlockObjective,
     ColumnObjective,
+    Fit,
     HingeLoss,
+    Lbfgs,
     LeastSquaresLoss,
     LogisticLoss,
     MultinomialLoss,
+    StateFolder,
     Topology,
     constant_step,
     fit_network,
@@ -26,6 +32,7 @@ from bandnet.operators import (
     simple_step,
     stack_blocks,
 )
+from bandnet.sources import scratch_path
 
 # Points at which the gradients are checked
 POINT = [0.25, -0.5, 0.75, -0.125]
@@ -219,6 +226,88 @@ for _kind, _updater in UPDATERS.items():
     query(f"gd_steps_{_kind}", _gd_sql(_kind))(_descent(_updater))
 
 
+MOMENTUM = 0.75
+#: Rows in a minibatch
+SHARE = 0.05
+
+
+@dataclass(frozen=True)
+class HeavyBall:
+    """An optimizer that no solver name stands for: descent whose steps keep a share of the step before."""
+
+    step: float
+    momentum: float
+    iterations: int
+
+    def optimize(self, objective, initial):
+        w, before, history = np.array(initial, dtype=float), np.zeros(len(initial)), []
+        for _ in range(self.iterations):
+            found = objective.evaluate(w)
+            history.append(found.loss)
+            before = self.momentum * before - self.step * found.gradient
+            w = w + before
+        return Fit(w, history, self.iterations)
+
+
+def _momentum_sql() -> str:
+    start = ", ".join([f"{p}::double AS w{i}" for i, p in enumerate(POINT)] + [f"0::double AS v{i}" for i in range(4)])
+    ctes = [LINE_ROWS_SQL, f"s1 AS (SELECT {start})"]
+    margin = " + ".join(f"w.w{i} * x{i}" for i in range(4))
+    for t in range(1, STEPS + 1):
+        ctes.append(f"r{t} AS MATERIALIZED (SELECT rows.*, {margin} - target AS diff FROM rows, s{t} w)")
+        sums = ", ".join(f"sum(diff * x{i}) / count(*) AS g{i}" for i in range(4))
+        ctes.append(f"g{t} AS MATERIALIZED (SELECT sum(diff * diff / 2) / count(*) AS loss, {sums} FROM r{t})")
+        speed = [f"{MOMENTUM}::double * w.v{i} - {STEP}::double * g.g{i}" for i in range(4)]
+        moved = ", ".join([f"w.w{i} + {v} AS w{i}" for i, v in enumerate(speed)] + [f"{v} AS v{i}" for i, v in enumerate(speed)])
+        ctes.append(f"s{t + 1} AS MATERIALIZED (SELECT {moved} FROM s{t} w, g{t} g)")
+    rows = [f"SELECT 'w{i}' AS name, {S.r(f'w{i}', 9)} AS value FROM s{STEPS + 1}" for i in range(4)]
+    rows += [f"SELECT 'loss{t}' AS name, {S.r('loss', 9)} AS value FROM g{t}" for t in range(1, STEPS + 1)]
+    return S.with_(ctes, "\nUNION ALL ".join(rows))
+
+
+@query("gd_heavy_ball", _momentum_sql())
+def _gd_heavy_ball(spark, folder):
+    """The trainer with an optimizer and a loss of the caller's own."""
+    rows = line_rows(spark, folder).select(F.array(*LINEAR_FEATURES).alias("features"), "target")
+    fit = fit_network(
+        rows, Topology.regressor([4, 1]), label="target", loss=LeastSquaresLoss(), block_size=256,
+        solver=HeavyBall(STEP, MOMENTUM, STEPS), initial_weights=POINT,
+    )
+    return named_values(spark, fit.weights, fit.history)
+
+
+def _minibatch_sql() -> str:
+    """Unrolled steps over columns, each on the rows that the sample of its seed draws."""
+    key = "l_orderkey::varchar || '-' || l_linenumber::varchar"
+    counted = LINE_ROWS_SQL.removesuffix(" FROM lineitem)") + f", {S.row_counter(f'({key})')} AS c FROM lineitem)"
+    fields = "x0, x1, x2, x3, target"
+    ctes = [counted, "s1 AS (SELECT " + ", ".join(f"{p}::double AS w{i}" for i, p in enumerate(POINT)) + ")"]
+    margin = " + ".join(f"w.w{i} * x{i}" for i in range(4))
+    for t in range(1, STEPS + 1):
+        drawn = S.permuted("c", 42 + t, "rows", fields)
+        ctes.append(f"k{t} AS MATERIALIZED (SELECT {fields} FROM ({drawn}) WHERE p < {sample_limit(SHARE)})")
+        ctes.append(f"r{t} AS MATERIALIZED (SELECT k{t}.*, {margin} - target AS diff FROM k{t}, s{t} w)")
+        sums = ", ".join(f"sum(diff * x{i}) / count(*) AS g{i}" for i in range(4))
+        ctes.append(f"g{t} AS MATERIALIZED (SELECT sum(diff * diff / 2) / count(*) AS loss, {sums} FROM r{t})")
+        moved = ", ".join(f"{_update('simple', i, t)} AS w{i}" for i in range(4))
+        ctes.append(f"s{t + 1} AS MATERIALIZED (SELECT {moved} FROM s{t} w, g{t} g)")
+    rows = [f"SELECT 'w{i}' AS name, {S.r(f'w{i}', 9)} AS value FROM s{STEPS + 1}" for i in range(4)]
+    rows += [f"SELECT 'loss{t}' AS name, {S.r('loss', 9)} AS value FROM g{t}" for t in range(1, STEPS + 1)]
+    return S.with_(ctes, "\nUNION ALL ".join(rows))
+
+
+@query("gd_minibatch_columns", _minibatch_sql())
+def _gd_minibatch_columns(spark, folder):
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = line_rows(spark, folder, key.alias("line")).select(*LINEAR_FEATURES, "target", "line").persist()
+    try:
+        objective = ColumnObjective(rows, LINEAR_FEATURES, "target", LeastSquaresLoss(), key="line")
+        fit = minimize_gd(objective, np.array(POINT), simple_step, STEP, STEPS, fraction=SHARE, tol=0.0)
+    finally:
+        rows.unpersist()
+    return named_values(spark, fit.weights, fit.history)
+
+
 def _normal_sql(reg: float) -> str:
     cells = [
         f"sum(x{i} * x{j}) / count(*)" + (f" + {reg}::double" if i == j and reg else "") + f" AS a{i}{j}"
@@ -246,6 +335,25 @@ query("lbfgs_least_squares", _normal_sql(0.0))(_lbfgs(constant_step, 0.0))
 query("lbfgs_ridge", _normal_sql(REG))(_lbfgs(l2_step, REG))
 
 
+@query("lbfgs_restarted", _normal_sql(REG))
+def _lbfgs_restarted(spark, folder):
+    """Ridge regression cut after every second iteration; each run goes on from the table that the one before left."""
+    objective, rows = _held_objective(spark, folder)
+    states = StateFolder(spark, scratch_path(spark, "restart"), every=2)
+    try:
+        done, fit = 0, None
+        while done < 50:
+            done += 2
+            solver = Lbfgs(l2_step, tol=1e-12, iterations=done, reg=REG, resume=states.latest(), on_state=states.save)
+            fit = solver.optimize(objective, np.zeros(4))
+            if fit.reason != "iterations":
+                break
+    finally:
+        rows.unpersist()
+        states.clear()
+    return named_values(spark, fit.weights, digits=5)
+
+
 @query("trainer_least_squares", _normal_sql(0.0))
 def _trainer_least_squares(spark, folder):
     """The same fit through the trainer, whose loss is swapped for one of a real-valued label."""

@@ -18,6 +18,7 @@ from bandnet.operators import (
     random_split,
     split_bounds,
     split_by_key,
+    split_rows,
     stack_blocks,
     unstack_blocks,
 )
@@ -126,11 +127,35 @@ def _random_split_cover(spark, folder):
     return train.unionByName(test).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
 
 
-@query("random_split_counts")
+_ROW_DIGEST = "md5(vec_id::varchar || chr(31) || label::varchar)"
+
+
+@query(
+    "random_split_counts",
+    f"SELECT (CASE WHEN ('0x' || substr(md5('rows-1234:' || {_ROW_DIGEST} || ':1'), 1, 15))::bigint < {split_bounds([0.8, 0.2])[0]} "
+    "THEN 0 ELSE 1 END)::int AS part, count(*) AS n, sum(vec_id)::bigint AS id_sum FROM embeddings GROUP BY 1",
+)
 def _random_split_counts(spark, folder):
-    parts = random_split(vectors(spark, folder).select("id"), [0.8, 0.2])
+    parts = random_split(vectors(spark, folder).select("id", "label"), [0.8, 0.2])
     marked = [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
-    return marked[0].unionByName(marked[1]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return marked[0].unionByName(marked[1]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+
+
+# Line items without their keys: many are alike and are told apart by their number
+_ALIKE = "l_returnflag || chr(31) || l_linestatus || chr(31) || l_linenumber::varchar"
+
+
+@query(
+    "random_split_repeated_rows",
+    f"WITH rows AS (SELECT *, md5({_ALIKE}) AS digest FROM lineitem), "
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY digest) AS place FROM rows) "
+    "SELECT l_returnflag, l_linestatus, l_linenumber, "
+    f"(CASE WHEN ('0x' || substr(md5('rows-7:' || digest || ':' || place), 1, 15))::bigint < {split_bounds([0.5, 0.5])[0]} THEN 0 ELSE 1 END)::int AS split, "
+    "count(*) AS n FROM numbered GROUP BY ALL",
+)
+def _random_split_repeated_rows(spark, folder):
+    kind = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    return split_rows(table(spark, folder, "lineitem").select(*kind), [0.5, 0.5], 7).groupBy(*kind, "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from bandnet.functions.counter import PRIME, round_keys
+
 EMBEDDING_ROWS = (
     "x AS MATERIALIZED (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS f, "
     "unnest(embedding)::double AS v FROM embeddings)"
@@ -172,3 +174,18 @@ def eliminate_ctes(source: str, size: int, tag: str = "") -> list[str]:
         previous = f"step{k}{tag}"
     out.append(f"solved{tag} AS (SELECT {', '.join(f'b{i} AS w{i}' for i in range(size))} FROM {previous})")
     return out
+
+
+def permuted(counter: str, seed: int, table: str, columns: str) -> str:
+    """A statement that replaces ``counter`` of a table by the generator's number ``p``, round by round."""
+    inner = f"SELECT {columns}, ({counter}) % {PRIME} AS p FROM {table}"
+    for key in round_keys(seed):
+        inner = f"SELECT {columns}, (p + {key}) % {PRIME} AS p FROM ({inner})"
+        inner = f"SELECT {columns}, p, p * p % {PRIME} AS s FROM ({inner})"
+        inner = f"SELECT {columns}, s * s % {PRIME} * p % {PRIME} AS p FROM ({inner})"
+    return inner
+
+
+def row_counter(key: str) -> str:
+    """The counter of a row by its key."""
+    return f"('0x' || substr(md5('sample:' || {key}::varchar), 1, 15))::bigint % {PRIME}"

@@ -31,8 +31,8 @@ CLASS_SQL = "CASE l_returnflag WHEN 'A' THEN 0::double WHEN 'N' THEN 1::double E
 TARGET_SQL = "l_discount * 5 - l_quantity / 100 + l_linenumber / 10"
 
 
-def line_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as four features near [0, 1], a flag, a class, and a numeric target."""
+def line_rows(spark: SparkSession, folder: str, *more: Column) -> DataFrame:
+    """Line items as four features near [0, 1], a flag, a class, and a numeric target; then ``more`` columns."""
     items = table(spark, folder, "lineitem")
     return items.select(
         *[F.expr(sql).alias(name) for name, sql in LINEAR_SQL.items()],
@@ -40,6 +40,7 @@ def line_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.expr(CLASS_SQL).alias("class"),
         F.expr(TARGET_SQL).alias("target"),
         "l_returnflag",
+        *more,
     )
 
 

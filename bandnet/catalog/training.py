@@ -11,7 +11,10 @@ from bandnet.catalog.network import (
 from bandnet.catalog.registry import query
 from bandnet.catalog.tables import rounded, vectors
 from bandnet.models import DenseAutoencoder, DenseAutoencoderModel, DenseClassifier, DenseClassifierModel
-from bandnet.operators import Topology, fit_network, fold_mse, k_folds, mean_fold_mse, reconstruction_mse, weight_frame
+from bandnet.functions.counter import PRIME, sample_limit
+from bandnet.operators import (
+    Topology, fit_network, fold_mse, k_folds, mean_fold_mse, random_weight_frame, reconstruction_mse, weight_frame,
+)
 from bandnet.plans import run_autoencoder, run_classification
 from bandnet.sources import scratch_path
 
@@ -73,13 +76,65 @@ def _gd_sigmoid_target_steps(spark, folder):
     return _target_steps(spark, folder, Topology(sigmoid_network().layers, "column"))
 
 
-@query("gd_minibatch")
+MINIBATCH_SEED, MINIBATCH_STEPS, MINIBATCH_STEP, MINIBATCH_SHARE = 42, 3, 0.5, 0.3
+
+
+def _minibatch_sql() -> str:
+    """Unrolled steps, each over the rows whose number in the generator of its seed is small enough."""
+    ctes = [S.EMBEDDING_ROWS, S.LABEL_ROWS, *S.weight_ctes(CLASSIFIER, "_0")]
+    ctes.append(f"counted AS MATERIALIZED (SELECT vec_id AS id, {S.row_counter('vec_id')} AS c FROM embeddings)")
+    for t in range(MINIBATCH_STEPS):
+        tag, after = f"_{t}", f"_{t + 1}"
+        drawn = S.permuted("c", MINIBATCH_SEED + t + 1, "counted", "id")
+        ctes.append(f"pick{tag} AS MATERIALIZED (SELECT id FROM ({drawn}) WHERE p < {sample_limit(MINIBATCH_SHARE)})")
+        error = S.error_cte(CLASSIFIER, tag).removesuffix(")") + f" JOIN pick{tag} k ON a.id = k.id)"
+        ctes += [*S.forward_ctes(CLASSIFIER, tag), error]
+        ctes += S.gradient_ctes(CLASSIFIER, tag, rows=f"(SELECT count(*) FROM pick{tag})")
+        ctes += S.step_ctes(CLASSIFIER, tag, after, MINIBATCH_STEP)
+    return S.with_(ctes, S.layered_select(CLASSIFIER, "w", "b", "value", tag=f"_{MINIBATCH_STEPS}"))
+
+
+@query("gd_minibatch", _minibatch_sql())
 def _gd_minibatch(spark, folder):
     estimator = DenseClassifier(
-        layers=CLASSIFIER, solver="gd", maxIter=8, stepSize=0.5, blockSize=16, miniBatchFraction=0.5, tol=0.0,
-        initialWeights=_formula(CLASSIFIER),
+        layers=CLASSIFIER, solver="gd", maxIter=MINIBATCH_STEPS, stepSize=MINIBATCH_STEP, blockSize=16, tol=0.0,
+        miniBatchFraction=MINIBATCH_SHARE, keyCol="id", initialWeights=_formula(CLASSIFIER),
+    )
+    weights = estimator.fit(vectors(spark, folder)).weightTable()
+    return weights.select("layer", "input", "output", rounded("value", 9).alias("value"))
+
+
+RANDOM_SEED = 2024
+
+
+def _random_weights_sql(scale: str) -> str:
+    """Weights of the classifier's layers from their positions; ``scale`` is what the features multiply them by."""
+    parts, at = [], 0
+    for number, (inputs, outputs) in enumerate(zip(CLASSIFIER, CLASSIFIER[1:])):
+        cells = inputs * outputs
+        drawn = S.permuted(f"i + {at}", RANDOM_SEED, f"range({cells + outputs}) t(i)", "i")
+        parts.append(
+            f"SELECT {number}::int AS layer, (CASE WHEN i < {cells} THEN i // {outputs} ELSE -1 END)::int AS input, (i % {outputs})::int AS output, "
+            f"((p + 0.5::double) / {PRIME} * 4.8 - 2.4) / sqrt({inputs}::double) AS value FROM ({drawn})"
+        )
+        at += cells + outputs
+    drawn = "\nUNION ALL ".join(parts)
+    return (
+        f"WITH w AS ({drawn}), spread AS (SELECT generate_subscripts(embedding, 1) - 1 AS input, unnest(embedding)::double AS v FROM embeddings), "
+        f"mean AS (SELECT input, avg(v) AS m FROM spread GROUP BY input) "
+        f"SELECT layer, w.input, output, {S.r('value', 12)} AS value, {S.r(scale, 9)} AS mean_input FROM w LEFT JOIN mean ON layer = 0 AND w.input = mean.input"
     )
-    return estimator.fit(vectors(spark, folder)).summary
+
+
+@query("random_weights", _random_weights_sql("coalesce(value * m, 0)"))
+def _random_weights(spark, folder):
+    """Initial weights made by Spark, and what the mean of the data adds to the first layer through each."""
+    topology = Topology.classifier(CLASSIFIER)
+    spread = vectors(spark, folder).select(F.posexplode("features").alias("input", "v"))
+    mean = spread.groupBy("input").agg(F.avg(F.col("v").cast("double")).alias("m")).withColumn("layer", F.lit(0))
+    weights = random_weight_frame(spark, topology, RANDOM_SEED).join(mean, ["layer", "input"], "left")
+    adds = F.coalesce(F.col("value") * F.col("m"), F.lit(0.0))
+    return weights.select("layer", "input", "output", rounded("value", 12).alias("value"), rounded(adds, 9).alias("mean_input"))
 
 
 def _first_loss(model):

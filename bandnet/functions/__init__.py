@@ -15,6 +15,7 @@ from bandnet.functions.columns import (
     one_hot,
     relu,
     relu_grad,
+    row_digest,
     sigmoid,
     sigmoid_grad,
     softmax,
@@ -47,6 +48,7 @@ __all__ = [
     "one_hot",
     "relu",
     "relu_grad",
+    "row_digest",
     "sigmoid",
     "sigmoid_grad",
     "softmax",

@@ -196,6 +196,19 @@ def key_hash(key: ColumnOrName, salt: str) -> Column:
     return F.when(_col(key).isNull(), F.raise_error(F.lit("a split key must not be null"))).otherwise(number)
 
 
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all columns of a row as text; equal rows have equal ones, whatever the layout of the table."""
+
+    def text(field: T.StructField) -> Column:
+        col = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, VectorUDT):
+            col = F.unwrap_udt(col)
+        shown = F.hex(col) if isinstance(field.dataType, T.BinaryType) else col.cast("string")
+        return F.coalesce(shown, F.lit("\x00"))
+
+    return F.md5(F.concat_ws("\x1f", *[text(f) for f in df.schema.fields]).cast("binary"))
+
+
 def split_bucket(key: ColumnOrName, salt: str) -> Column:
     """A bucket in 0..999 by the key's hash."""
     return (key_hash(key, salt) % 1000).cast("int")

@@ -17,7 +17,7 @@ from bandnet.operators.restart import StateFolder, state_frame, state_from_frame
 from bandnet.operators.scaling import Bounds, minmax_columns, minmax_fit, minmax_scale, minmax_stats
 from bandnet.operators.scoring import encode, forward, forward_all, network_column
 from bandnet.operators.sparse import SparseRows, affine
-from bandnet.operators.splits import k_folds, random_split, split_bounds, split_by_key
+from bandnet.operators.splits import k_folds, random_split, split_bounds, split_by_key, split_rows
 from bandnet.operators.topology import (
     RELU,
     SIGMOID,
@@ -100,6 +100,7 @@ __all__ = [
     "sparse_linear_sums",
     "split_bounds",
     "split_by_key",
+    "split_rows",
     "stack_blocks",
     "staged_blocks",
     "state_frame",

@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandnet.functions import key_hash
+from bandnet.functions import key_hash, row_digest
 from bandnet.functions.columns import KEY_HASH_BITS
 
 DEFAULT_SEED = 1234
 
 
-def random_split(df: DataFrame, fractions: Sequence[float], seed: int = DEFAULT_SEED) -> list[DataFrame]:
-    """Spark's own random split; which row lands where depends on the partitioning."""
-    return df.randomSplit([float(f) for f in fractions], seed)
-
-
 def split_bounds(fractions: Sequence[float]) -> list[int]:
     """Where the parts after the first begin, in the range of the key hash."""
     if not fractions or any(f <= 0 for f in fractions):
@@ -51,3 +46,32 @@ def k_folds(df: DataFrame, key: str, folds: int = 4, salt: str = "fold", output:
     if folds < 1:
         raise ValueError("folds must be at least 1")
     return df.withColumn(output, (key_hash(key, salt) % folds).cast("int"))
+
+
+def split_rows(df: DataFrame, fractions: Sequence[float], seed: int = DEFAULT_SEED, output: str = "split") -> DataFrame:
+    """Add the number of the part each row belongs to, for tables without a key.
+
+    A row is told by a digest of all its columns and, among rows equal in all of them, by its number: the split is the
+    same on every layout of the table, and no partition is sorted. Only digests are shuffled to find those that come
+    again, added up within partitions first; only rows that come again are dealt out by their digest and numbered, which
+    is one task for all copies of a row. The table is read for the digests, the single rows and the repeated ones.
+    """
+    bounds = F.array(*[F.lit(b) for b in split_bounds(fractions)]).cast("array<bigint>")
+    digest, number = "__row_digest", "__row_number"
+    rows = df.withColumn(digest, row_digest(df))
+    again = rows.groupBy(digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(digest)
+    order = Window.partitionBy(digest).orderBy(digest)
+    repeated = rows.join(again, digest, "left_semi").select(*df.columns, digest, F.row_number().over(order).alias(number))
+    single = rows.join(again, digest, "left_anti").select(*df.columns, digest, F.lit(1).alias(number))
+    told = key_hash(F.concat_ws(":", digest, F.col(number).cast("string")), f"rows-{seed}")
+    part = F.size(F.filter(bounds, lambda b: b <= told))
+    return single.union(repeated).select(*[c for c in df.columns if c != output], part.alias(output))
+
+
+def random_split(df: DataFrame, fractions: Sequence[float], seed: int = DEFAULT_SEED) -> list[DataFrame]:
+    """The parts of ``split_rows`` as tables of their own."""
+    name = "split"
+    while name in df.columns:
+        name = "_" + name
+    marked = split_rows(df, fractions, seed, name)
+    return [marked.where(F.col(name) == i).drop(name) for i in range(len(fractions))]
