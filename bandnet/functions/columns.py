@@ -44,6 +44,10 @@ def double_array_literal(values: Sequence[float]) -> Column:
     return F.expr(_row_text(values))
 
 
+#: Most weights that an expression may hold as text; more go through ``operators.affine`` or the scoring kernel
+LITERAL_LIMIT = 50_000
+
+
 def matrix_literal(rows: Sequence[Sequence[float]]) -> Column:
     """An ``array<array<double>>`` constant, one inner array per row."""
     return F.expr("array(" + ",".join(_row_text(r) for r in rows) + ")")
@@ -101,6 +105,8 @@ def affine(col: ColumnOrName, weights: np.ndarray, bias: np.ndarray) -> Column:
     bias = np.asarray(bias, dtype=float)
     if weights.ndim != 2 or bias.shape != (weights.shape[0],):
         raise ValueError("affine needs a matrix of (outputs, inputs) and one bias per output")
+    if weights.size > LITERAL_LIMIT:
+        raise ValueError(f"{weights.size} weights are too many for an expression: use operators.affine over a weight table")
     return let(
         _col(col).cast("array<double>"),
         lambda x: F.zip_with(

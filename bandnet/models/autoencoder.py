@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from bandnet.models.params import NetworkModel, NetworkParams, NetworkSetters, as_weights, finish_fit
 from bandnet.operators.losses import forward_outputs
+from bandnet.operators.optimizers import Fit
 from bandnet.operators.scoring import encode, network_column
 from bandnet.operators.topology import Topology
 from bandnet.operators.training import fit_network
@@ -31,9 +32,20 @@ class DenseAutoencoder(Estimator, NetworkParams, NetworkSetters, DefaultParamsWr
         return self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "DenseAutoencoderModel":
-        fit = fit_network(dataset, Topology.autoencoder(self.getLayers()), **self._training_options())
+        return self._fitted(fit_network(dataset, Topology.autoencoder(self.getLayers()), **self._training_options()))
+
+    def _fitted(self, fit: Fit) -> "DenseAutoencoderModel":
         return finish_fit(DenseAutoencoderModel(self.getLayers(), fit.weights), self, fit)
 
+    def fit_part(self, dataset: DataFrame, part: str, scaling: str | None = None) -> tuple["DenseAutoencoderModel", Fit]:
+        """Fit on the rows where the boolean column ``part`` is true, reading the table once.
+
+        ``scaling`` maps the features to [0, 1] first, by the bounds of "all" rows or of the "train" ones; the bounds are
+        in the ``Fit``, and rows to be scored have to be mapped by them.
+        """
+        fit = fit_network(dataset, Topology.autoencoder(self.getLayers()), part=part, scaling=scaling, **self._training_options())
+        return self._fitted(fit), fit
+
 
 class DenseAutoencoderModel(Model, NetworkModel):
     """A fitted autoencoder: ``transform`` appends the reconstruction as ``array<double>``."""

@@ -67,7 +67,8 @@ def numbers_from_binary(column: pa.Array, count: int) -> np.ndarray:
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _cap_lock = threading.Lock()
-_cap_state = {"users": 0, "before": ""}
+#: Users and own value of every session that has a cap now
+_cap_state: dict[str, list] = {}
 
 
 @contextmanager
@@ -75,17 +76,19 @@ def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
     """Cap the size of Arrow batches while a job is planned and run.
 
     Batches that fit in a core's cache make a pass over blocks about a third faster than the
-    default of 64 MB. The session's own value comes back when the last user is done.
+    default of 64 MB. A session's own value comes back when the last of its users is done; other
+    sessions of the process are left alone.
     """
+    session = spark._jsparkSession.sessionUUID()
     with _cap_lock:
-        if _cap_state["users"] == 0:
-            _cap_state["before"] = spark.conf.get(_BATCH_BYTES)
+        if session not in _cap_state:
+            _cap_state[session] = [0, spark.conf.get(_BATCH_BYTES)]
             spark.conf.set(_BATCH_BYTES, size)
-        _cap_state["users"] += 1
+        _cap_state[session][0] += 1
     try:
         yield
     finally:
         with _cap_lock:
-            _cap_state["users"] -= 1
-            if _cap_state["users"] == 0:
-                spark.conf.set(_BATCH_BYTES, _cap_state["before"])
+            _cap_state[session][0] -= 1
+            if _cap_state[session][0] == 0:
+                spark.conf.set(_BATCH_BYTES, _cap_state.pop(session)[1])

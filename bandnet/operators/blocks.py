@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from bandnet.functions import feature_array, row_counter
 from bandnet.operators.arrow import lists_from_matrix, matrix_from_lists, numbers_from_binary, packed_binary
+from bandnet.sources.scratch import delete_path, scratch_path
 from bandnet.operators.sparse import SPARSE_BLOCK_SCHEMA, SparseRows, pack_sparse, sparse_block_arrays, sparse_entries
 
 BLOCK_SCHEMA = "n int, x binary, y binary"
@@ -40,6 +41,11 @@ def labeled_rows(
 
     ``values`` is an expression for the features in place of a column. With ``key`` a column ``counter`` follows.
     """
+    return df.select(*_labeled_columns(df, features, label, width, target, target_width, values, key))
+
+
+def _labeled_columns(df, features, label, width=None, target=None, target_width=None, values=None, key=None) -> list[Column]:
+    """The columns of ``labeled_rows``."""
     cols = [(feature_array(df, features, width) if values is None else values).alias("features")]
     if target is not None:
         cols.append(feature_array(df, target, target_width).alias("target"))
@@ -47,7 +53,7 @@ def labeled_rows(
         cols.append(F.col(label).cast("double").alias("label"))
     if key is not None:
         cols.append(row_counter(key).alias("counter"))
-    return df.select(*cols)
+    return cols
 
 
 def check_labels(df: DataFrame, label: str, classes: int) -> None:
@@ -172,18 +178,118 @@ def unstack_blocks(blocks: DataFrame, width: int, target_width: int = 0) -> Data
     return blocks.mapInArrow(run, "features array<double>, " + ("target array<double>" if target_width else "label double"))
 
 
+MEASURES = "low array<double>, high array<double>, bad long, example string"
+
+
+def measured_blocks(
+    df: DataFrame,
+    width: int,
+    block_size: int = 128,
+    features: str = "features",
+    label: str | None = "label",
+    classes: int | None = None,
+    part: str | None = None,
+    bounds_of: str | None = None,
+    target: str | None = None,
+    target_width: int = 0,
+    key: str | None = None,
+) -> DataFrame:
+    """Blocks as ``stack_blocks`` makes them and, with the same pass over the rows, what has to be known of them.
+
+    Every partition ends with a row of ``n = 0`` that has the smallest and largest value of each feature (of all rows or
+    only the packed ones, ``bounds_of`` "all" or "train"; empty without), how many packed rows have a label outside
+    ``0..classes - 1``, and one such label. With ``part``, a boolean column, only rows for which it is true are packed.
+    """
+    if bounds_of not in (None, "all", "train"):
+        raise ValueError("bounds come from 'all' or 'train' rows")
+    if block_size <= 0:
+        raise ValueError("block_size must be positive")
+    if target is not None and target_width <= 0:
+        raise ValueError("a target column needs target_width")
+    columns = _labeled_columns(df, features, label, width, target, target_width, key=key)
+    names = df.select(*columns).columns
+    packed = F.coalesce(F.col(part), F.lit(False)) if part is not None else F.lit(True)
+    rows = df.select(packed.alias("packed"), *columns)
+    with_label = target is None and label is not None
+    pack = pack_rows(width, block_size, with_label, target_width if target is not None else 0, key is not None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full(width, np.inf), np.full(width, -np.inf)
+        bad, example = 0, None
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            nonlocal bad, example
+            for batch in batches:
+                flags = batch.column(0)
+                kept = pa.RecordBatch.from_arrays(batch.columns[1:], names=names).filter(flags)
+                seen = batch.column(1) if bounds_of == "all" else kept.column(0)
+                if bounds_of is not None and len(seen):
+                    x = matrix_from_lists(seen, width, keep_floats=True)
+                    np.fmin(low, x.min(axis=0) if not np.isnan(x).any() else np.fmin.reduce(x, axis=0), out=low)
+                    np.maximum(high, x.max(axis=0), out=high)
+                if classes is not None and len(kept):
+                    y = kept.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+                    wrong = ~((y >= 0) & (y < classes) & (y == np.floor(y)))
+                    if wrong.any():
+                        bad += int(wrong.sum())
+                        first = kept.column(1)[int(np.flatnonzero(wrong)[0])].as_py()
+                        example = "null" if first is None else str(first)
+                        kept = kept.filter(pa.array(~wrong))
+                yield kept
+
+        blocks = 0
+        for block in pack(chosen()):
+            blocks += block.num_rows
+            nothing = [pa.nulls(block.num_rows, f.type) for f in measures]
+            yield pa.RecordBatch.from_arrays([*block.columns, *nothing], names=[*block.schema.names, *measures.names])
+        ends = [pa.array([v.tolist() if bounds_of is not None else []], pa.list_(pa.float64())) for v in (low, high)]
+        empty = [pa.array([b""], pa.binary())] * (3 if key is not None else 2)
+        names_out = ["n", "x", "y", *(["counters"] if key is not None else []), *measures.names]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([0], pa.int32()), *empty, *ends, pa.array([bad], pa.int64()), pa.array([example], pa.string())], names=names_out
+        )
+
+    doubles = pa.list_(pa.float64())
+    measures = pa.schema([("low", doubles), ("high", doubles), ("bad", pa.int64()), ("example", pa.string())])
+    more = ", counters binary" if key is not None else ""
+    return rows.mapInArrow(run, f"{BLOCK_SCHEMA}{more}, {MEASURES}")
+
+
+def block_measures(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, int, str | None]:
+    """Smallest and largest values, the number of bad labels and an example, from the last rows of ``measured_blocks``.
+
+    Two numbers per feature reach the driver, whatever the number of partitions; no bounds give empty arrays.
+    """
+    ends = blocks.where("n = 0").select("bad", "example", F.posexplode_outer(F.arrays_zip("low", "high")).alias("band", "b"))
+    found = (
+        ends.groupBy("band")
+        .agg(F.min("b.low").alias("low"), F.max("b.high").alias("high"), F.sum("bad").alias("bad"), F.min("example").alias("example"))
+        .orderBy("band")
+        .collect()
+    )
+    bands = [r for r in found if r["band"] is not None]
+    low, high = (np.array([r[c] for r in bands], dtype=np.float64) for c in ("low", "high"))
+    return low, high, (found[0]["bad"] or 0) if found else 0, found[0]["example"] if found else None
+
+
 @contextmanager
 def staged_blocks(blocks: DataFrame, durable: bool = False) -> Iterator[DataFrame]:
     """Hold blocks for an iterative loop and release them afterwards.
 
     Blocks are kept in memory and spill to disk. A lost executor's blocks are recomputed from
-    the input; with ``durable`` they are first written to ``spark.checkpoint.dir``, so that the
-    recovery reads files instead of repeating the shuffles upstream.
+    the input; with ``durable`` they are first written below ``spark.checkpoint.dir``, so that the
+    recovery reads files instead of repeating the shuffles upstream. The files are deleted afterwards.
     """
+    path = None
     if durable:
-        blocks = blocks.checkpoint(eager=True)
+        spark = blocks.sparkSession
+        path = scratch_path(spark, "blocks")
+        blocks.write.parquet(path)
+        blocks = spark.read.schema(blocks.schema).parquet(path)
     held = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield held
     finally:
         held.unpersist()
+        if path is not None:
+            delete_path(held.sparkSession, path)

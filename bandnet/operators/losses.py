@@ -61,7 +61,7 @@ class NetworkLoss:
             raise ValueError(f"the network takes {self.topology.inputs} features, not {width}")
         return self.topology.weight_count
 
-    def partial(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    def _target(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         topology = self.topology
         if self.with_label:
             sound = (y >= 0) & (y < topology.outputs) & (y == np.floor(y))
@@ -75,6 +75,19 @@ class NetworkLoss:
                 raise ValueError("target values must be finite")
         else:
             target = x
+        return target
+
+    def value(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+        """The loss alone: one pass forward."""
+        topology = self.topology
+        target, value = self._target(x, y), x
+        for layer, matrix, bias in list(topology.layer_weights(w))[:-1]:
+            value = value @ matrix + bias if matrix is not None else layer.activation.fn(value)
+        return topology.layers[-1].loss_and_delta(value, target)[0]
+
+    def partial(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        topology = self.topology
+        target = self._target(x, y)
         views = list(topology.layer_weights(w))
         values = [x]
         for layer, matrix, bias in views[:-1]:
@@ -99,6 +112,26 @@ class NetworkLoss:
         return loss, gradient
 
 
+class ScaledLoss:
+    """A loss on features mapped to [0, 1] by their bounds, chunk by chunk; a feature with equal bounds becomes 0.5."""
+
+    def __init__(self, loss: Loss, low: np.ndarray, high: np.ndarray) -> None:
+        self.loss, self.low = loss, np.asarray(low, dtype=np.float64)
+        self.flat = np.asarray(high) == self.low
+        self.span = np.where(self.flat, 1.0, np.asarray(high) - self.low)
+        self.report_scale, self.with_label = loss.report_scale, loss.with_label
+        self.with_target = getattr(loss, "with_target", False)
+
+    def weight_count(self, width: int) -> int:
+        return self.loss.weight_count(width)
+
+    def partial(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        x = (x - self.low) / self.span
+        if self.flat.any():
+            x[:, self.flat] = 0.5
+        return self.loss.partial(x, y, w)
+
+
 class LinearLoss:
     """A loss of one or more linear margins ``x . w_k``, without intercept.
 

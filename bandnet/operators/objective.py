@@ -55,7 +55,7 @@ def _partition_sum(
 ):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights()
-        total, gradient, rows, blocks = 0.0, np.zeros_like(w), 0, 0
+        total, gradient, rows, blocks = 0.0, np.zeros(getattr(loss, "gradient_size", len(w))), 0, 0
         for batch in batches:
             x, y, counts = block_arrays(batch, width)
             if sample is not None:
@@ -274,6 +274,18 @@ def sparse_linear_sums(
     return rows.mapInArrow(run, "position long, total double").groupBy("position").agg(F.sum("total").alias("total"))
 
 
+class _ForwardLoss:
+    """A network's loss without a gradient, for the kernel."""
+
+    gradient_size = 0
+
+    def __init__(self, loss: NetworkLoss) -> None:
+        self.loss = loss
+
+    def partial(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+        return self.loss.value(x, y, w), np.empty(0)
+
+
 def partial_sums(
     df: DataFrame,
     topology: Topology,
@@ -283,18 +295,20 @@ def partial_sums(
     averaging: str = "rows",
     block_size: int = 128,
     target: str = "target",
+    forward_only: bool = False,
 ) -> DataFrame:
     """Partial losses and gradients of a network straight from rows, one per partition; lazy.
 
     Rows are packed and summed in one pass through Python, for a single evaluation that needs no
-    blocks kept.
+    blocks kept. With ``forward_only`` nothing is propagated back and the gradients are empty.
     """
     w = topology.check(weights)
     label_col = label if topology.target == "label" else None
     target_col, target_width = (target, topology.outputs) if topology.target == "column" else (None, 0)
     rows = labeled_rows(df, features, label_col, topology.inputs, target_col, target_width)
     pack = pack_rows(topology.inputs, block_size, label_col is not None, target_width)
-    total = _partition_sum(NetworkLoss(topology), topology.inputs, averaging == "blocks", lambda: w)
+    loss = _ForwardLoss(NetworkLoss(topology)) if forward_only else NetworkLoss(topology)
+    total = _partition_sum(loss, topology.inputs, averaging == "blocks", lambda: w)
     return rows.mapInArrow(lambda batches: total(pack(batches)), PARTIAL_SCHEMA)
 
 
@@ -315,7 +329,7 @@ def gradient_frame(df: DataFrame, topology: Topology, weights: Sequence[float],
 
 def loss_frame(df: DataFrame, topology: Topology, weights: Sequence[float], averaging: str = "rows", **options) -> DataFrame:
     """The reported mean loss of a network as a one-row table ``(loss, units)``; lazy."""
-    partials = partial_sums(df, topology, weights, averaging=averaging, **options)
+    partials = partial_sums(df, topology, weights, averaging=averaging, forward_only=True, **options)
     units = F.sum(averaging)
     return partials.agg((F.sum("loss") / units * topology.report_scale).alias("loss"), units.alias("units"))
 

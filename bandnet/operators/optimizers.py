@@ -50,6 +50,8 @@ class Fit:
     converged: bool = False
     #: Why the iterations ended
     reason: str = "iterations"
+    #: Smallest and largest value of every feature, where the trainer scaled by them
+    bounds: tuple[np.ndarray, np.ndarray] | None = None
 
 
 @dataclass

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandnet.functions import uniform_column
-from bandnet.operators.blocks import check_labels, stack_blocks, staged_blocks
-from bandnet.operators.losses import Loss, NetworkLoss
+from bandnet.operators.blocks import block_measures, check_labels, measured_blocks, stack_blocks, staged_blocks
+from bandnet.operators.losses import Loss, NetworkLoss, ScaledLoss
 from bandnet.operators.objective import BlockObjective, with_weight_coordinates
 from bandnet.operators.optimizers import SMALLEST_TOL, Fit, GradientDescent, Lbfgs, Optimizer, Progress
 from bandnet.operators.restart import StateFolder
@@ -48,6 +48,8 @@ def fit_network(
     key: str | None = None,
     sparse: bool = False,
     restart: str | None = None,
+    part: str | None = None,
+    scaling: str | None = None,
 ) -> Fit:
     """Train a network and return its weights and loss history.
 
@@ -63,6 +65,10 @@ def fit_network(
     those of the named solvers do not apply. With ``key`` minibatches are the same on every layout of the table. With
     ``sparse`` blocks hold only the entries of the features. ``restart`` is a folder that outlives the driver: L-BFGS
     keeps its state there after every iteration, and a run that finds one goes on from it to the bit.
+
+    The source is read once: labels are checked and bounds are found while rows are packed. ``part`` names a boolean
+    column, true for the rows to train on. ``scaling`` maps the features to [0, 1] inside the kernel, by the bounds of
+    "all" rows or of those trained on ("train"); ``Fit.bounds`` has them.
     """
     if isinstance(solver, str) and solver not in SOLVERS:
         raise ValueError(f"solver must be one of {', '.join(SOLVERS)} or an optimizer, not {solver!r}")
@@ -85,27 +91,56 @@ def fit_network(
         start = topology.random_weights(seed) if count == topology.weight_count else np.zeros(count)
     label_col = label if loss.with_label else None
     target_col = target if getattr(loss, "with_target", False) else None
-    rows = df.select(*dict.fromkeys(c for c in (features, label_col, target_col, key) if c))
-    if own and label_col:
-        check_labels(rows, label, topology.outputs)
+    if sparse and (part is not None or scaling is not None):
+        raise ValueError("scaling makes rows dense: it and part are for dense blocks")
+    rows = df.select(*dict.fromkeys(c for c in (features, label_col, target_col, key, part) if c))
     if partitions:
         rows = rows.repartition(partitions)
-    blocks = stack_blocks(rows, topology.inputs, block_size, features, label_col, target_col, topology.outputs, sparse, key)
+    classes = topology.outputs if own and label_col else None
+    if sparse:
+        if classes:
+            check_labels(rows, label, classes)
+        blocks = stack_blocks(rows, topology.inputs, block_size, features, label_col, target_col, topology.outputs, True, key)
+    else:
+        blocks = measured_blocks(
+            rows, topology.inputs, block_size, features, label_col, classes, part, scaling, target_col, topology.outputs, key
+        )
+    bounds = None
     with staged_blocks(blocks, durable) as held:
+        if not sparse:
+            if classes or scaling:
+                low, high, bad, example = block_measures(held)
+                if bad:
+                    raise ValueError(f"{bad} rows have a label outside 0..{classes - 1}, for example {example}")
+                if scaling and np.isfinite(low).all() and len(low):
+                    bounds = low, high
+                    loss = ScaledLoss(loss, low, high)
+            held = held.where("n > 0").drop("low", "high", "bad", "example")
         objective = BlockObjective(held, loss, topology.inputs, averaging)
-        if not isinstance(solver, str):
-            return solver.optimize(objective, start)
-        if solver == "gd":
-            chosen = GradientDescent(
-                updater, step_size, max_iter, reg, fraction, min(tol, 1.0), first_iteration=first_iteration, on_iteration=on_iteration
-            )
-            return chosen.optimize(objective, start)
-        states = StateFolder(df.sparkSession, restart) if restart is not None else None
+        fit = _optimise(
+            objective, start, solver, updater, step_size, max_iter, reg, fraction, tol, corrections, first_iteration, on_iteration,
+            StateFolder(df.sparkSession, restart) if restart is not None else None,
+        )
+    fit.bounds = bounds
+    return fit
+
+
+def _optimise(
+    objective, start, solver, updater, step_size, max_iter, reg, fraction, tol, corrections, first_iteration, on_iteration, states
+) -> Fit:
+    """Run the named solver with the trainer's settings, or the caller's own with its own."""
+    if not isinstance(solver, str):
+        return solver.optimize(objective, start)
+    if solver == "gd":
+        chosen = GradientDescent(
+            updater, step_size, max_iter, reg, fraction, min(tol, 1.0), first_iteration=first_iteration, on_iteration=on_iteration
+        )
+    else:
         chosen = Lbfgs(
             updater, corrections, tol, max_iter, reg, on_iteration=on_iteration,
             resume=states.latest() if states else None, on_state=states.save if states else None,
         )
-        return chosen.optimize(objective, start)
+    return chosen.optimize(objective, start)
 
 
 def random_weight_frame(spark: SparkSession, topology: Topology, seed: int) -> DataFrame:

@@ -6,14 +6,17 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import MinMaxScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandnet.functions import feature_array
 from bandnet.models import DenseAutoencoder, DenseAutoencoderModel, DenseClassifier, DenseClassifierModel
 from bandnet.operators.evaluation import accuracy, mean_fold_mse
-from bandnet.operators.scaling import minmax_fit, minmax_scale
-from bandnet.operators.splits import DEFAULT_SEED, k_folds, random_split, split_by_key
+from bandnet.operators.optimizers import Fit
+from bandnet.operators.scaling import Bounds, minmax_column, minmax_fit, minmax_scale
+from bandnet.operators.splits import DEFAULT_SEED, k_folds, random_split, split_by_key, split_rows
 from bandnet.sources import read_libsvm
 
 # The layer sizes the two jobs use unless told otherwise.
@@ -36,7 +39,7 @@ def _table(spark: SparkSession, source: str | DataFrame, width: int) -> DataFram
 
 
 def train_test(df: DataFrame, train_fraction: float, key: str | None, seed: int = DEFAULT_SEED) -> tuple[DataFrame, DataFrame]:
-    """Two parts: by the key's hash where there is a key, otherwise Spark's random split."""
+    """Two parts: by the key's hash where there is a key, otherwise by the rows themselves."""
     if not 0 < train_fraction < 1:
         raise ValueError("train_fraction must be between 0 and 1")
     if key is None:
@@ -75,6 +78,26 @@ def _scaler(df: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda part: minmax_scale(part, bounds)
 
 
+def _marked(df: DataFrame, train_fraction: float, key: str | None, seed: int) -> DataFrame:
+    """The table with a boolean column ``in_train``."""
+    if not 0 < train_fraction < 1:
+        raise ValueError("train_fraction must be between 0 and 1")
+    fractions = [train_fraction, 1 - train_fraction]
+    marked = split_by_key(df, key, fractions) if key is not None else split_rows(df, fractions, seed)
+    return marked.withColumn("in_train", F.col("split") == 0).drop("split")
+
+
+def _scaled_test(marked: DataFrame, fit: Fit) -> DataFrame:
+    """The rows not trained on, with the features mapped by the bounds that training found."""
+    test = marked.where(~F.col("in_train")).drop("in_train")
+    if fit.bounds is None:
+        return test
+    scaled = minmax_column(feature_array(test, "features"), Bounds(*fit.bounds))
+    if isinstance(test.schema["features"].dataType, VectorUDT):
+        scaled = array_to_vector(scaled)
+    return test.withColumn("features", scaled)
+
+
 def run_classification(
     spark: SparkSession,
     source: str | DataFrame,
@@ -89,13 +112,13 @@ def run_classification(
     """Load, scale, split, train a classifier and report its test accuracy.
 
     ``source`` is a libsvm path or a table ``(label, features)``; with ``key`` the table's split
-    follows that column. ``seed`` decides the initial weights and, without a key, the split.
+    follows that column, otherwise the rows themselves. Training reads the source once. ``seed`` decides the initial weights and, without a key, the split.
     Further options are parameters of ``DenseClassifier``.
     """
-    train, test = prepare(_table(spark, source, layers[0]), train_fraction, key, fit_on, seed)
+    marked = _marked(_table(spark, source, layers[0]), train_fraction, key, seed)
     settings = {"blockSize": BLOCK_SIZE, "seed": seed, "maxIter": max_iter, **options}
-    model = DenseClassifier(layers=list(layers), **settings).fit(train)
-    predictions = model.transform(test)
+    model, fit = DenseClassifier(layers=list(layers), **settings).fit_part(marked, "in_train", fit_on)
+    predictions = model.transform(_scaled_test(marked, fit))
     return ApplicationResult(model, predictions, accuracy(predictions))
 
 
@@ -112,17 +135,11 @@ def run_autoencoder(
     **options,
 ) -> ApplicationResult:
     """Load, scale, split, train an autoencoder and report the mean error over test folds."""
-    train, test = prepare(_table(spark, source, layers[0]), train_fraction, key, fit_on, seed)
+    marked = _marked(_table(spark, source, layers[0]), train_fraction, key, seed)
     settings = {"blockSize": BLOCK_SIZE, "seed": seed, "maxIter": max_iter, **options}
-    model = DenseAutoencoder(layers=list(layers), **settings).fit(train)
-    if key is not None:
-        marked = k_folds(test, key, folds)
-    else:
-        marked = _random_folds(test, folds, seed)
-    predictions = model.transform(marked)
+    model, fit = DenseAutoencoder(layers=list(layers), **settings).fit_part(marked, "in_train", fit_on)
+    test = _scaled_test(marked, fit)
+    folded = k_folds(test, key, folds) if key is not None else split_rows(test, [1.0] * folds, seed + 1, "fold")
+    predictions = model.transform(folded)
     return ApplicationResult(model, predictions, mean_fold_mse(predictions))
 
-
-def _random_folds(df: DataFrame, folds: int, seed: int) -> DataFrame:
-    """Number equal random parts in one pass, so that one pass can score them all."""
-    return df.withColumn("fold", F.floor(F.rand(seed) * folds).cast("int"))

@@ -19,3 +19,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{tempfile.mkdtemp(prefix='bandnet-')}/{name}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate file or folder, wherever Spark's file systems reach."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
