@@ -115,6 +115,28 @@ def _nnls_by_group(spark, folder):
     return found.select("l_returnflag", rounded(F.col("x")[0]).alias("first"), rounded(F.col("x")[1]).alias("second"))
 
 
+@query(
+    "nnls_many_groups",
+    S.with_(
+        [
+            "rows AS MATERIALIZED (SELECT l_partkey, l_quantity / 50::double AS x0, l_discount * 10::double AS x2, "
+            "l_discount * 5 - l_quantity / 100 + l_linenumber / 10 AS target FROM lineitem)",
+            f"n AS (SELECT l_partkey, count(*) AS items, {_normal('x0', 'x2', 'target')} FROM rows GROUP BY 1)",
+        ],
+        f"SELECT l_partkey, {S.r(_FIRST, 5)} AS first, {S.r(_SECOND, 5)} AS second FROM n WHERE items >= 5 AND a * c - b * b > 1e-6 * a * c",
+    ),
+)
+def _nnls_many_groups(spark, folder):
+    """A system for every part, solved in batches of equal active sets; parts of few items or proportional columns aside."""
+    rows = line_rows(spark, folder, F.col("l_partkey"))
+    counted = rows.withColumn("one", F.lit(1.0))
+    found = nnls_by_group(rows, ["l_partkey"], PAIR, "target")
+    items = counted.groupBy("l_partkey").agg(F.sum("one").alias("items"))
+    sound = F.col("ata")[0] * F.col("ata")[3] - F.col("ata")[1] * F.col("ata")[1] > 1e-6 * F.col("ata")[0] * F.col("ata")[3]
+    kept = found.join(items, "l_partkey").where((F.col("items") >= 5) & sound)
+    return kept.select("l_partkey", rounded(F.col("x")[0], 5).alias("first"), rounded(F.col("x")[1], 5).alias("second"))
+
+
 @query(
     "nnls_optimality",
     S.with_([LINE_ROWS_SQL], "SELECT l_returnflag, 4::bigint AS conditions FROM rows GROUP BY l_returnflag"),
