@@ -22,12 +22,12 @@ def connected_components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = stored(large, "large-star")
+        # Equal pairs may come out here; they are dropped where the round ends
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(least)
-        edges, old = stored(small.distinct(), "small-star"), edges
-        release(old, large)
+        edges, old = stored(small.distinct(), "stars"), edges
+        release(old)
         ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("into"))
         ends = ends.union(edges.select("b", F.lit(0), F.lit(1))).groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
         if ends.where("out > 1 OR (out > 0 AND into > 0)").isEmpty():

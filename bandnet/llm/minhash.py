@@ -170,15 +170,18 @@ def _may_link(threshold: float):
     lacks = lambda one, other: sum(
         (F.bit_count(F.get(one, i).bitwiseAND(F.bitwise_not(F.get(other, i)))) for i in range(BITMAP_WORDS)), start=F.lit(0)
     )
+    # Sizes alone settle most pairs, before any bit is counted
+    alike = F.least("size", "hub_size") >= threshold * F.greatest("size", "hub_size") - 1e-6
     shared = F.least(F.col("size") - lacks("bits", "hub_bits"), F.col("hub_size") - lacks("hub_bits", "bits"))
-    return shared >= threshold / (1 + threshold) * (F.col("size") + F.col("hub_size")) - 1e-6
+    return alike & (shared >= threshold / (1 + threshold) * (F.col("size") + F.col("hub_size")) - 1e-6)
 
 
 def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """``(node, label)`` of linked nodes; members are ``(bucket, node, weight)``, bags ``(node, bag, size, bits)``.
 
     Round by round some members of a bucket become hubs and are compared with the others of it, the heaviest first: a text
-    that meets many others in large buckets is likely to be what they are copies of. Links inside a class change nothing,
+    that meets many others in large buckets is likely to be what they are copies of. Classes grow by the links of the
+    round alone, between classes and not between texts. Links inside a class change nothing,
     so in every bucket one class, the one with most members that are no hubs, may keep them so; when all members of the
     other classes are hubs, each pair of two classes has had its comparison. Pairs that cannot reach the threshold by
     their bitmaps are left out of the join.
@@ -190,46 +193,58 @@ def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     def tested(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(bags.select("node", F.col("bag").alias("one")), "node")
         sized = sized.join(bags.select(F.col("node").alias("hub"), F.col("bag").alias("other")), "hub")
-        return stored(sized.select("hub", "node", similarity("one", "other").alias("similarity")), "tested")
+        return stored(sized.select(*pairs.columns, similarity("one", "other").alias("similarity")), "tested")
 
     chosen = members.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
     chosen = stored(chosen.select("bucket", F.col("first.node").alias("hub")), "hubs")
     pairs = members.join(sketches, "node").join(chosen.join(hub_sketches, "hub"), "bucket")
     pairs = pairs.where((F.col("node") != F.col("hub")) & _may_link(threshold))
-    compared = tested(pairs.select("hub", "node").distinct())
-    members = stored(members.join(chosen, "bucket").withColumn("is_hub", F.col("node") == F.col("hub")).drop("hub"), "buckets")
-    release(chosen)
-    fresh = 4
+    found = tested(pairs.select("hub", "node").distinct())
+    compared = [found]
+    labels = connected_components(found.where(F.col("similarity") >= threshold), "hub", "node")
+    # The first hubs' tables are joined in here: marking the hubs needs no step of its own
+    hub_of = chosen
+    members = members.join(hub_of, "bucket").withColumn("is_hub", F.col("node") == F.col("hub")).drop("hub")
+    fresh = 8
     while True:
-        labels = connected_components(compared.where(F.col("similarity") >= threshold), "hub", "node")
-        classed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        classed = stored(classed.select(*members.columns, "label"), "classed")
-        release(members)
+        classed = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        classed, old = stored(classed, "classed"), members
+        release(old, chosen)
         idle = classed.groupBy("bucket", "label").agg(F.sum((~F.col("is_hub")).cast("long")).alias("idle"))
         spared = idle.groupBy("bucket").agg(F.max(F.struct("idle", "label")).alias("spared"))
-        waiting = classed.join(spared, "bucket").where("NOT is_hub AND label != spared.label").select("bucket", "node", "weight")
-        waiting = stored(waiting, "waiting")
-        if waiting.isEmpty():
-            release(classed, waiting, compared)
-            return labels
+        waiting = classed.join(spared, "bucket").where("NOT is_hub AND label != spared.label")
         heaviest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
         chosen = waiting.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= fresh)
-        chosen = stored(chosen.select("bucket", F.col("node").alias("hub")), "hubs")
+        chosen = stored(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
+        if chosen.isEmpty():
+            release(classed, chosen, *compared)
+            return labels
+        # Buckets without a hub to come are done with
         now = chosen.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("now"))
-        members = classed.join(waiting.select("bucket").distinct(), "bucket").join(now, ["bucket", "node"], "left")
+        members = classed.join(chosen.select("bucket").distinct(), "bucket", "left_semi").join(now, ["bucket", "node"], "left")
         members = stored(members.withColumn("is_hub", F.col("is_hub") | F.coalesce("now", F.lit(False))).drop("now"), "open")
-        release(classed, waiting, labels)
-        hub_labels = members.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        hubs = chosen.join(hub_labels, ["bucket", "hub"]).join(hub_sketches, "hub")
-        pairs = members.join(sketches, "node").join(hubs, "bucket")
+        release(classed)
+        pairs = members.join(sketches, "node").join(chosen.join(hub_sketches, "hub"), "bucket")
         pairs = pairs.where((F.col("label") != F.col("hub_label")) & _may_link(threshold))
-        pairs = pairs.select("hub", "node").distinct().join(compared, ["hub", "node"], "left_anti")
+        pairs = pairs.select("hub", "node", "hub_label", "label").distinct()
+        for before in compared:
+            pairs = pairs.join(before.select("hub", "node"), ["hub", "node"], "left_anti")
         found = tested(pairs)
-        compared, old = stored(compared.union(found), "compared"), compared
-        release(found, old, chosen)
-        kept = members.drop("label")
-        kept.stored_path = members.stored_path
-        members, fresh = kept, 4 * fresh
+        compared.append(found)
+        links = found.where(F.col("similarity") >= threshold)
+        if not links.isEmpty():
+            labels = _relabelled(labels, links)
+        fresh = 8 * fresh
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after their classes are united along links ``(hub_label, label)``; a text without a label is its own."""
+    merged = connected_components(links, "hub_label", "label").withColumnsRenamed({"node": "class", "label": "to"})
+    moved = labels.join(merged, F.col("label") == F.col("class"), "left").select("node", F.coalesce("to", "label").alias("label"))
+    added = merged.join(labels, F.col("class") == F.col("node"), "left_anti").select(F.col("class").alias("node"), F.col("to").alias("label"))
+    united = stored(moved.union(added), "labels")
+    release(labels, merged)
+    return united
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -258,9 +273,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
 
     banded = signed.select("row", "b").join(nodes.select("row", "node"), "row").select("node", F.explode("b").alias("bucket"))
     banded = stored(banded.distinct(), "banded")
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stored(banded.join(shared, "bucket"), "met")
-    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    # Copies of a text share most bands: buckets with the same members, told by their number, their ends and 128 bits, are one
+    told = [F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("node").alias("most")]
+    told += [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"told_{i}") for i in range(2)]
+    shared = banded.groupBy("bucket").agg(*told).where("size > 1")
+    alike = shared.groupBy("size", "least", "most", "told_0", "told_1").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    met = stored(banded.join(alike.select("bucket", "size", "times"), "bucket"), "met")
+    weights = met.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("weight"))
     members = stored(met.select("bucket", "node").join(weights, "node"), "members")
     release(signed, banded, met)
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "row")
