@@ -32,6 +32,7 @@ from bandnet.operators import (
     stack_blocks,
     staged_blocks,
 )
+from bandnet.plans.applications import AUTOENCODER_LAYERS, CLASSIFIER_LAYERS
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -129,6 +130,32 @@ def wide_timings(spark: SparkSession) -> tuple[dict[str, float], dict[str, float
     return seconds, figures
 
 
+def shape_timings(spark: SparkSession) -> dict[str, float]:
+    """One pass forward and back over line items for the layer sizes that the two jobs use."""
+    figures: dict[str, float] = {}
+    items = spark.read.parquet(f"{FOLDER}/lineitem.parquet").repartition(int(CPUS))
+    base = [F.expr(sql).cast("float") for sql in ("l_quantity / 50", "l_extendedprice / 100000", "l_discount * 10", "l_tax * 10")]
+    for name, topology in (
+        ("classifier_shape", Topology.classifier(CLASSIFIER_LAYERS)),
+        ("autoencoder_shape", Topology.autoencoder(AUTOENCODER_LAYERS)),
+    ):
+        rows = items.select(F.array(*[base[i % 4] for i in range(topology.inputs)]).alias("features"), (F.col("l_linenumber") % 7).cast("double").alias("label"))
+        label = "label" if topology.target == "label" else None
+        with staged_blocks(stack_blocks(rows, topology.inputs, 256, label=label)) as blocks:
+            objective = BlockObjective(blocks, NetworkLoss(topology), topology.inputs)
+            weights = formula_weights(topology.weight_count) / topology.inputs
+            objective.evaluate(weights)
+            figures[f"{name}_evaluation_sec"] = timed(lambda: objective.evaluate(weights))
+    return figures
+
+
+#: Queries of this round, timed beside the headline ones and not part of their sum
+ADDED = [
+    "sparse_logistic_sums", "sparse_gd_steps", "affine_table", "affine_table_sparse", "classifier_optimum", "run_classification_optimum",
+    "run_autoencoder_optimum", "nnls_many_groups", "gd_minibatch_columns", "random_split_counts",
+]
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -145,6 +172,8 @@ def main() -> None:
     seconds = {name: timed(lambda: consume(CATALOG[name].run(spark, FOLDER))) for name in HEADLINE}
     wide, figures = wide_timings(spark)
     seconds.update(wide)
+    figures |= shape_timings(spark)
+    figures |= {f"{name}_sec": timed(lambda: consume(CATALOG[name].run(spark, FOLDER))) for name in ADDED}
     print(
         json.dumps(
             {
