@@ -9,8 +9,11 @@ other lengths (items shorter than a window) have tables of their own.
 from __future__ import annotations
 
 import re
+import sys
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name, stored
-from bandnet.llm.textbytes import Hashes, byte_table, column_bytes, keyed, mix, runs, slices, windows
+from bandnet.llm.textbytes import byte_table, column_bytes, keyed, mix, run_hashes, runs, slices, windows
 
 # Fixed value: ASCII digits and letters and everything beyond ASCII make words
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,24 +38,33 @@ def text_words(text: str | None) -> list[str]:
 
 
 class WindowTables:
-    """Shift table and buckets for all windows of one length."""
-
-    def __init__(self, length: int, owners: dict[tuple[str, ...], set[int]]):
-        self.length, self.block = length, min(2, length)
-        self.patterns = list(owners)
-        self.owners = [sorted(owners[p]) for p in self.patterns]
-        encoded = [w.encode() for p in self.patterns for w in p]
-        ends = np.cumsum([len(w) for w in encoded])
-        data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
-        words = Hashes(data).of(ends - [len(w) for w in encoded], ends).reshape(-1, length)
-        bits = max(12, int(np.ceil(np.log2(16 * words.size + 1))))
+    """Shift table and buckets for all windows of one length.
+
+    Items are arrays of word numbers end to end, of which a window is a place: it costs a few numbers, whatever its
+    length. The shift table has 16 slots for each word of a window and 2^26 at most; beyond that shifts get shorter and
+    the search slower, not other.
+    """
+
+    def __init__(self, length: int, vocabulary: list[str], hashes: np.ndarray, items: list[tuple[int, np.ndarray]]):
+        self.length, self.block, self.vocabulary = length, min(2, length), vocabulary
+        self.words = np.concatenate([w for _, w in items])
+        bounds = np.concatenate([[0], np.cumsum([len(w) for _, w in items])])
+        words = hashes[self.words]
+        found, self.starts = windows(words, bounds, length)
+        self.owners = np.array([n for n, _ in items], dtype=np.int64)[np.searchsorted(bounds, self.starts, side="right") - 1]
+        bits = max(12, int(np.ceil(np.log2(16 * len(self.starts) * length + 1))))
         self.mask = np.uint64((1 << min(bits, 26)) - 1)
-        self.shift = np.full(int(self.mask) + 1, length - self.block + 1, dtype=np.int32)
+        self.shift = np.full(int(self.mask) + 1, length - self.block + 1, dtype=np.int8 if length < 127 else np.int32)
         for end in range(self.block - 1, length):
-            np.minimum.at(self.shift, self._slot(words[:, end - self.block + 1], words[:, end]), length - 1 - end)
-        hashes, _ = windows(words.reshape(-1), np.arange(0, words.size + 1, length), length)
-        self.order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[self.order]
+            slots = self._slot(words[self.starts + end - self.block + 1], words[self.starts + end])
+            np.minimum.at(self.shift, slots, length - 1 - end)
+        self.order = np.argsort(found, kind="stable")
+        self.hashes = found[self.order]
+
+    def said(self, number: int) -> list[str]:
+        """The words of a window."""
+        start = self.starts[number]
+        return [self.vocabulary[i] for i in self.words[start : start + self.length].tolist()]
 
     def _slot(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         both = keyed(first, 1) + last if self.block == 2 else last
@@ -68,7 +80,7 @@ class WindowTables:
         limit = np.minimum(stop[row], cursor + CHUNK_WORDS)
         found = []
         while len(cursor):
-            jump = self.shift[self._slot(words[cursor - self.block + 1], words[cursor])]
+            jump = self.shift[self._slot(words[cursor - self.block + 1], words[cursor])].astype(np.int64)
             zero = jump == 0
             if zero.any():
                 found.append(cursor[zero])
@@ -88,13 +100,19 @@ class WindowTables:
 
 def build_tables(texts: list[str], window: int) -> list[WindowTables]:
     """Tables for each window length that occurs; owners are positions in ``texts``."""
-    by_length: dict[int, dict[tuple[str, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
+    numbers: dict[str, int] = {}
+    by_length: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
     for number, text in enumerate(texts):
         words = text_words(text)
-        length = min(window, len(words))
-        for i in range(len(words) - length + 1) if length else ():
-            by_length[length][tuple(words[i : i + length])].add(number)
-    return [WindowTables(length, owners) for length, owners in sorted(by_length.items())]
+        if words:
+            ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words))
+            by_length[min(window, len(words))].append((number, ids))
+    vocabulary = list(numbers)
+    encoded = [w.encode() for w in vocabulary]
+    ends = np.cumsum([len(w) for w in encoded], dtype=np.int64)
+    data = np.frombuffer(b"".join(encoded), dtype=np.uint8)
+    hashes = run_hashes(data, ends - [len(w) for w in encoded], ends) if encoded else np.empty(0, np.uint64)
+    return [WindowTables(length, vocabulary, hashes, items) for length, items in sorted(by_length.items())]
 
 
 RESULT = "n_words long, items array<int>, hits array<struct<first:long,last:long,start:long,end:long>>"
@@ -106,24 +124,24 @@ def search_slice(data: np.ndarray, cuts: np.ndarray, tables: list[WindowTables])
     lowered = _LOWER[data]
     starts, ends = runs(WORD_BYTES[data], cuts)
     bounds = np.searchsorted(starts, cuts)
-    words = Hashes(lowered).of(starts, ends) if len(starts) else np.empty(0, np.uint64)
+    words = run_hashes(lowered, starts, ends)
     change = np.zeros(len(words) + 1, dtype=np.int64)
     owners: dict[int, set[int]] = defaultdict(set)
     for table in tables:
         places, buckets = table.candidates(words, bounds)
         rows = np.searchsorted(bounds, places, side="right") - 1
         for place, bucket, row in zip(places.tolist(), buckets.tolist(), rows.tolist(), strict=True):
-            said = tuple(
-                bytes(lowered[starts[i] : ends[i]]).decode("utf-8", "replace") for i in range(place, place + table.length)
-            )
+            said = [bytes(lowered[starts[i] : ends[i]]).decode("utf-8", "replace") for i in range(place, place + table.length)]
             key = table.hashes[bucket]
+            same = 0
             while bucket < len(table.hashes) and table.hashes[bucket] == key:
                 number = table.order[bucket]
-                if table.patterns[number] == said:
-                    change[place] += 1
-                    change[place + table.length] -= 1
-                    owners[row].update(table.owners[number])
+                if table.said(number) == said:
+                    same = 1
+                    owners[row].add(int(table.owners[number]))
                 bucket += 1
+            change[place] += same
+            change[place + table.length] -= same
     hit = np.cumsum(change[:-1]) > 0
     first, last = runs(hit, bounds)
     counts = np.diff(bounds)
@@ -140,11 +158,22 @@ def search_slice(data: np.ndarray, cuts: np.ndarray, tables: list[WindowTables])
     return [(int(counts[r]), sorted(owners.get(r, ())), spans.get(r, [])) for r in range(len(counts))]
 
 
+def _worker_tables(name: str, texts, window: int) -> list[WindowTables]:
+    """The tables of a block, built once by each Python worker, which serves many tasks; it keeps those of one block."""
+    kept = sys.modules.setdefault("bandnet_worker_tables", ModuleType("bandnet_worker_tables")).__dict__
+    if name not in kept:
+        for other in [k for k in kept if k.startswith("tables-")]:
+            del kept[other]
+        kept[name] = build_tables(texts.value, window)
+    return kept[name]
+
+
 def _scanner(texts, window: int) -> Callable:
     """A scalar Arrow function over a text column; ``texts`` is a broadcast list of item texts."""
+    name = f"tables-{uuid.uuid4().hex}"
 
     def scan(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tables = build_tables(texts.value, window)
+        tables = _worker_tables(name, texts, window)
         for column in columns:
             data, cuts = column_bytes(column)
             rows = []

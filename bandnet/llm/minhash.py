@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from bandnet.llm.components import connected_components
 from bandnet.llm.storage import fresh_name, release, stored
-from bandnet.llm.textbytes import WHITE, Hashes, column_bytes, give_back, keyed, mix, runs, slices, windows
+from bandnet.llm.textbytes import WHITE, column_bytes, give_back, keyed, mix, run_hashes, runs, slices, windows
 
 # 56 bands of 8: texts of similarity 0.8 share one but for 1 pair in 30,000, texts of 0.25 do in 1 of 1,200
 SHINGLE, SLOTS, BAND_ROWS, THRESHOLD = 5, 448, 8, 0.8
@@ -33,7 +33,7 @@ def shingles(data: np.ndarray, cuts: np.ndarray, width: int = SHINGLE) -> tuple[
     """Rows and shingle hashes, sorted by row and hash. A row of fewer words, but not none, is one shingle."""
     starts, ends = runs(~WHITE[data], cuts)
     bounds = np.searchsorted(starts, cuts)
-    words = Hashes(data).of(starts, ends) if len(starts) else np.empty(0, np.uint64)
+    words = run_hashes(data, starts, ends)
     found, first = windows(words, bounds, width)
     rows = np.searchsorted(bounds, first, side="right") - 1
     counts = np.diff(bounds)
@@ -279,8 +279,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     shared = banded.groupBy("bucket").agg(*told).where("size > 1")
     alike = shared.groupBy("size", "least", "most", "told_0", "told_1").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
     met = stored(banded.join(alike.select("bucket", "size", "times"), "bucket"), "met")
-    weights = met.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("weight"))
-    members = stored(met.select("bucket", "node").join(weights, "node"), "members")
+    # A node is in one bucket for each band at most, so its window is small
+    weight = F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("node")).alias("weight")
+    members = stored(met.select("bucket", "node", weight), "members")
     release(signed, banded, met)
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "row")
     texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("x")).join(wanted, "row")

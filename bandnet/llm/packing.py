@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name, stored
-from bandnet.llm.textbytes import Hashes, column_bytes, give_back, runs, slices
+from bandnet.llm.textbytes import column_bytes, give_back, run_hashes, runs, slices
 
 WORD_MEMORY = 800_000
 JOINED = 256
@@ -261,7 +261,7 @@ class WordEncoder:
         starts, ends = runs((data != 0x20) & (data != 0x0A), cuts)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(cuts), np.int64)
-        hashes, first, word = np.unique(Hashes(data).of(starts, ends), return_index=True, return_inverse=True)
+        hashes, first, word = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.begin) > WORD_MEMORY:
             self._forget()
         rows = self._rows(hashes)

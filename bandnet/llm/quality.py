@@ -1,7 +1,8 @@
 """Quality rules: counting rules on words, then a linear-chain conditional random field over lines.
 
-The field labels every line content or boilerplate; the share of characters in content lines decides. It is fitted here,
-by gradient ascent on the likelihood of labelled documents, and decoded by Viterbi.
+The field labels every line content or boilerplate; the share of characters in content lines decides. It is fitted here on
+labelled documents, whose label is evidence for their lines and not the label of each, and decoded by Viterbi, so that a
+page of prose under a menu comes out as both.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name
-from bandnet.llm.textbytes import WHITE, Hashes, byte_table, column_bytes, give_back, keyed, runs, slices, windows
+from bandnet.llm.textbytes import WHITE, byte_table, column_bytes, give_back, keyed, run_hashes, runs, slices, windows
 
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 UPPER, LOWER, DIGIT = byte_table((65, 90)), byte_table((97, 122)), byte_table((48, 57))
@@ -74,19 +75,23 @@ def viterbi(scores: np.ndarray, step: np.ndarray, bounds: np.ndarray) -> np.ndar
 
 
 def _padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    longest = max(len(y) for _, y in sequences)
+    longest = max(len(odds) for _, odds in sequences)
     x = np.zeros((len(sequences), longest, len(FEATURES)))
-    y = np.zeros((len(sequences), longest), dtype=int)
+    known = np.zeros((len(sequences), longest))
     here = np.zeros((len(sequences), longest), dtype=bool)
-    for i, (features, labels) in enumerate(sequences):
-        x[i, : len(labels)], y[i, : len(labels)], here[i, : len(labels)] = features, labels, True
-    return x, y, here
+    for i, (features, odds) in enumerate(sequences):
+        x[i, : len(odds)], known[i, : len(odds)], here[i, : len(odds)] = features, odds, True
+    return x, known, here
 
 
-def _expected(x: np.ndarray, here: np.ndarray, emit: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected sums of features by label and of steps between labels, by forward-backward."""
+def _expected(x: np.ndarray, here: np.ndarray, emit: np.ndarray, step: np.ndarray, odds: np.ndarray | float = 0.0):
+    """Expected sums of features by label and of steps between labels, by forward-backward.
+
+    ``odds`` are log-odds of content that evidence from outside the field adds to a line.
+    """
     longest, both = x.shape[1], here[:, 1:] & here[:, :-1]
     score = x @ emit.T
+    score[..., CONTENT] += odds
     ahead, behind = np.zeros_like(score), np.zeros_like(score)
     ahead[:, 0] = score[:, 0]
     for t in range(1, longest):
@@ -101,13 +106,24 @@ def _expected(x: np.ndarray, here: np.ndarray, emit: np.ndarray, step: np.ndarra
     return np.einsum("stk,stf->kf", one, x), np.exp(np.where(both[..., None, None], pair, -np.inf)).sum((0, 1))
 
 
-def fit_line_model(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
-    """Weights that maximise the likelihood of (features, labels) sequences, by forward-backward and gradient steps.
+def fit_line_model(sequences: list[tuple[np.ndarray, np.ndarray]], **options) -> LineModel:
+    """Weights from (features, labels) sequences: labels that are known are evidence beyond doubt."""
+    return fit_hidden_lines([(x, np.where(np.asarray(y) == CONTENT, 1.0, -1.0) * CERTAIN) for x, y in sequences], **options)
+
+
+#: Log-odds that leave no other label
+CERTAIN = 60.0
+
 
-    Without both labels among the lines, the neutral model.
+def fit_hidden_lines(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> LineModel:
+    """Weights of a field whose line labels are hidden, from (features, log-odds of content) sequences.
+
+    Expectation and gradient steps in turn: forward-backward with the evidence says how likely each line is content, and
+    the weights move to where the field expects as much without it. A line may so get another label than its document's
+    evidence says, if lines like it elsewhere do. Without evidence of both kinds, the neutral model.
     """
     sequences = [s for s in sequences if len(s[1])]
-    if not sequences or len({int(y) for _, ys in sequences for y in ys}) < 2:
+    if not sequences or not any((o > 0).any() for _, o in sequences) or not any((o < 0).any() for _, o in sequences):
         return NEUTRAL
     groups: list[list] = []
     for one in sorted(sequences, key=lambda s: len(s[1])):  # alike in length, so that padding at most doubles a sequence
@@ -115,17 +131,13 @@ def fit_line_model(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int =
             groups.append([])
         groups[-1].append(one)
     padded = [_padded(g) for g in groups]
-    gold_emit = sum(np.stack([(x * ((y == k) & here)[..., None]).sum((0, 1)) for k in (0, 1)]) for x, y, here in padded)
-    gold_step = np.zeros((2, 2))
-    for _, y, here in padded:
-        both = here[:, 1:] & here[:, :-1]
-        gold_step += [[((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)]
     emit, step, total = np.zeros((2, len(FEATURES))), np.zeros((2, 2)), sum(here.sum() for _, _, here in padded)
     square_emit, square_step = np.full_like(emit, 1e-8), np.full_like(step, 1e-8)
     for _ in range(rounds):
+        told = [_expected(x, here, emit, step, odds) for x, odds, here in padded]
         hoped = [_expected(x, here, emit, step) for x, _, here in padded]
-        slope_emit = (gold_emit - sum(e for e, _ in hoped)) / total - ridge * emit
-        slope_step = (gold_step - sum(s for _, s in hoped)) / total - ridge * step
+        slope_emit = (sum(e for e, _ in told) - sum(e for e, _ in hoped)) / total - ridge * emit
+        slope_step = (sum(s for _, s in told) - sum(s for _, s in hoped)) / total - ridge * step
         square_emit += slope_emit**2
         square_step += slope_step**2
         emit, step = emit + rate * slope_emit / np.sqrt(square_emit), step + rate * slope_step / np.sqrt(square_step)
@@ -144,8 +156,7 @@ class Measured:
         points = np.concatenate([[0], np.cumsum(begun & ~WHITE[data])])
         self.word_chars = np.diff(points[cuts])
         self.n_symbols = np.diff(np.concatenate([[0], np.cumsum(SYMBOLS[data])])[cuts])
-        hashes = Hashes(data)
-        words = hashes.of(word_start, word_end)
+        words = run_hashes(data, word_start, word_end)
         self.n_repeat_words = self._repeats(words, bounds, 5)
 
         line_start, line_end = runs(data != 10, cuts)
@@ -155,7 +166,7 @@ class Measured:
         line_start, line_end, in_line = line_start[full], line_end[full], in_line[full]
         self.lines = np.searchsorted(line_start, cuts)
         line_row = np.repeat(np.arange(rows), np.diff(self.lines))
-        line_hash = hashes.of(line_start, line_end)
+        self.line_hash = line_hash = run_hashes(data, line_start, line_end)
         order = np.lexsort((np.arange(len(line_hash)), line_hash, line_row))
         again = np.zeros(len(line_hash), dtype=bool)
         if len(order):
@@ -240,23 +251,65 @@ def _measurer(model: dict[str, list], min_share: float) -> Callable:
     return measure
 
 
+#: Log-odds of content that a document's label, and a line that stands in many documents, add to a line
+LABEL_ODDS, REPEAT_ODDS = 1.0, -2.0
+#: A line stands in many documents if so many of the sample, and this share of it, have it
+MANY, MANY_SHARE = 3, 0.005
+
+
+def _line_evidence(max_lines: int):
+    """``(k, y, t)`` to ``(k, y, n, features, hashes)``: lines of the sampled documents, measured where they are read."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, cuts = column_bytes(batch.column("t"))
+            counts, features, hashes = [], [], []
+            for a, b in slices(cuts):
+                m = Measured(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+                for i, j in zip(m.lines[:-1].tolist(), m.lines[1:].tolist(), strict=True):
+                    fits = j - i <= max_lines
+                    counts.append(j - i if fits else 0)
+                    features.append(m.features[i:j].astype(np.float32).tobytes() if fits else b"")
+                    hashes.append(m.line_hash[i:j].tobytes() if fits else b"")
+            arrays = [batch.column("k"), batch.column("y"), pa.array(counts, pa.int64()), pa.array(features, pa.binary()), pa.array(hashes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k", "y", "n", "features", "hashes"])
+        give_back()
+
+    return measure
+
+
 def fit_from_labels(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality", max_docs: int = 2000
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", good: str = "quality", max_docs: int = 2000, max_lines: int = 200_000
 ) -> LineModel:
-    """Fit the field on at most ``max_docs`` labelled documents, those with the smallest hash of their key.
+    """Fit the field on labelled documents: at most ``max_docs``, those with the smallest hash of their key, and ``max_lines`` lines.
 
-    Lines of a document labelled 1 count as content and of one labelled 0 as boilerplate; other labels, null keys and
-    null texts are left out. The bound is on the sample for fitting only. No usable label gives the neutral model.
+    Labels say little of single lines, so the lines' labels are hidden: a line of a document labelled 1 leans to content,
+    one of a document labelled 0 or one that many documents of the sample have leans to boilerplate, and ``fit_hidden_lines``
+    finds which lines go together. Other labels, null keys and null texts are left out, and so is a document that would
+    exceed the bound on lines. The bounds are on the sample for fitting only. Lines are measured on the executors; only
+    their features reach the driver. No usable label gives the neutral model.
     """
     marked = labels.where(F.col(good).isin(0, 1)).select(F.col(key).alias("k"), F.col(good).cast("int").alias("y"))
-    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
     sample = marked.dropna().dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").limit(max_docs)
-    sequences = []
-    for row in texts.join(F.broadcast(sample), "k").where(F.col("t").isNotNull()).orderBy(F.xxhash64("k"), "k", "t").limit(max_docs).toLocalIterator():
-        data = np.frombuffer(row["t"].encode(), dtype=np.uint8)
-        features = Measured(data, np.array([0, len(data)])).features
-        sequences.append((features, np.full(len(features), row["y"])))
-    return fit_line_model(sequences)
+    met = texts.join(F.broadcast(sample), "k").select("k", "y", "t")
+    kind = met.schema["k"].dataType.simpleString()
+    lines = met.mapInArrow(_line_evidence(max_lines), f"k {kind}, y int, n long, features binary, hashes binary")
+    kept, total = [], 0
+    for row in lines.where("n > 0").orderBy(F.xxhash64("k"), "k", "hashes").limit(max_docs).toLocalIterator():
+        if total + row["n"] <= max_lines:
+            total += row["n"]
+            features = np.frombuffer(row["features"], dtype=np.float32).reshape(-1, len(FEATURES))
+            kept.append((features, row["y"], np.frombuffer(row["hashes"], dtype=np.uint64)))
+    if not kept:
+        return NEUTRAL
+    # In how many documents of the sample each line stands
+    once = [np.unique(h) for _, _, h in kept]
+    known, often = np.unique(np.concatenate(once), return_counts=True)
+    known = known[often >= max(MANY, MANY_SHARE * len(kept))]
+    return fit_hidden_lines([
+        (features.astype(float), np.where(y == 1, LABEL_ODDS, -LABEL_ODDS) + REPEAT_ODDS * np.isin(h, known)) for features, y, h in kept
+    ])
 
 
 def apply_quality_rules(docs: DataFrame, model: LineModel = NEUTRAL, text: str = "text", min_share: float = 0.5) -> DataFrame:

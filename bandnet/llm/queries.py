@@ -20,8 +20,8 @@ from bandnet.llm.periodic import periodic_runs
 from bandnet.llm.quality import apply_quality_rules, fit_from_labels
 from bandnet.llm.secrets import scan_secrets
 from bandnet.llm.sharding import balanced_shards
-from bandnet.llm.suffix_dedup import remove_repeats
-from bandnet.llm.url_lists import HOST_PATTERN, host_keys, host_of, judge_captures
+from bandnet.llm.suffix_dedup import remove_repeats, shared_passages
+from bandnet.llm.url_lists import host_keys, host_of, judge_captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,7 +61,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_suffix_array_repeats")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return remove_repeats(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    shared = shared_passages(docs)
+    found = remove_repeats(docs, with_kept=True)
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = found.withColumn("digest", digest).join(shared, F.col("digest") == F.col("t"), "left")
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
+        F.coalesce("n", F.lit(0).cast("long")).alias("n_shared_passages"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+    )
 
 
 def _number(text: str, salt: str, modulus: int) -> str:
@@ -105,10 +114,12 @@ def _entry_sql(engine: str, turn: int) -> str:
 @query(
     "op3_url_lists_as_of",
     rf"""
-WITH captures AS (SELECT page_id, url, nullif(rtrim(regexp_extract(lower(url), '{HOST_PATTERN}', 1), '.'), '') AS host,
-  {_DUCK_MINUTE.format(minute=_FETCHED)} AS fetched_at FROM pages),
+WITH places AS (SELECT *, list_extract(string_split(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1), '@'), -1) AS place FROM pages),
+captures AS (SELECT page_id, url,
+  nullif(rtrim(lower(url_decode(CASE WHEN starts_with(place, '[') THEN split_part(place, ']', 1) || ']' ELSE split_part(place, ':', 1) END)), '.'), '') AS host,
+  {_DUCK_MINUTE.format(minute=_FETCHED)} AS fetched_at FROM places),
 hosts AS (SELECT DISTINCT host, string_split(host, '.') AS parts FROM captures WHERE host IS NOT NULL),
-host_keys AS (SELECT host, array_to_string(parts[i:], '.') AS key FROM (SELECT host, parts, unnest(range(1, greatest(1, len(parts) - 1) + 1)) AS i FROM hosts)),
+host_keys AS (SELECT host, array_to_string(parts[i:], '.') AS key FROM (SELECT host, parts, unnest(range(1, CASE WHEN starts_with(host, '[') OR (len(parts) = 4 AND len(list_filter(parts, lambda p: try_cast(p AS ubigint) IS NULL)) = 0) THEN 2 ELSE greatest(1, len(parts) - 1) + 1 END)) AS i FROM hosts)),
 keys AS (SELECT DISTINCT key FROM host_keys),
 entries AS ({_entry_sql("duckdb", 1)} UNION ALL {_entry_sql("duckdb", 2)}),
 held AS (SELECT key, listed_at, max(action) AS action FROM entries GROUP BY key, listed_at),

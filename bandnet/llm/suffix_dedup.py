@@ -5,8 +5,9 @@ windows tied to the same gram form a run. Equal windows are tied to equal grams
 whose gram (with what surrounds it in all windows of the run) stands more than once can hold a repeat. The bytes of such
 runs are sorted in shards: the shard of a gram has all its runs, whichever documents they come from. A shard has a
 suffix array, refined after Larsson and Sadakane, and Kasai's common prefixes tell which windows repeat in it. A gram
-with too many different runs for one shard is cut into several; each yields a hash of every distinct window, and the shards
-of a gram are merged by a sort-merge join of these.
+with too many different runs for one shard is cut into several; each sorts its distinct windows by a hash of 128 bits and
+sends on packed slices of them, cut at equal steps of the hash, and where the slices of one step meet, the windows of each
+shard are looked up in those of the others by binary search.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from bandnet.llm.storage import fresh_name, stored
 from bandnet.llm.suffix_arrays import common_prefixes, prefix_ranks
-from bandnet.llm.textbytes import Hashes, column_bytes, give_back, keyed, mix, slices
+from bandnet.llm.textbytes import WHITE, Hashes, column_bytes, give_back, keyed, mix, run_hashes, slices
+from bandnet.llm.textbytes import runs as runs_of
 
 GRAM = 32
 SHARD_BYTES = 1_000_000
@@ -123,6 +125,8 @@ def _cut_runs(size: int):
 
 
 PIECE = "key long, one long, two long, a int, b int"
+#: A window of a slice: its hash, the run it is from, and its start in the run
+_WINDOW = np.dtype([("hash", "S16"), ("one", "<i8"), ("two", "<i8"), ("start", "<i4")])
 
 
 def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -132,7 +136,7 @@ def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sort_shards(size: int):
-    """Repeated windows of each shard, as stretches of starts in each run; of cut grams also a hash for each distinct window."""
+    """Repeated windows of each shard, as stretches of starts in each run; of cut grams also slices of the distinct windows."""
 
     def one_shard(runs: list[tuple]) -> Iterator[tuple]:
         raw = np.frombuffer(b"".join(r[4] for r in runs), dtype=np.uint8)
@@ -149,12 +153,19 @@ def _sort_shards(size: int):
         flags[order[meet - 1]] = True
         distinct = np.zeros(len(raw), dtype=bool)
         distinct[order[shared < size]] = True
-        for (key, one, two, n, _, cut_gram), at in zip(runs, cuts[:-1].tolist(), strict=True):
+        windows: dict[int, list[tuple]] = {}
+        for (key, one, two, n, _, steps), at in zip(runs, cuts[:-1].tolist(), strict=True):
             for a, b in _stretches(flags[at : at + n]):
-                yield key, one, two, a, b, None
-            if cut_gram:  # each distinct window once, for the other shards of the gram
+                yield key, one, two, a, b, None, None
+            if steps > 1:  # each distinct window once, for the other shards of the gram
+                held = windows.setdefault(key, [steps])
                 for s in np.flatnonzero(distinct[at : at + n]).tolist():
-                    yield key, one, two, s, s, hashlib.blake2b(raw[at + s : at + s + size].tobytes(), digest_size=16).digest()
+                    held.append((hashlib.blake2b(raw[at + s : at + s + size].tobytes(), digest_size=16).digest(), one, two, s))
+        for key, (steps, *held) in windows.items():
+            table = np.sort(np.array(held, dtype=_WINDOW), order="hash")
+            step = _steps(table["hash"], steps)
+            for first, last in zip(np.flatnonzero(np.diff(step, prepend=-1)).tolist(), np.flatnonzero(np.diff(step, append=steps)).tolist(), strict=True):
+                yield key, None, None, None, None, int(step[first]), table[first : last + 1].tobytes()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, runs = None, []
@@ -171,15 +182,72 @@ def _sort_shards(size: int):
 
     def _out(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         rows = list(found)
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.binary()]
         for first in range(0, len(rows), 100_000):
             part = rows[first : first + 100_000]
             arrays = [pa.array([r[i] for r in part], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "one", "two", "a", "b", "window"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "one", "two", "a", "b", "step", "slice"])
 
     return sort
 
 
+def _steps(hashes: np.ndarray, steps: int) -> np.ndarray:
+    """Which of ``steps`` equal parts of the hash's range each sorted hash is in."""
+    front = np.array([int.from_bytes(h[:4].ljust(4, b"\0"), "big") for h in hashes.tolist()], dtype=np.int64)
+    return (front * steps) >> 32
+
+
+def _search_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices ``(key, step, slice)`` of one step after another to ``(key, one, two, starts)`` of windows that two shards have."""
+
+    def search(key: int, slices_of: list[np.ndarray]) -> tuple[list, list, list, list]:
+        every = np.sort(np.concatenate([t["hash"] for t in slices_of]))
+        hits = []
+        for table in slices_of:  # a slice has a window once: it stands elsewhere if the others add one
+            times = np.searchsorted(every, table["hash"], side="right") - np.searchsorted(every, table["hash"], side="left")
+            hits.append(table[times > 1])
+        found = np.sort(np.concatenate(hits), order=["one", "two", "start"])
+        new = np.concatenate([[True], (found["one"][1:] != found["one"][:-1]) | (found["two"][1:] != found["two"][:-1])])[: len(found)]
+        first = np.flatnonzero(new)
+        stops = np.append(first[1:], len(found))
+        return (
+            [key] * len(first), found["one"][first].tolist(), found["two"][first].tolist(),
+            [found["start"][i:j].tolist() for i, j in zip(first.tolist(), stops.tolist(), strict=True)],
+        )
+
+    def out(key: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        columns = search(key, held) if len(held) > 1 else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "one", "two", "starts"])
+
+    at, held = None, []
+    for batch in batches:
+        for key, step, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if at != (key, step) and held:
+                yield out(at[0], held)
+                held = []
+            at = (key, step)
+            held.append(np.frombuffer(packed, dtype=_WINDOW))
+    if held:
+        yield out(at[0], held)
+    give_back()
+
+
+def _joined_starts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Starts in any order as the closed stretches that they make."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    for column in columns:
+        out = []
+        for starts in column:
+            s = np.unique(np.array(starts.as_py(), dtype=np.int64))
+            cuts = np.flatnonzero(np.diff(s) > 1) + 1
+            out.append([{"a": int(p[0]), "b": int(p[-1])} for p in np.split(s, cuts) if len(p)])
+        yield pa.array(out, kind)
+
+
+_joined_starts.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -211,6 +279,73 @@ def _removed(with_kept: bool):
     return F.arrow_udf(remove, RESULT).asNondeterministic()
 
 
+#: Words of the grams that tie windows of words, and of the passages that documents are told to share
+WORD_GRAM, PASSAGE_WORDS = 8, 51
+
+
+def passage_cores(data: np.ndarray, cuts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and keys of the cores of all windows of ``words`` words.
+
+    Each window is tied to the gram of words in it with the smallest hash; its core is that gram with as many words on the
+    one side as half of the window's others. Equal windows have equal cores, and a core is more than half a window.
+    """
+    gram = min(WORD_GRAM, words)
+    half = (words - gram) // 2
+    starts, ends = runs_of(~WHITE[data], cuts)
+    bounds = np.searchsorted(starts, cuts)
+    said = run_hashes(data, starts, ends)
+    n = len(said)
+    if n < words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # Grams of the whole slice; those that cross rows belong to no window
+    total = np.zeros(n - gram + 1, dtype=np.uint64)
+    for j in range(gram):
+        total += keyed(said[j : n - gram + 1 + j], 31 + j)
+    place = _least_places(mix(total), words - gram + 1)
+    first = np.arange(len(place))
+    row = np.searchsorted(bounds, first, side="right") - 1
+    whole = first + words <= bounds[row + 1]
+    first, place, row = first[whole], place[whole], row[whole]
+    left = first <= place - half
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | (left[1:] != left[:-1]) | (row[1:] != row[:-1])])[: len(place)]
+    place, left, row = place[new], left[new], row[new]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(mix(said), out=sums[1:])
+    begin = np.where(left, place - half, place)
+    # A sum of the words' hashes does not know their order: the gram's hash does, and the side
+    core = keyed(sums[begin + half + gram] - sums[begin], 41) ^ keyed(mix(total[place]), 43) ^ left.astype(np.uint64)
+    return row, core.view(np.int64)
+
+
+def _find_cores(words: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, cuts = column_bytes(batch.column(1))
+            for a, b in slices(cuts):
+                row, core = passage_cores(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(core)], names=["t", "core"])
+        give_back()
+
+    return find
+
+
+def shared_passages(docs: DataFrame, text: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """``(t, n)``: digests of texts that share passages with another row, and how many cores of passages that are.
+
+    Every string of ``words`` words (what white space of ASCII separates, white space itself not counting) that another
+    row has as well adds one core at least; rows that share no more than half as many words in a row have none. Rows
+    with equal texts share all they have. Null and short texts share nothing; no rows give no rows.
+    """
+    said = docs.select(F.col(text).cast("string").alias("x")).where("x IS NOT NULL")
+    digests = said.select(F.unhex(F.md5(F.col("x").cast("binary"))).alias("t"), "x")
+    cores = stored(digests.mapInArrow(_find_cores(words), "t binary, core long").groupBy("t", "core").agg(F.count(F.lit(1)).alias("n")), "cores")
+    copies = digests.groupBy("t").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("t")
+    # Cores of two texts, and all cores of texts that several rows have
+    met = cores.groupBy("core").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b").select("core")
+    found = cores.join(met, "core", "left_semi").select("t", "core").union(cores.join(copies, "t", "left_semi").select("t", "core"))
+    return found.distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400, with_kept: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Add ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (bytes removed) and, on request, ``kept`` (bytes).
 
@@ -252,12 +387,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400, with_ke
     heavy = F.col("bytes_of_key") > shard_bytes
     parts = F.ceil(F.col("bytes_of_key") / shard_bytes)
     shard = F.when(heavy, F.xxhash64("key", F.pmod(F.col("one"), parts))).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
-    cut = cut.select(shard.alias("shard"), "key", "one", "two", "n", "bytes", heavy.alias("cut_gram"))
-    pieces = cut.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_sort_shards(size), f"{PIECE}, window binary")
+    steps = F.when(heavy, parts).otherwise(1).cast("int")
+    cut = cut.select(shard.alias("shard"), "key", "one", "two", "n", "bytes", steps.alias("steps"))
+    pieces = cut.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_sort_shards(size), f"{PIECE}, step int, slice binary")
     pieces = stored(pieces, "pieces")
-    met = pieces.where("window IS NOT NULL").groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
-    across = pieces.join(met, "window").select("key", "one", "two", "a", "b")
-    stretches = pieces.where("window IS NULL").select("key", "one", "two", "a", "b").union(across)
+    # Slices of one gram and step meet; each is as large as a shard's share of a step
+    slices_of = pieces.where("slice IS NOT NULL").select("key", "step", "slice").repartition("key", "step").sortWithinPartitions("key", "step")
+    across = slices_of.mapInArrow(_search_slices, "key long, one long, two long, starts array<int>")
+    across = across.groupBy("key", "one", "two").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    joined_starts = F.arrow_udf(_joined_starts, "array<struct<a: int, b: int>>").asNondeterministic()
+    across = across.select("key", "one", "two", joined_starts("starts").alias("found")).select("key", "one", "two", F.inline("found"))
+    stretches = pieces.where("slice IS NULL").select("key", "one", "two", "a", "b").union(across)
     # From the kinds of runs to their places
     placed = flagged.join(stretches, ["key", "one", "two"]).select("t", (F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + size).alias("end"))
     throughout = flagged.join(alike.where("times > 1").select("key", "one", "two"), ["key", "one", "two"])

@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST_PATTERN = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#\\]*)"
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host of a URL, null without one."""
-    host = F.regexp_extract(F.lower(url), HOST_PATTERN, 1)
-    return F.when(host != "", F.rtrim(host, F.lit(".")))
+    """The host of a URL in lower case, null without one.
+
+    It stands behind the last ``@`` of the authority, before the port, in brackets if it is an IPv6 address; percent
+    escapes are decoded (an escape that is none stays as it is), and dots at the end do not count.
+    """
+    authority = F.regexp_extract(url, AUTHORITY, 1)
+    place = F.regexp_replace(authority, "^.*@", "")
+    host = F.when(F.startswith(place, F.lit("[")), F.regexp_extract(place, r"^(\[[^\]]*\]?)", 1)).otherwise(F.regexp_extract(place, "^([^:]*)", 1))
+    host = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
+    host = F.rtrim(F.lower(host), F.lit("."))
+    return F.when(host != "", host)
 
 
 def host_keys(host: Column) -> Column:
-    """The host and its parent domains of at least two labels, the host first; a host of one label is its own key."""
+    """The host and its parent domains of at least two labels, the host first; a host of one label is its own key.
+
+    An address has no parents: it is its own key too.
+    """
     parts = F.split(host, r"\.")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1))
-    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    parents = F.transform(starts, lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(F.regexp_like(host, F.lit(ADDRESS)), F.array(host)).otherwise(parents)
 
 
 def validity_intervals(entries: DataFrame, key: str = "key", at: str = "listed_at", action: str = "action") -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from bandnet.llm import langid, licenses, url_lists
 from bandnet.llm.decontaminate import text_words
@@ -172,3 +174,36 @@ def test_rare_pieces_do_not_underflow():
     scores = scorer.score(words)
     assert np.isfinite(scores).all() and (scores[:, 0] > scores[:, 1]).all()
     assert np.allclose(scores, [scorer._score_long("▁" + w) for w in words])
+
+
+HOSTS = {
+    "https://www.Example.com/a?b@c": "www.example.com",
+    "http://192.168.1.5:8080/x": "192.168.1.5",
+    "http://[2001:DB8::1]:443/": "[2001:db8::1]",
+    "http://user@name@evil.com/": "evil.com",
+    "ftp://a:b@host.org.": "host.org",
+    "http://%65vil.com/": "evil.com",
+    "http://ex%zzample.com/": "ex%zzample.com",
+    "http://a+b.com/x": "a+b.com",
+    "http://evil.com\\@good.com/": "evil.com",
+    "http:///path": None,
+    "no url": None,
+    "": None,
+    None: None,
+}
+
+
+def test_hosts_and_their_keys(spark):
+    df = spark.createDataFrame([(u,) for u in HOSTS], "url string")
+    got = {r.url: r.host for r in df.select("url", url_lists.host_of(F.col("url")).alias("host")).collect()}
+    assert got == HOSTS
+    hosts = {"a.b.co.uk": ["a.b.co.uk", "b.co.uk", "co.uk"], "localhost": ["localhost"], "192.168.1.5": ["192.168.1.5"], "[2001:db8::1]": ["[2001:db8::1]"], "1.2.3.4.com": ["1.2.3.4.com", "2.3.4.com", "3.4.com", "4.com"]}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: r.k for r in df.select("host", url_lists.host_keys(F.col("host")).alias("k")).collect()} == hosts
+
+
+def test_parts_of_an_address_block_nobody(spark):
+    captures = spark.createDataFrame([("http://192.168.1.5/",), ("http://x@y@evil.com/",), ("http://%65vil.com/",)], "url string").selectExpr("url", "timestamp '2024-05-05' AS fetched_at")
+    entries = spark.createDataFrame([("1.5", "block"), ("168.1.5", "block"), ("evil.com", "block")], "key string, action string").selectExpr("*", "timestamp '2024-01-01' AS listed_at")
+    got = {r.url: r.verdict for r in url_lists.judge_captures(captures, entries).collect()}
+    assert got == {"http://192.168.1.5/": None, "http://x@y@evil.com/": "block", "http://%65vil.com/": "block"}

@@ -29,12 +29,43 @@ def plain(texts, size):
     return out
 
 
+def passages(rows, words):
+    """Keys of rows that have a string of so many words that another row has as well."""
+    seen = {}
+    for i, (_, text) in enumerate(rows):
+        w = (text or "").split()
+        for j in range(len(w) - words + 1):
+            seen.setdefault(" ".join(w[j : j + words]), set()).add(i)
+    return {rows[i][0] for ids in seen.values() if len(ids) > 1 for i in ids}
+
+
+def test_shared_passages(spark):
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join("w%d" % x for x in rng.integers(0, 10**6, n))
+    passage = say(60)
+    rows = [(0, None), (1, ""), (2, say(300)), (3, say(300)), (4, say(40) + " " + passage + " " + say(9)), (5, passage + "\n" + say(200))]
+    rows += [(6, " ".join(passage.split()[:20]) + " " + say(100)), (7, say(70)), (8, say(10))]
+    rows += [(9, (say(55) + " ") * 3)]  # repeats itself only
+    same = say(80)
+    rows += [(10, same), (11, same), (12, "  ".join(passage.split()[5:57]))]
+    df = spark.createDataFrame(rows, "doc_id int, x string").repartition(3)
+    digest = {hashlib.md5((x or "").encode()).digest(): k for k, x in rows}
+    found = {digest[bytes(r.t)]: r.n for r in suffix_dedup.shared_passages(df, text="x").collect()}
+    assert {k for k in found} <= {4, 5, 10, 11, 12} and {4, 5, 12} <= set(found) and {10, 11} & set(found)
+    assert passages(rows, 51) == {4, 5, 10, 11, 12}
+    assert suffix_dedup.shared_passages(df.limit(0), text="x").count() == 0
+
+
 def test_query_against_all_windows(spark, small):
     t = pq.read_table(f"{small}/documents.parquet").to_pydict()
     rows = QUERIES["op2_suffix_array_repeats"](spark, small).collect()
     expected = [(k, *x) for k, x in zip(t["doc_id"], plain(t["text"], 400), strict=True)]
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == Counter(expected)
     assert any(r.n_removed for r in rows) and any(r.n_removed == 0 for r in rows)
+    shares = set(passages(list(zip(t["doc_id"], t["text"], strict=True)), 51))
+    some = set(passages(list(zip(t["doc_id"], t["text"], strict=True)), 25))
+    told = {r.doc_id for r in rows if r.n_shared_passages}
+    assert shares and shares <= told <= some
 
 
 @pytest.mark.parametrize("shard_bytes", [4_000_000, 300])

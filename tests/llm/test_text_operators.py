@@ -380,3 +380,115 @@ def test_fit_sees_lines_behind_the_first_400(spark):
     field = quality.fit_from_labels(docs, labels)
     bars = quality.FEATURES.index("bars")
     assert field.emit[0][bars] > field.emit[1][bars]
+
+
+MENU = ["Home | About | Contact", "Login | Register | Help", "News | Sports | Weather | Travel", "Privacy | Terms | Cookies"]
+
+
+def test_prose_under_a_menu_is_mixed(spark, small):
+    """Good documents of the table, with a menu above and below: the menus are boilerplate, the prose between stays content."""
+    docs, labels = (spark.read.parquet(f"{small}/{name}.parquet") for name in ("documents", "labels"))
+    field = quality.fit_from_labels(docs, labels)
+    good = docs.join(labels.where("quality = 1"), "doc_id").where("size(split(text, '\n')) >= 6").select("doc_id", "text")
+    plain = {r.doc_id: r for r in quality.apply_quality_rules(good, field).where("kept").collect()}
+    framed = [(k, "\n".join([*MENU, r.text, *MENU])) for k, r in plain.items()]
+    judged = quality.apply_quality_rules(spark.createDataFrame(framed, "doc_id long, text string"), field).collect()
+    assert len(judged) >= 10
+    mixed = [r for r in judged if r.line_labels.startswith("BBBB") and r.line_labels.endswith("BBBB") and "C" in r.line_labels]
+    assert len(mixed) >= 0.9 * len(judged)
+    inside = sum(r.line_labels[4:-4] == plain[r.doc_id].line_labels for r in judged)
+    assert inside >= 0.8 * len(judged) and 0 < np.mean([r.content_share for r in judged]) < 1
+
+
+def test_hidden_lines_go_where_lines_like_them_are():
+    """Documents that lean to boilerplate and open with prose: lines like those of good documents come out as content."""
+    prose, junk = np.zeros((6, len(quality.FEATURES))), np.zeros((6, len(quality.FEATURES)))
+    prose[:, 0] = junk[:, 0] = 1
+    junk[:, 4] = 1
+    bad = np.vstack([prose, junk])
+    field = quality.fit_hidden_lines([(np.vstack([prose, prose]), np.ones(12))] * 8 + [(bad, -0.3 * np.ones(12))] * 3)
+    assert quality.viterbi(bad @ field.emit.T, field.step, np.array([0, 12])).tolist() == [1] * 6 + [0] * 6
+    assert quality.fit_hidden_lines([(prose, np.ones(6))]) is quality.NEUTRAL
+
+
+def test_the_sample_is_bounded_by_lines(spark):
+    docs = spark.createDataFrame([(1, "good words here.\n" * 30), (2, "a | b\n" * 30), (3, "a | b\n" * 3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    assert quality.fit_from_labels(docs, labels, max_lines=29) is quality.NEUTRAL
+    assert quality.fit_from_labels(docs, labels, max_lines=40) is not quality.NEUTRAL
+
+
+def thue_morse(n: int) -> str:
+    """A word over a and b on which sums modulo 2^64 cannot be told from those of its complement."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("length", [1024, 2048, 8192])
+def test_words_made_to_collide(spark, length):
+    from tokenizers import Tokenizer
+
+    from bandnet.llm import minhash
+    from bandnet.llm.textbytes import run_hashes
+
+    word = thue_morse(length)
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other} {word}".encode(), dtype=np.uint8)
+    at = np.array([0, length + 1, 2 * length + 2])
+    one, two, three = run_hashes(data, at, at + length)
+    assert one == three != two
+    docs = spark.createDataFrame([(1, word), (2, other), (3, f"{word}\n{other}\n{word}")], "doc_id long, text string")
+    ids = {r.doc_id: list(r.ids) for r in packing.token_pieces(docs, vocabulary(), ["doc_id"], capacity=10**6, with_ids=True).collect()}
+    tokenizer = Tokenizer.from_str(vocabulary())
+    for key, text in ((1, word), (2, other)):
+        assert ids[key] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    lines = {r.doc_id: r.n_dup_lines for r in quality.apply_quality_rules(docs).collect()}
+    assert lines == {1: 0, 2: 0, 3: 1}
+    rows, found = minhash.shingles(np.frombuffer((word + other).encode(), np.uint8), np.array([0, length, 2 * length]))
+    assert rows.tolist() == [0, 1] and found[0] != found[1]
+
+
+def test_run_hashes_of_odd_runs():
+    from bandnet.llm.textbytes import run_hashes
+
+    data = np.frombuffer(("x" * 300 + "ab" + "y" * 70).encode(), dtype=np.uint8)
+    none = np.empty(0, np.int64)
+    assert len(run_hashes(data, none, none)) == 0
+    starts, ends = np.array([0, 5, 300, 301, 302, 10]), np.array([0, 105, 301, 302, 372, 110])
+    got = run_hashes(data, starts, ends)
+    assert got[1] == got[5] and len(set(got.tolist())) == 5
+    assert run_hashes(data, np.array([0]), np.array([1]))[0] != run_hashes(data, np.array([0]), np.array([2]))[0]
+
+
+def test_many_items_and_their_tables(spark):
+    """More than 500 items take another way to their names; tables are of places, not of copies of the words."""
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join("w%d" % x for x in rng.integers(0, 40, n))
+    items = [(f"i{k}", say(int(rng.integers(1, 30)))) for k in range(700)] + [("i3", "w1 w2"), (None, "w1"), ("empty", ""), ("null", None)]
+    texts = [(k, say(int(rng.integers(0, 60)))) for k in range(60)] + [(60, items[5][1] + " x"), (61, None)]
+
+    def plain(text):
+        words = (text or "").split()
+        hit, found = set(), set()
+        for name, said in items:
+            w = (said or "").split()
+            n = min(13, len(w))
+            windows = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n and name is not None else ()
+            for i in range(len(words) - n + 1 if n else 0):
+                if tuple(words[i : i + n]) in windows:
+                    hit.update(range(i, i + n))
+                    found.add(name)
+        return len(hit), sorted(found)
+
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    table = spark.createDataFrame(items, "item_id string, text string").repartition(1)
+    want = {k: plain(t) for k, t in texts}
+    for block in (8_000_000, 2_000):
+        got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.find_contamination(docs, table, block_chars=block).collect()}
+        assert got == want
+    few = decontaminate.find_contamination(docs, table.where("item_id < 'i2'")).collect()
+    assert {i for r in few for i in r["items"]} <= {n for n, _ in items if n and n < "i2"}
+    built = decontaminate.build_tables([say(20_000)], 13)
+    assert [t.length for t in built] == [13] and built[0].starts.nbytes + built[0].words.nbytes + built[0].owners.nbytes < 20_000 * 40
