@@ -401,14 +401,19 @@ def test_prose_under_a_menu_is_mixed(spark, small):
 
 
 def test_hidden_lines_go_where_lines_like_them_are():
-    """Documents that lean to boilerplate and open with prose: lines like those of good documents come out as content."""
-    prose, junk = np.zeros((6, len(quality.FEATURES))), np.zeros((6, len(quality.FEATURES)))
+    """A line whose document leans the other way gets the label of the lines that look like it."""
+    prose, junk = np.zeros((1, len(quality.FEATURES))), np.zeros((1, len(quality.FEATURES)))
     prose[:, 0] = junk[:, 0] = 1
     junk[:, 4] = 1
-    bad = np.vstack([prose, junk])
-    field = quality.fit_hidden_lines([(np.vstack([prose, prose]), np.ones(12))] * 8 + [(bad, -0.3 * np.ones(12))] * 3)
-    assert quality.viterbi(bad @ field.emit.T, field.step, np.array([0, 12])).tolist() == [1] * 6 + [0] * 6
-    assert quality.fit_hidden_lines([(prose, np.ones(6))]) is quality.NEUTRAL
+    one = np.ones(1)
+    field = quality.fit_hidden_lines([(prose, one)] * 20 + [(prose, -0.5 * one)] * 3 + [(junk, -one)] * 20)
+    for line, label in ((prose, 1), (junk, 0)):
+        assert quality.viterbi(line @ field.emit.T, field.step, np.array([0, 1])).tolist() == [label]
+    assert quality.fit_hidden_lines([(prose, one)]) is quality.NEUTRAL
+    known = [(np.vstack([prose] * 3 + [junk] * 3), np.repeat([1, 0], 3)), (np.vstack([junk] * 3 + [prose] * 3), np.repeat([0, 1], 3))]
+    field = quality.fit_line_model(known * 5)
+    mixed = np.vstack([prose] * 3 + [junk] * 2 + [prose] * 2)
+    assert quality.viterbi(mixed @ field.emit.T, field.step, np.array([0, 7])).tolist() == [1, 1, 1, 0, 0, 1, 1]
 
 
 def test_the_sample_is_bounded_by_lines(spark):
