@@ -25,7 +25,7 @@ from bandnet.llm.textbytes import WHITE, column_bytes, give_back, keyed, mix, ru
 
 # 56 bands of 8: texts of similarity 0.8 share one but for 1 pair in 30,000, texts of 0.25 do in 1 of 1,200
 SHINGLE, SLOTS, BAND_ROWS, THRESHOLD = 5, 448, 8, 0.8
-BITMAP_WORDS = 32
+BITMAP_WORDS, COARSE_WORDS = 32, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,7 +125,7 @@ def _bags(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A text as the sorted hashes of its shingles, each counted with its occurrence, packed; how many; a bitmap of them."""
     for column in columns:
         data, cuts = column_bytes(column)
-        out, sizes, bitmaps = [], [], []
+        out, sizes, bitmaps, small = [], [], [], []
         for a, b in slices(cuts):
             rows, found = shingles(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
             named = keyed(found, 3) + mix(occurrences(rows, found).astype(np.uint64)) * _STEP
@@ -137,10 +137,14 @@ def _bags(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             bits = np.zeros((b - a, 64 * BITMAP_WORDS), dtype=bool)
             bits[rows, (named & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64)] = True
             bitmaps.append(np.packbits(bits, axis=1).reshape(-1).view(np.int64))
-        offsets = np.arange(len(out) + 1, dtype=np.int32) * BITMAP_WORDS
-        packed = np.concatenate(bitmaps) if bitmaps else np.empty(0, np.int64)
+            # The same bits laid over one another
+            folded = bits.reshape(b - a, -1, 64 * COARSE_WORDS).any(axis=1)
+            small.append(np.packbits(folded, axis=1).reshape(-1).view(np.int64))
         arrays = [pa.array(out, pa.binary()), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())]
-        yield pa.StructArray.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed))], names=["bag", "size", "bits"])
+        for words, maps in ((BITMAP_WORDS, bitmaps), (COARSE_WORDS, small)):
+            offsets = np.arange(len(out) + 1, dtype=np.int32) * words
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(maps) if maps else np.empty(0, np.int64))))
+        yield pa.StructArray.from_arrays(arrays, names=["bag", "size", "bits", "coarse"])
 
 
 def _overlap(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -163,21 +167,26 @@ def _udf(function, kind: str, several: bool = False):
 
 
 def _may_link(threshold: float):
-    """Whether two bags, as columns ``size``/``bits`` and ``hub_size``/``hub_bits``, can reach the threshold.
+    """Whether two bags, as columns ``size``/``coarse``/``bits`` and the same of the hub, can reach the threshold.
 
-    A bit that only one bag has set is an element that the other lacks, which bounds what they can share.
+    A bit that only one bag has set is an element that the other lacks, which bounds what they can share. Sizes and the
+    few words of the coarse bitmap settle most pairs; only the others have all their bits counted. That is a loop over
+    the arrays: written out it would be a method too long for the JVM to compile.
     """
-    lacks = lambda one, other: sum(
-        (F.bit_count(F.get(one, i).bitwiseAND(F.bitwise_not(F.get(other, i)))) for i in range(BITMAP_WORDS)), start=F.lit(0)
-    )
-    # Sizes alone settle most pairs, before any bit is counted
-    alike = F.least("size", "hub_size") >= threshold * F.greatest("size", "hub_size") - 1e-6
-    shared = F.least(F.col("size") - lacks("bits", "hub_bits"), F.col("hub_size") - lacks("hub_bits", "bits"))
-    return alike & (shared >= threshold / (1 + threshold) * (F.col("size") + F.col("hub_size")) - 1e-6)
+    size, hub_size = F.col("size"), F.col("hub_size")
+    alike = F.least(size, hub_size) >= threshold * F.greatest(size, hub_size) - 1e-6
+    wanted = threshold / (1 + threshold) * (size + hub_size) - 1e-6
+    only = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+    few = lambda one, other: sum((only(F.get(one, F.lit(i)), F.get(other, F.lit(i))) for i in range(COARSE_WORDS)), start=F.lit(0))
+    all_ = lambda one, other: F.aggregate(F.zip_with(one, other, only), F.lit(0), lambda n, x: n + x)
+    for lacks, name in ((few, "coarse"), (all_, "bits")):
+        mine, hubs = F.col(name), F.col(f"hub_{name}")
+        alike = alike & (F.least(size - lacks(mine, hubs), hub_size - lacks(hubs, mine)) >= wanted)
+    return alike
 
 
 def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """``(node, label)`` of linked nodes; members are ``(bucket, node, weight)``, bags ``(node, bag, size, bits)``.
+    """``(node, label)`` of linked nodes; members are ``(bucket, node, weight)``, bags ``(node, bag, size, bits, coarse)``.
 
     Round by round some members of a bucket become hubs and are compared with the others of it, the heaviest first: a text
     that meets many others in large buckets is likely to be what they are copies of. Classes grow by the links of the
@@ -187,8 +196,8 @@ def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     their bitmaps are left out of the join.
     """
     similarity = _udf(_overlap, "double", several=True)
-    sketches = bags.select("node", "size", "bits")
-    hub_sketches = sketches.withColumnsRenamed({"node": "hub", "size": "hub_size", "bits": "hub_bits"})
+    sketches = bags.select("node", "size", "coarse", "bits")
+    hub_sketches = sketches.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in sketches.columns[1:]])
 
     def tested(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(bags.select("node", F.col("bag").alias("one")), "node")
@@ -285,7 +294,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     release(signed, banded, met)
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "row")
     texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("x")).join(wanted, "row")
-    bagged = _udf(_bags, "bag binary, size long, bits array<long>")("x").alias("bagged")
+    bagged = _udf(_bags, "bag binary, size long, bits array<long>, coarse array<long>")("x").alias("bagged")
     bags = stored(texts.select("node", bagged).select("node", "bagged.*"), "bags")
     labels = _link_buckets(members, bags, threshold)
     release(members, bags)

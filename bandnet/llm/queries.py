@@ -20,7 +20,7 @@ from bandnet.llm.periodic import periodic_runs
 from bandnet.llm.quality import apply_quality_rules, fit_from_labels
 from bandnet.llm.secrets import scan_secrets
 from bandnet.llm.sharding import balanced_shards
-from bandnet.llm.suffix_dedup import remove_repeats, shared_passages
+from bandnet.llm.suffix_dedup import remove_repeats, shared_passages, text_number
 from bandnet.llm.url_lists import host_keys, host_of, judge_captures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,8 +64,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     shared = shared_passages(docs)
     found = remove_repeats(docs, with_kept=True)
-    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    found = found.withColumn("digest", digest).join(shared, F.col("digest") == F.col("t"), "left")
+    found = found.withColumn("number", text_number(F.col("text"))).join(shared, F.col("number") == F.col("t"), "left")
     return found.select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
         F.coalesce("n", F.lit(0).cast("long")).alias("n_shared_passages"),

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandnet.llm.storage import fresh_name, stored
+from bandnet.llm.storage import fresh_name, release, stored
 from bandnet.llm.suffix_arrays import common_prefixes, prefix_ranks
 from bandnet.llm.textbytes import WHITE, Hashes, column_bytes, give_back, keyed, mix, run_hashes, slices
 from bandnet.llm.textbytes import runs as runs_of
@@ -318,32 +318,45 @@ def passage_cores(data: np.ndarray, cuts: np.ndarray, words: int) -> tuple[np.nd
 
 
 def _find_cores(words: int):
+    """``(t, x)`` to ``(t, core)``, each core of a text once."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, cuts = column_bytes(batch.column(1))
             for a, b in slices(cuts):
                 row, core = passage_cores(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a], words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(core)], names=["t", "core"])
+                order = np.lexsort((core, row))
+                row, core = row[order], core[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (core[1:] != core[:-1])])[: len(row)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new] + a)), pa.array(core[new])], names=["t", "core"])
         give_back()
 
     return find
 
 
+def text_number(text: Column) -> Column:
+    """64 bits of a text's digest as a long."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")
+
+
 def shared_passages(docs: DataFrame, text: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
-    """``(t, n)``: digests of texts that share passages with another row, and how many cores of passages that are.
+    """``(t, n)``: texts, by ``text_number``, that share passages with another row, and how many cores of passages that are.
 
     Every string of ``words`` words (what white space of ASCII separates, white space itself not counting) that another
     row has as well adds one core at least; rows that share no more than half as many words in a row have none. Rows
     with equal texts share all they have. Null and short texts share nothing; no rows give no rows.
     """
     said = docs.select(F.col(text).cast("string").alias("x")).where("x IS NOT NULL")
-    digests = said.select(F.unhex(F.md5(F.col("x").cast("binary"))).alias("t"), "x")
-    cores = stored(digests.mapInArrow(_find_cores(words), "t binary, core long").groupBy("t", "core").agg(F.count(F.lit(1)).alias("n")), "cores")
-    copies = digests.groupBy("t").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("t")
+    numbered = said.select(text_number(F.col("x")).alias("t"), "x")
+    cores = stored(numbered.mapInArrow(_find_cores(words), "t long, core long"), "cores")
+    copies = numbered.select("t").groupBy("t").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("t")
     # Cores of two texts, and all cores of texts that several rows have
     met = cores.groupBy("core").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b").select("core")
-    found = cores.join(met, "core", "left_semi").select("t", "core").union(cores.join(copies, "t", "left_semi").select("t", "core"))
-    return found.distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    of_two = cores.join(met, "core", "left_semi").groupBy("t").agg(F.count_distinct("core").alias("n"))
+    of_copies = cores.join(copies, "t", "left_semi").groupBy("t").agg(F.count_distinct("core").alias("n"))
+    found = stored(of_two.union(of_copies).groupBy("t").agg(F.max("n").alias("n")), "shared-passages")
+    release(cores)
+    return found
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400, with_kept: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -369,6 +382,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400, with_ke
     copies = stored(copies.where("rows > 1").select("t"), "copies")
     several = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     flagged = stored(runs.join(several, "key").distinct(), "flagged")
+    release(runs)
     # Runs that are alike throughout repeat altogether; of those that differ one each goes to the shards
     alike = flagged.groupBy("key", "one", "two").agg(
         F.count(F.lit(1)).alias("times"), F.min(F.struct("t", "lo", "hi")).alias("sample"), F.min("hi").alias("hi")
@@ -405,6 +419,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", size: int = 400, with_ke
     by_text = placed.groupBy("t").agg(F.collect_set(F.struct("start", "end")).alias(spans)).withColumnRenamed("t", t)
     by_text = by_text.join(copies.select(F.col("t").alias(t), F.lit(True).alias(whole)), t, "full")
     by_text = stored(by_text, "removals")
+    release(copies, flagged, alike, pieces)
     (joined_t,) = fresh_name(by_text, "joined_t")
     joined = docs.withColumn(joined_t, digest).join(by_text, F.col(joined_t) == F.col(t), "left")
     out = joined.withColumn(found, _removed(with_kept)(F.col(text).cast("string"), F.coalesce(F.col(whole), F.lit(False)), F.col(spans)))
