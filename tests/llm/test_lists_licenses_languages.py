@@ -137,12 +137,12 @@ def test_stages_take_empty_tables(spark, small):
         assert stage(spark, docs, small).count() == 0
 
 
-@pytest.mark.parametrize("n", range(4))
+@pytest.mark.parametrize("n", range(5))
 def test_stages_take_nulls(spark, small, n):
     rows = [(None, None, None, None, None), (1, None, "en", "s", None), (1, "", None, None, 0), (1, "", None, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     found = corpus_pipeline.STAGES[n][1](spark, docs, small).count()
-    assert found == [0, 3, 4, 4][n]
+    assert found == [0, 3, 4, 4, 4][n]
 
 
 def test_whole_licenses_headers_and_excerpts(spark):
