@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
+_own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own, a cluster must name it."""
+    """The folder named by ``spark.checkpoint.dir``; a cluster must name it.
+
+    A session within one process that names none gets a folder of this module's own; its settings stay as they are.
+    """
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError(f"set {SETTING} to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="bandnet-llm-")
-        spark.conf.set(SETTING, folder)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="bandnet-llm-"))
+        folder = _own[0]
     return folder.rstrip("/")
 
 

@@ -100,3 +100,16 @@ def test_suffix_arrays(seed):
         flags = repeated_starts(data, starts, ends, depth)
         kept = [prefixes[i] for i in starts]
         assert flags.tolist() == [kept.count(p) > 1 for p in kept]
+
+
+def test_stored_tables_leave_the_session_alone(spark):
+    from bandnet.llm import storage
+
+    other = spark.newSession()
+    name = "spark.checkpoint.dir"
+    before = other.conf.get(name, None)
+    folder = storage.shared_folder(other)
+    assert other.conf.get(name, None) == before and folder == storage.shared_folder(other)
+    table = storage.stored(other.range(5), "five")
+    assert table.count() == 5
+    storage.release(table)
