@@ -26,6 +26,7 @@ from bandnet.llm.textbytes import WHITE, column_bytes, give_back, keyed, mix, ru
 # 56 bands of 8: texts of similarity 0.8 share one but for 1 pair in 30,000, texts of 0.25 do in 1 of 1,200
 SHINGLE, SLOTS, BAND_ROWS, THRESHOLD = 5, 448, 8, 0.8
 BITMAP_WORDS, COARSE_WORDS = 32, 4
+MARKS = 1 << 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,9 +187,11 @@ def _may_link(threshold: float):
 
 
 def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """``(node, label)`` of linked nodes; members are ``(bucket, node, weight)``, bags ``(node, bag, size, bits, coarse)``.
+    """``(node, label)`` of linked nodes; members are ``(node, weight, held)``, bags ``(node, bag, size, bits, coarse)``.
 
-    Round by round some members of a bucket become hubs and are compared with the others of it, the heaviest first: a text
+    ``held`` are a node's buckets, one for each band at most, as an array of ``(bucket, is_hub)``: sketches, classes and
+    hubs are joined to nodes and only then spread over buckets. Round by round some members of a bucket become hubs and
+    are compared with the others of it, the heaviest first: a text
     that meets many others in large buckets is likely to be what they are copies of. Classes grow by the links of the
     round alone, between classes and not between texts. Links inside a class change nothing,
     so in every bucket one class, the one with most members that are no hubs, may keep them so; when all members of the
@@ -196,46 +199,48 @@ def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     their bitmaps are left out of the join.
     """
     similarity = _udf(_overlap, "double", several=True)
-    sketches = bags.select("node", "size", "coarse", "bits")
-    hub_sketches = sketches.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in sketches.columns[1:]])
+    sketches = ["size", "coarse", "bits"]
+    hub_sketches = bags.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in sketches])
+
+    def seats(*more: str) -> DataFrame:
+        return nodes.select("node", "weight", "label", *more, F.inline("held"))
+
+    def met(hubs: DataFrame) -> DataFrame:
+        pairs = seats(*sketches).join(hubs.join(hub_sketches, "hub"), "bucket")
+        pairs = pairs.where((F.col("label") != F.col("hub_label")) & _may_link(threshold))
+        return pairs.select("hub", "node", "hub_label", "label").distinct()
 
     def tested(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(bags.select("node", F.col("bag").alias("one")), "node")
-        sized = sized.join(bags.select(F.col("node").alias("hub"), F.col("bag").alias("other")), "hub")
-        return stored(sized.select(*pairs.columns, similarity("one", "other").alias("similarity")), "tested")
-
-    chosen = members.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
-    chosen = stored(chosen.select("bucket", F.col("first.node").alias("hub")), "hubs")
-    pairs = members.join(sketches, "node").join(chosen.join(hub_sketches, "hub"), "bucket")
-    pairs = pairs.where((F.col("node") != F.col("hub")) & _may_link(threshold))
-    found = tested(pairs.select("hub", "node").distinct())
+        # The same columns under the same names on both sides, so that one shuffle of the bags serves both joins
+        packed = bags.select("node", "bag")
+        sized = pairs.alias("pair").join(packed.alias("one"), F.col("pair.node") == F.col("one.node"))
+        sized = sized.join(packed.alias("other"), F.col("pair.hub") == F.col("other.node"))
+        return stored(sized.select("pair.*", similarity(F.col("one.bag"), F.col("other.bag")).alias("similarity")), "tested")
+
+    nodes = stored(members.join(bags.select("node", *sketches), "node").withColumn("label", F.col("node")), "open")
+    chosen = seats().groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
+    chosen = stored(chosen.select("bucket", F.col("first.node").alias("hub"), F.col("first.node").alias("hub_label")), "hubs")
+    found = tested(met(chosen))
     compared = [found]
     labels = connected_components(found.where(F.col("similarity") >= threshold), "hub", "node")
-    # The first hubs' tables are joined in here: marking the hubs needs no step of its own
-    hub_of = chosen
-    members = members.join(hub_of, "bucket").withColumn("is_hub", F.col("node") == F.col("hub")).drop("hub")
     fresh = 8
     while True:
-        classed = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        classed, old = stored(classed, "classed"), members
+        led = chosen.groupBy(F.col("hub").alias("node")).agg(F.collect_list("bucket").alias("led"))
+        classed = nodes.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(led, "node", "left")
+        is_hub = lambda h: h["is_hub"] | F.coalesce(F.array_contains("led", h["bucket"]), F.lit(False))
+        held = F.transform("held", lambda h: F.struct(h["bucket"].alias("bucket"), is_hub(h).alias("is_hub")))
+        nodes, old = stored(classed.withColumn("held", held).drop("led"), "open"), nodes
         release(old, chosen)
-        idle = classed.groupBy("bucket", "label").agg(F.sum((~F.col("is_hub")).cast("long")).alias("idle"))
+        idle = seats().groupBy("bucket", "label").agg(F.sum((~F.col("is_hub")).cast("long")).alias("idle"))
         spared = idle.groupBy("bucket").agg(F.max(F.struct("idle", "label")).alias("spared"))
-        waiting = classed.join(spared, "bucket").where("NOT is_hub AND label != spared.label")
+        waiting = seats().join(spared, "bucket").where("NOT is_hub AND label != spared.label")
         heaviest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
         chosen = waiting.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= fresh)
         chosen = stored(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
         if chosen.isEmpty():
-            release(classed, chosen, *compared)
+            release(nodes, chosen, *compared)
             return labels
-        # Buckets without a hub to come are done with
-        now = chosen.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("now"))
-        members = classed.join(chosen.select("bucket").distinct(), "bucket", "left_semi").join(now, ["bucket", "node"], "left")
-        members = stored(members.withColumn("is_hub", F.col("is_hub") | F.coalesce("now", F.lit(False))).drop("now"), "open")
-        release(classed)
-        pairs = members.join(sketches, "node").join(chosen.join(hub_sketches, "hub"), "bucket")
-        pairs = pairs.where((F.col("label") != F.col("hub_label")) & _may_link(threshold))
-        pairs = pairs.select("hub", "node", "hub_label", "label").distinct()
+        pairs = met(chosen)
         for before in compared:
             pairs = pairs.join(before.select("hub", "node"), ["hub", "node"], "left_anti")
         found = tested(pairs)
@@ -256,6 +261,19 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return united
 
 
+def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``wanted``, and a few others: spares the join that follows a shuffle of all texts.
+
+    Keys are hashed to the bits of one map of ``MARKS`` bits, 2 MB however large the tables are.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1
+    marks = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("marks"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("marks", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = rows.withColumn("part", F.bitmap_bucket_number(at)).join(F.broadcast(marks), "part")
+    return marked.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("long")) != 0).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``class_id`` (the smallest key of the class), ``class_rows`` and ``first_of_class`` to every document.
 
@@ -280,22 +298,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     nodes = nodes.select("t", "head.k", "head.row", "n", F.monotonically_increasing_id().alias("node"))
     nodes = stored(nodes, "nodes")
 
-    banded = signed.select("row", "b").join(nodes.select("row", "node"), "row").select("node", F.explode("b").alias("bucket"))
-    banded = stored(banded.distinct(), "banded")
+    # Equal keys of one text cannot be told apart, so each counts once
+    banded = signed.select("row", "b").join(nodes.select("row", "node"), "row").select("node", F.explode(F.array_distinct("b")).alias("bucket"))
+    # One shuffle by bucket counts the members, drops the many buckets of one, and tells the others apart
+    whole = Window.partitionBy("bucket")
+    shared = banded.withColumn("size", F.count(F.lit(1)).over(whole)).where("size > 1")
     # Copies of a text share most bands: buckets with the same members, told by their number, their ends and 128 bits, are one
-    told = [F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("node").alias("most")]
-    told += [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"told_{i}") for i in range(2)]
-    shared = banded.groupBy("bucket").agg(*told).where("size > 1")
-    alike = shared.groupBy("size", "least", "most", "told_0", "told_1").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
-    met = stored(banded.join(alike.select("bucket", "size", "times"), "bucket"), "met")
-    # A node is in one bucket for each band at most, so its window is small
-    weight = F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("node")).alias("weight")
-    members = stored(met.select("bucket", "node", weight), "members")
-    release(signed, banded, met)
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", "row")
-    texts = docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("x")).join(wanted, "row")
+    told = [F.min("node").over(whole).alias("least"), F.max("node").over(whole).alias("most")]
+    told += [F.bit_xor(F.xxhash64(F.lit(i), "node")).over(whole).alias(f"told_{i}") for i in range(2)]
+    alike = shared.select("bucket", "node", "size", *told).groupBy("node", "size", "least", "most", "told_0", "told_1")
+    alike = alike.agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    # A node is in one bucket for each band at most, so its array is small
+    held = F.collect_list(F.struct("bucket", F.lit(False).alias("is_hub"))).alias("held")
+    members = stored(alike.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("weight"), held), "members")
+    release(signed)
+    wanted = stored(members.select("node").join(nodes.select("node", "row"), "node"), "wanted")
+    texts = _marked(docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("x")), wanted, "row").join(wanted, "row")
     bagged = _udf(_bags, "bag binary, size long, bits array<long>, coarse array<long>")("x").alias("bagged")
     bags = stored(texts.select("node", bagged).select("node", "bagged.*"), "bags")
+    release(wanted)
     labels = _link_buckets(members, bags, threshold)
     release(members, bags)
 

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from bandnet.llm import minhash
 from bandnet.llm.components import connected_components
@@ -110,3 +111,37 @@ def test_components(spark, seed):
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert sorted((r.node, r.label) for r in found) == sorted(label.items())
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_tables_between_have_a_row_for_each_text(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(500)]
+    base, rows = rng.choice(words, 120).tolist(), []
+    for i in range(60):  # near copies share some of their bands each, so their buckets differ
+        copy = list(base)
+        for at in rng.choice(120, 2, replace=False):
+            copy[at] = f"x{i}{at}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(rng.choice(words, 30))) for i in range(300)]
+    kept, stored = {}, minhash.stored
+
+    def counted(df, name):
+        table = stored(df, name)
+        kept[name] = max(kept.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    check(rows, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    # No table of one row for each text and bucket is joined again, nor one of all bands kept
+    assert not {"banded", "met"} & set(kept)
+    assert 60 <= kept["members"] == kept["open"] == kept["bags"] < 120
+
+
+def test_marked_rows_keep_every_wanted_one(spark):
+    rows = spark.range(50_000).withColumnRenamed("id", "row").withColumn("x", F.col("row") * 2)
+    wanted = rows.where("row % 100 = 7").select("row")
+    found = minhash._marked(rows, wanted, "row")
+    assert found.columns == ["row", "x"]
+    assert found.join(wanted, "row", "left_semi").count() == 500
+    assert found.count() < 550
+    assert minhash._marked(rows, wanted.limit(0), "row").count() == 0
