@@ -189,24 +189,25 @@ def _may_link(threshold: float):
 def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """``(node, label)`` of linked nodes; members are ``(node, weight, held)``, bags ``(node, bag, size, bits, coarse)``.
 
-    ``held`` are a node's buckets, one for each band at most, as an array of ``(bucket, is_hub)``: sketches, classes and
-    hubs are joined to nodes and only then spread over buckets. Round by round some members of a bucket become hubs and
-    are compared with the others of it, the heaviest first: a text
-    that meets many others in large buckets is likely to be what they are copies of. Classes grow by the links of the
-    round alone, between classes and not between texts. Links inside a class change nothing,
-    so in every bucket one class, the one with most members that are no hubs, may keep them so; when all members of the
-    other classes are hubs, each pair of two classes has had its comparison. Pairs that cannot reach the threshold by
-    their bitmaps are left out of the join.
+    ``held`` are a node's buckets, one for each band at most, as an array: sketches and classes are joined to nodes and
+    only then spread over buckets. Round by round some members of a bucket become hubs and are compared with the others
+    of it, the heaviest first: a text that meets many others in large buckets is likely to be what they are copies of.
+    After that a hub has met all of its bucket and leaves it. Classes grow by the links of the round alone, between
+    classes and not between texts. Links inside a class change nothing, so in every bucket one class, the one with most
+    members left, may keep them; when the members of all other classes have been hubs, each pair of two classes has had
+    its comparison. Such a bucket is settled: classes only grow, so no round finds it otherwise, and all leave it. Later
+    rounds spread only the rest, and nodes without a bucket are no longer carried. Pairs that cannot reach the threshold
+    by their bitmaps are left out of the join.
     """
     similarity = _udf(_overlap, "double", several=True)
     sketches = ["size", "coarse", "bits"]
     hub_sketches = bags.select(F.col("node").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in sketches])
 
-    def seats(*more: str) -> DataFrame:
-        return nodes.select("node", "weight", "label", *more, F.inline("held"))
+    def seats(table: DataFrame, *more: str) -> DataFrame:
+        return table.select("node", "weight", "label", *more, F.explode("held").alias("bucket"))
 
     def met(hubs: DataFrame) -> DataFrame:
-        pairs = seats(*sketches).join(hubs.join(hub_sketches, "hub"), "bucket")
+        pairs = seats(nodes, *sketches).join(hubs.join(hub_sketches, "hub"), "bucket")
         pairs = pairs.where((F.col("label") != F.col("hub_label")) & _may_link(threshold))
         return pairs.select("hub", "node", "hub_label", "label").distinct()
 
@@ -218,28 +219,33 @@ def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> Data
         return stored(sized.select("pair.*", similarity(F.col("one.bag"), F.col("other.bag")).alias("similarity")), "tested")
 
     nodes = stored(members.join(bags.select("node", *sketches), "node").withColumn("label", F.col("node")), "open")
-    chosen = seats().groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
+    chosen = seats(nodes).groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
     chosen = stored(chosen.select("bucket", F.col("first.node").alias("hub"), F.col("first.node").alias("hub_label")), "hubs")
     found = tested(met(chosen))
     compared = [found]
     labels = connected_components(found.where(F.col("similarity") >= threshold), "hub", "node")
-    fresh = 8
+    # Few rounds, for each reads all open buckets: those with up to 64 members to compare are settled by the first
+    fresh = 64
     while True:
         led = chosen.groupBy(F.col("hub").alias("node")).agg(F.collect_list("bucket").alias("led"))
-        classed = nodes.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(led, "node", "left")
-        is_hub = lambda h: h["is_hub"] | F.coalesce(F.array_contains("led", h["bucket"]), F.lit(False))
-        held = F.transform("held", lambda h: F.struct(h["bucket"].alias("bucket"), is_hub(h).alias("is_hub")))
-        nodes, old = stored(classed.withColumn("held", held).drop("led"), "open"), nodes
-        release(old, chosen)
-        idle = seats().groupBy("bucket", "label").agg(F.sum((~F.col("is_hub")).cast("long")).alias("idle"))
-        spared = idle.groupBy("bucket").agg(F.max(F.struct("idle", "label")).alias("spared"))
-        waiting = seats().join(spared, "bucket").where("NOT is_hub AND label != spared.label")
+        classed = nodes.select("node", "weight", "held").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        classed = classed.join(led, "node", "left")
+        left = F.when(F.col("led").isNull(), F.col("held")).otherwise(F.array_except("held", "led"))
+        classed = stored(classed.withColumn("held", left).drop("led").where(F.size("held") > 0), "classed")
+        release(chosen)
+        idle = seats(classed).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("idle"))
+        spared = idle.groupBy("bucket").agg(F.max(F.struct("idle", "label")).alias("spared"), F.sum("idle").alias("total"))
+        unsettled = seats(classed).join(spared.where("spared.idle < total"), "bucket")
+        waiting = unsettled.where("label != spared.label")
         heaviest = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
         chosen = waiting.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= fresh)
         chosen = stored(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hubs")
         if chosen.isEmpty():
-            release(nodes, chosen, *compared)
+            release(nodes, classed, chosen, *compared)
             return labels
+        held = unsettled.groupBy("node", "label").agg(F.collect_list("bucket").alias("held"))
+        nodes, old = stored(nodes.drop("label", "held").join(held, "node"), "open"), nodes
+        release(old, classed)
         pairs = met(chosen)
         for before in compared:
             pairs = pairs.join(before.select("hub", "node"), ["hub", "node"], "left_anti")
@@ -309,7 +315,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     alike = shared.select("bucket", "node", "size", *told).groupBy("node", "size", "least", "most", "told_0", "told_1")
     alike = alike.agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
     # A node is in one bucket for each band at most, so its array is small
-    held = F.collect_list(F.struct("bucket", F.lit(False).alias("is_hub"))).alias("held")
+    held = F.collect_list("bucket").alias("held")
     members = stored(alike.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("weight"), held), "members")
     release(signed)
     wanted = stored(members.select("node").join(nodes.select("node", "row"), "node"), "wanted")

@@ -137,6 +137,38 @@ def test_tables_between_have_a_row_for_each_text(spark, monkeypatch):
     assert 60 <= kept["members"] == kept["open"] == kept["bags"] < 120
 
 
+def test_settled_buckets_and_hubs_are_not_spread_again(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for first, texts, changes in ((0, 60, 1), (100, 40, 4)):  # copies of one class, and texts that meet and are not alike
+        base = rng.choice(words, 120).tolist()
+        rows.append((first, " ".join(base)))
+        for i in range(first + 1, first + texts):
+            copy = list(base)
+            for at in rng.choice(120, changes, replace=False):
+                copy[at] = f"x{i}{at}"
+            rows.append((i, " ".join(copy)))
+    kept, stored = {"open": [], "hubs": []}, minhash.stored
+
+    def recorded(df, name):
+        table = stored(df, name)
+        if name in kept:
+            kept[name].append(table.collect())
+        return table
+
+    monkeypatch.setattr(minhash, "stored", recorded)
+    check(rows, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    before, *later = kept["open"]
+    assert len(before) > 90 and later
+    for n, table in enumerate(later, 1):
+        assert 0 < len(table) <= 40
+        seats = [(r.node, r.label, bucket) for r in table for bucket in r.held]
+        assert not {(r.hub, r.bucket) for hubs in kept["hubs"][:n] for r in hubs} & {(node, bucket) for node, _, bucket in seats}
+        classes_in = Counter(bucket for _, bucket in {(label, bucket) for _, label, bucket in seats})
+        assert min(classes_in.values()) > 1
+
+
 def test_marked_rows_keep_every_wanted_one(spark):
     rows = spark.range(50_000).withColumnRenamed("id", "row").withColumn("x", F.col("row") * 2)
     wanted = rows.where("row % 100 = 7").select("row")
