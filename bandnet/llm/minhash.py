@@ -197,7 +197,7 @@ def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> Data
     members left, may keep them; when the members of all other classes have been hubs, each pair of two classes has had
     its comparison. Such a bucket is settled: classes only grow, so no round finds it otherwise, and all leave it. Later
     rounds spread only the rest, and nodes without a bucket are no longer carried. Pairs that cannot reach the threshold
-    by their bitmaps are left out of the join.
+    by their bitmaps are left out of the join, and only the bags of the other pairs are shuffled.
     """
     similarity = _udf(_overlap, "double", several=True)
     sketches = ["size", "coarse", "bits"]
@@ -212,11 +212,15 @@ def _link_buckets(members: DataFrame, bags: DataFrame, threshold: float) -> Data
         return pairs.select("hub", "node", "hub_label", "label").distinct()
 
     def tested(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
         # The same columns under the same names on both sides, so that one shuffle of the bags serves both joins
-        packed = bags.select("node", "bag")
+        packed = _marked(bags.select("node", "bag"), ends, "node")
         sized = pairs.alias("pair").join(packed.alias("one"), F.col("pair.node") == F.col("one.node"))
         sized = sized.join(packed.alias("other"), F.col("pair.hub") == F.col("other.node"))
-        return stored(sized.select("pair.*", similarity(F.col("one.bag"), F.col("other.bag")).alias("similarity")), "tested")
+        compared = stored(sized.select("pair.*", similarity(F.col("one.bag"), F.col("other.bag")).alias("similarity")), "tested")
+        release(pairs)
+        return compared
 
     nodes = stored(members.join(bags.select("node", *sketches), "node").withColumn("label", F.col("node")), "open")
     chosen = seats(nodes).groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node")).alias("first"))
@@ -267,17 +271,19 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return united
 
 
-def _marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def _marked(rows: DataFrame, wanted: DataFrame, key: str, rest: bool = False) -> DataFrame:
     """The rows whose key is in ``wanted``, and a few others: spares the join that follows a shuffle of all texts.
 
-    Keys are hashed to the bits of one map of ``MARKS`` bits, 2 MB however large the tables are.
+    With ``rest`` the rows that are left out instead, all of them with a key that is not in ``wanted``. Keys are hashed to
+    the bits of one map of ``MARKS`` bits, 2 MB however large the tables are.
     """
     at = F.pmod(F.xxhash64(key), F.lit(MARKS)) + 1
     marks = wanted.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("marks"))
     place = F.bitmap_bit_position(at)
     byte = F.conv(F.hex(F.substring("marks", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    marked = rows.withColumn("part", F.bitmap_bucket_number(at)).join(F.broadcast(marks), "part")
-    return marked.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("long")) != 0).select(*rows.columns)
+    marked = rows.withColumn("part", F.bitmap_bucket_number(at)).join(F.broadcast(marks), "part", "left" if rest else "inner")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("long"))
+    return marked.where(F.coalesce(bit, F.lit(0)) == 0 if rest else bit != 0).select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -299,13 +305,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
         _udf(_bands, "array<long>")(F.col(text).cast("string")).alias("b"),
     )
     signed = stored(signed.where("t IS NOT NULL"), "signatures")
-    # A node for each text, with its head: a row with the smallest key
+    # A node for each text, numbered as its head: a row with the smallest key
     nodes = signed.groupBy("t").agg(F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("head"), F.count(F.lit(1)).alias("n"))
-    nodes = nodes.select("t", "head.k", "head.row", "n", F.monotonically_increasing_id().alias("node"))
-    nodes = stored(nodes, "nodes")
+    nodes = stored(nodes.select("t", "head.k", F.col("head.row").alias("node"), "n"), "nodes")
 
+    # A row whose text no other has is its own head: only the others are shuffled with their signatures to find theirs
+    copied, own = nodes.where("n > 1"), signed.select(F.col("row").alias("node"), "t", "b")
+    # Nodes are unique, and a semi join would be moved below the filter
+    heads = _marked(own, copied.select("t"), "t").join(nodes.select("node"), "node").select(*own.columns)
+    heads = heads.union(_marked(own, copied.select("t"), "t", rest=True))
     # Equal keys of one text cannot be told apart, so each counts once
-    banded = signed.select("row", "b").join(nodes.select("row", "node"), "row").select("node", F.explode(F.array_distinct("b")).alias("bucket"))
+    banded = heads.select("node", F.explode(F.array_distinct("b")).alias("bucket"))
     # One shuffle by bucket counts the members, drops the many buckets of one, and tells the others apart
     whole = Window.partitionBy("bucket")
     shared = banded.withColumn("size", F.count(F.lit(1)).over(whole)).where("size > 1")
@@ -318,8 +328,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     held = F.collect_list("bucket").alias("held")
     members = stored(alike.groupBy("node").agg(F.sum(F.col("size") * F.col("times")).alias("weight"), held), "members")
     release(signed)
-    wanted = stored(members.select("node").join(nodes.select("node", "row"), "node"), "wanted")
-    texts = _marked(docs.select(F.col(row).alias("row"), F.col(text).cast("string").alias("x")), wanted, "row").join(wanted, "row")
+    wanted = stored(members.select("node"), "wanted")
+    texts = _marked(docs.select(F.col(row).alias("node"), F.col(text).cast("string").alias("x")), wanted, "node").join(wanted, "node")
     bagged = _udf(_bags, "bag binary, size long, bits array<long>, coarse array<long>")("x").alias("bagged")
     bags = stored(texts.select("node", bagged).select("node", "bagged.*"), "bags")
     release(wanted)
@@ -327,10 +337,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     release(members, bags)
 
     classed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    chief = F.min(F.struct(F.col("k").isNull(), "k", "row")).alias("chief")
+    chief = F.min(F.struct(F.col("k").isNull(), "k", "node")).alias("chief")
     classes = classed.groupBy("label").agg(chief, F.sum("n").alias("class_rows"))
     classed = classed.join(classes, "label").select(
-        F.col("t").alias(text_id), F.struct(F.col("chief.k").alias("id"), "class_rows", F.col("chief.row").alias("row")).alias(found)
+        F.col("t").alias(text_id), F.struct(F.col("chief.k").alias("id"), "class_rows", F.col("chief.node").alias("row")).alias(found)
     )
     out = docs.withColumn(text_id, hashed).join(stored(classed, "classes"), text_id, "left")
     alone = F.col(found).isNull()

@@ -169,6 +169,57 @@ def test_settled_buckets_and_hubs_are_not_spread_again(spark, monkeypatch):
         assert min(classes_in.values()) > 1
 
 
+def test_only_copied_rows_and_compared_texts_are_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(500)]
+    base, rows = rng.choice(words, 120).tolist(), []
+    for i in range(40):  # near copies of one text: pairs that are compared
+        copy = list(base)
+        copy[3 * i] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(500 + i, " ".join(["a", "b", "c", "d"][i % 3 :]) + f" {i // 3}") for i in range(30)]
+    alone = [(100 + i, " ".join(rng.choice(words, 30))) for i in range(300)]
+    rows += alone + [(900 + i, alone[i % 5][1]) for i in range(20)] + [(None, alone[7][1]), (107, alone[7][1]), (None, None)]
+    # Texts that share bands and that their sizes keep apart: no pair needs their bags
+    phrase = " ".join(rng.choice(words, 60))
+    rows += [(2000 + i, phrase + " " + " ".join(rng.choice(words, 20 * i))) for i in range(8)]
+    seen, marked, kept, stored = [], minhash._marked, {}, minhash.stored
+
+    def recorded(table, wanted, key, **rest):
+        found = marked(table, wanted, key, **rest)
+        seen.append((set(table.columns), rest.get("rest", False), found.count(), table.count()))
+        return found
+
+    def counted(df, name):
+        kept.setdefault(name, []).append(table := stored(df, name))
+        return table
+
+    monkeypatch.setattr(minhash, "_marked", recorded)
+    monkeypatch.setattr(minhash, "stored", counted)
+    monkeypatch.setattr(minhash, "release", lambda *tables: None)
+    check(rows, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    signatures = [s for s in seen if "b" in s[0]]
+    copies = sum(n for n in Counter(t for _, t in rows if t is not None).values() if n > 1)
+    assert [(rest, n) for _, rest, n, _ in signatures] == [(False, copies), (True, len(rows) - 1 - copies)]
+    # A node of each text in the shuffle by bucket, and the bags of what is compared in the joins by bag
+    assert {r.node for r in kept["members"][0].collect()} <= {r.node for r in kept["nodes"][0].collect()}
+    bags = [(n, of) for columns, _, n, of in seen if columns == {"node", "bag"}]
+    ends = [len({x for r in pairs.collect() for x in (r.hub, r.node)}) for pairs in kept["pairs"]]
+    assert [n for n, _ in bags] == ends
+    assert 0 < ends[0] < bags[0][1] == kept["bags"][0].count()
+
+
+def test_marked_rows_and_the_rest_are_all_rows(spark):
+    rows = spark.range(50_000).withColumnRenamed("id", "row").withColumn("x", F.col("row") * 2)
+    wanted = rows.where("row % 100 = 7").select("row")
+    found, rest = (minhash._marked(rows, wanted, "row", rest=r) for r in (False, True))
+    assert rest.columns == ["row", "x"]
+    assert rest.join(wanted, "row").count() == 0
+    assert found.union(rest).distinct().count() == found.count() + rest.count() == 50_000
+    assert minhash._marked(rows, wanted.limit(0), "row", rest=True).count() == 50_000
+    assert minhash._marked(rows.limit(0), wanted, "row", rest=True).count() == 0
+
+
 def test_marked_rows_keep_every_wanted_one(spark):
     rows = spark.range(50_000).withColumnRenamed("id", "row").withColumn("x", F.col("row") * 2)
     wanted = rows.where("row % 100 = 7").select("row")
